@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archivolt.llm import decontaminate, packing, simhash
+from archivolt.llm import decontaminate, language, packing, pii, simhash
 from archivolt.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -23,11 +27,17 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.with_digest(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_language_id": op3_language_id,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
+        "op10_personal_data": op10_personal_data,
     }
 
 
