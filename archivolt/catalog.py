@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from archivolt.queries import analytics, conditions, corpus, grouping, ingest, model, relational, signals, texts, values
+from archivolt.registry import Query, Registry
 
-from pyspark.sql import DataFrame, SparkSession
+_GROUPS: tuple[Registry, ...] = tuple(m.registry for m in (conditions, values, relational, grouping, texts, signals, model, corpus, analytics, ingest))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for group in _GROUPS for name, query in group.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for group in _GROUPS for name, sql in group.oracles.items()}

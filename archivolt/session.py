@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -23,3 +25,12 @@ def local_session(name: str = "archivolt", cores: int | str = "*", shuffle: int
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="archivolt-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
