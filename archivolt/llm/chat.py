@@ -64,11 +64,11 @@ def paths(messages: DataFrame, *, best: int | None = None, most_rounds: int = 40
             raise ValueError("a reply chain of over a million turns, or a cycle")
 
     # each leaf with all its ancestors: the binary digits of a distance say which jumps to take
-    on = leaves.select("tree", F.col("id").alias("path"), "id", F.lit(0).cast("long").alias("up_by"))
+    on = materialize(leaves.select("tree", F.col("id").alias("path"), "id", F.lit(0).cast("long").alias("up_by")), "paths")
     for k in range(len(chains) - 1, -1, -1):
         jump = chains[k].where("up is not null").select("tree", "id", "up")
-        on = on.unionByName(on.join(jump, ["tree", "id"]).select("tree", "path", F.col("up").alias("id"), (F.col("up_by") + 2**k).alias("up_by")))
-    on = materialize(on, "paths")
+        longer = on.join(jump, ["tree", "id"]).select("tree", "path", F.col("up").alias("id"), (F.col("up_by") + 2**k).alias("up_by"))
+        on = on.unionByName(materialize(longer, "paths"))  # written: each step reads all before it, so a lazy plan would double
     top = on.groupBy("tree", "path").agg(F.max("up_by").alias("length"))
     full = on.join(top, ["tree", "path"]).join(whole, ["tree", "id"])
     if best is None:
