@@ -34,14 +34,14 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def paths(messages: DataFrame, *, best: int | None = None, most_rounds: int = 40) -> DataFrame:
+def paths(messages: DataFrame, *, best: int | None = None) -> DataFrame:
     """(tree, path, rank, depth, id, role, text) of the chosen root-to-leaf paths.
 
     ``messages``: tree, id, parent (null: a root), role, text, score.  ``id`` is
     unique in its tree.  A path is named by its leaf.  Paths of a tree rank by
     mean score (null counts as 0), ties by leaf; ``best`` keeps that many of each
-    tree, None all.  Messages whose parent is missing are roots; those on a cycle
-    have no root and are on no path.
+    tree, None all.  Messages whose parent is missing are roots; those on a cycle,
+    or below one, have no root and are on no path.
     """
     whole = materialize(messages.select("tree", "id", "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
     links = whole.select("tree", "id", "parent")
@@ -53,15 +53,17 @@ def paths(messages: DataFrame, *, best: int | None = None, most_rounds: int = 40
     # jump: how many steps up "up" is; null up: the root was passed
     jumps = materialize(rooted.select("tree", "id", F.col("parent").alias("up")), "jumps")
     chains = [jumps]  # chains[k]: 2**k steps up
-    for _ in range(most_rounds):
+    sizes = whole.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    while True:
         last = chains[-1].where("up is not null")
         onward = chains[-1].select("tree", F.col("id").alias("up"), F.col("up").alias("further"))
         longer = materialize(last.join(onward, ["tree", "up"]).select("tree", "id", F.col("further").alias("up")).where("up is not null"), "jumps")
         if longer.isEmpty():
             break
+        if 2 ** len(chains) > sizes:  # more steps than the largest tree has messages: these walk a cycle
+            leaves = leaves.join(longer.select("tree", "id"), ["tree", "id"], "left_anti")
+            break
         chains.append(longer)
-        if 2 ** len(chains) > 2 * 10**6:
-            raise ValueError("a reply chain of over a million turns, or a cycle")
 
     # each leaf with all its ancestors: the binary digits of a distance say which jumps to take
     on = materialize(leaves.select("tree", F.col("id").alias("path"), "id", F.lit(0).cast("long").alias("up_by")), "paths")
@@ -91,18 +93,12 @@ def format_paths(turns: DataFrame, *, learned: str = LEARNED) -> DataFrame:
     role, text = escape(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
     head = F.concat(F.lit(TURN), role, F.lit(TEXT))
     cut = turns.select("tree", "path", "depth", (F.coalesce("role", F.lit("")) == learned).alias("learn"), head.alias("head"), text.alias("body"))
-    made = F.sort_array(F.collect_list(F.struct("depth", "learn", "head", "body")))
-    rows = cut.groupBy("tree", "path").agg(made.alias("t"))
-    sizes = F.transform("t", lambda x: F.length(x["head"]) + F.length(x["body"]) + len(END))
-    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
-    starts = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), step, lambda acc: acc["starts"])
-    masks = F.zip_with("t", "starts", lambda x, s: F.struct((s + F.length(x["head"])).alias("start"), F.length(x["body"]).alias("length"), x["learn"].alias("learn")))
-    return rows.withColumn("starts", starts).select(
-        "tree",
-        "path",
-        F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "").alias("formatted"),
-        F.transform(F.filter(masks, lambda m: m["learn"]), lambda m: F.struct(m["start"].alias("start"), m["length"].alias("length"))).alias("loss"),
-    )
+    earlier = W.Window.partitionBy("tree", "path").orderBy("depth").rowsBetween(W.Window.unboundedPreceding, -1)
+    size = F.length("head") + F.length("body") + len(END)
+    placed = cut.withColumn("at", F.coalesce(F.sum(size).over(earlier), F.lit(0)) + F.length("head"))
+    span = F.when(F.col("learn"), F.struct(F.col("at").cast("int").alias("start"), F.length("body").alias("length")))
+    rows = placed.groupBy("tree", "path").agg(F.sort_array(F.collect_list(F.struct("depth", "head", "body"))).alias("t"), F.sort_array(F.collect_list(span)).alias("loss"))
+    return rows.select("tree", "path", F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "").alias("formatted"), "loss")
 
 
 def parse(formatted: Column) -> Column:

@@ -37,8 +37,10 @@ def test_ties_go_to_the_smaller_leaf_and_empty_input_is_empty(spark):
 
 def test_a_long_chain_and_a_cycle(spark):
     rows = [(1, i, i - 1 if i else None, "user", str(i), 0.0) for i in range(300)] + [(2, 0, 1, "user", "x", 0.0), (2, 1, 0, "user", "y", 0.0)]
-    found = chat.paths(spark.createDataFrame([r for r in rows if r[0] == 1], MESSAGE))
-    assert [r["id"] for r in found.orderBy("depth").collect()] == list(range(300))
+    rows += [(2, 2, 1, "user", "below the cycle", 0.0), (3, 0, None, "user", "alone", 0.0)]
+    found = chat.paths(spark.createDataFrame(rows, MESSAGE))
+    assert [r["id"] for r in found.where("tree = 1").orderBy("depth").collect()] == list(range(300))
+    assert {r["tree"] for r in found.collect()} == {1, 3}
 
 
 def test_read_back_equals_what_went_in(spark):
