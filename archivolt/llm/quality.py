@@ -4,10 +4,12 @@ Every text is measured by DataFrame functions alone.  The base rules are fixed.
 Further rules compare a ratio with a cutoff, and the cutoff is learned: per
 stratum and rule a fixed grid of cutoffs is tested on labelled good documents,
 and a cutoff may be used only where the exact (Clopper-Pearson) upper bound of
-its false rejections stays below the rule's share of the allowed risk.  The
-confidence is shared among all tests (Bonferroni), so the guarantee holds for all
-strata, rules and cutoffs at once.  Another fold of the labelled rows decides
-which of the guaranteed cutoffs is worth using.
+its false rejections stays below the rule's share of the allowed risk.  A rule's
+cutoffs are tested in a fixed sequence, from the most lenient to the first that
+fails, so they need no correction among themselves; the confidence is shared among
+all sequences (Bonferroni over strata and rules).  So the guarantee holds for all
+strata, rules and cutoffs at once.  Another fold of the labelled rows decides which
+of the guaranteed cutoffs is worth using.
 
 Only counts per stratum, rule and cutoff reach the driver.
 """
@@ -171,20 +173,24 @@ def cutoffs(measured: DataFrame, labels: DataFrame, *, risk: float = RISK, error
     strata = [r["stratum"] for r in sizes]
     merged = counts.groupBy(_stratum(strata).alias("stratum"), "good", "fold").agg(F.sum("n").alias("n"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(over))])
     table = {(r["stratum"], r["good"], r["fold"]): r for r in merged.collect()}  # (MOST_STRATA + 1) x 4 rows at most
-    tests = (len(strata) + 1) * len(over)
+    families = max(1, len({stratum for stratum, _, _ in table}) * len(found))
     chosen: dict[tuple[str, str], float] = {}
     for stratum in [*strata, OTHER]:
         good, good_1, bad_1 = (table.get((stratum, g, f)) for g, f in ((True, 0), (True, 1), (False, 1)))
         if not good or not bad_1:
             continue
-        best: dict[str, tuple[int, float]] = {}
-        for i, (rule, cut) in enumerate(over):
-            right, wrong = bad_1[f"n{i}"], good_1[f"n{i}"] if good_1 else 0
-            if right < LEAST_PRECISION * (right + wrong) or not right:
-                continue
-            if upper_bound(good[f"n{i}"], good["n"], error / tests) <= risk / len(found):
-                best[rule.name] = max(best.get(rule.name, (0, 0.0)), (right, cut))  # of equals the most lenient
-        chosen |= {(stratum, name): cut for name, (_, cut) in best.items()}
+        for rule in found:
+            best = (0, 0.0)
+            for cut in sorted(rule.grid, reverse=True):  # from the most lenient; the first that fails ends the sequence
+                i = next(i for i, (r, c) in enumerate(over) if r is rule and c == cut)
+                seen, share = good[f"n{i}"], risk / len(found)
+                if seen > share * good["n"] or upper_bound(seen, good["n"], error / families) > share:
+                    break
+                right, wrong = bad_1[f"n{i}"], good_1[f"n{i}"] if good_1 else 0
+                if right > best[0] and right >= LEAST_PRECISION * (right + wrong):
+                    best = (right, cut)
+            if best[0]:
+                chosen[stratum, rule.name] = best[1]
     return strata, chosen
 
 
