@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.functions import text as X
+from archivolt.operators.graph import written
 
 # Bands, rows of a band, words of a shingle, shared bands of a near copy.
 BANDS, ROWS, SHINGLE, MIN_BANDS = 16, 4, 5, 3
@@ -20,20 +22,29 @@ def exact_copies(samples: DataFrame) -> DataFrame:
     return keyed.join(first, "__key").withColumn("dup_of", F.when(F.col("__first") < F.col("id"), F.col("__first"))).drop("__key", "__first")
 
 
-def bands(text: Column) -> Column:
-    """A 64-bit number per band of MinHash values over word shingles."""
-    grams = X.shingles(F.split(X.normalized(text), " "), SHINGLE)
-    hashes = F.transform(grams, lambda g: F.xxhash64(g))
+def _signature(text: str) -> list[int]:
+    """The band numbers of a normalised text: MinHash by multiply-add hashes of its shingles' 64-bit hashes."""
+    words = text.split(" ")
+    grams = {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+    hashes = np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), np.uint64, len(grams))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):  # a very long text takes no more memory than 4096 shingles
+        mixed = hashes[at : at + 4096, None] * _FACTORS[0] + _FACTORS[1]
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
+    return [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) - (1 << 63) for b in range(BANDS)]
+
 
-    def banded(h: Column) -> Column:
-        values = [F.array_min(F.transform(h, _seeded(i))) for i in range(BANDS * ROWS)]
-        return F.array(*[F.xxhash64(F.lit(b), *values[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
+#: Odd factors and offsets of the hash family, from a fixed seed.
+_FACTORS = np.random.default_rng(17).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
-    return X.let(hashes, banded)
 
+def bands(text: Column) -> Column:
+    """A 64-bit number per band of MinHash values over word shingles."""
+
+    def signed(texts: pd.Series) -> pd.Series:
+        return pd.Series([_signature(t) for t in texts], index=texts.index, dtype=object)
 
-def _seeded(i: int) -> Callable[[Column], Column]:
-    return lambda h: F.xxhash64(F.lit(i), h)
+    return F.pandas_udf(signed, "array<long>").asNondeterministic()(X.normalized(text))
 
 
 def near_copies(samples: DataFrame) -> DataFrame:
@@ -42,7 +53,7 @@ def near_copies(samples: DataFrame) -> DataFrame:
     Equal band lists are one class, and within a band every class meets only the
     band's earliest class, so a band that thousands share costs a row each.
     """
-    banded = samples.select("id", bands(F.col("text")).alias("bands"))
+    banded = written(samples.select("id", bands(F.col("text")).alias("bands")), "bands")  # read three times
     classes = banded.groupBy("bands").agg(F.min("id").alias("id"))
     flat = classes.select("id", F.posexplode("bands").alias("b", "v"))
     heads = flat.groupBy("b", "v").agg(F.min("id").alias("head"))
