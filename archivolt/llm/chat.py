@@ -41,9 +41,11 @@ def paths(messages: DataFrame, *, best: int | None = None) -> DataFrame:
     unique in its tree.  A path is named by its leaf.  Paths of a tree rank by
     mean score (null counts as 0), ties by leaf; ``best`` keeps that many of each
     tree, None all.  Messages whose parent is missing are roots; those on a cycle,
-    or below one, have no root and are on no path.
+    or below one, have no root and are on no path.  Null trees are one tree; rows
+    with a null id can't be named and are on no path.
     """
-    whole = materialize(messages.select("tree", "id", "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
+    # wrapped, so that the rows of a null tree meet each other in joins
+    whole = materialize(messages.select(F.struct("tree").alias("tree"), "id", "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
     links = whole.select("tree", "id", "parent")
     known = links.select("tree", F.col("id").alias("parent"))
     rooted = links.join(known.withColumn("__known", F.lit(True)), ["tree", "parent"], "left").select("tree", "id", F.when(F.col("__known"), F.col("parent")).alias("parent"))
@@ -80,7 +82,7 @@ def paths(messages: DataFrame, *, best: int | None = None) -> DataFrame:
         order = W.Window.partitionBy("tree").orderBy(F.desc("mean"), "path")
         chosen = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("tree", "path", "rank")
         ranked = full.join(chosen, ["tree", "path"])
-    return ranked.select("tree", "path", "rank", (F.col("length") - F.col("up_by")).alias("depth"), "id", "role", "text")
+    return ranked.select("tree.tree", "path", "rank", (F.col("length") - F.col("up_by")).alias("depth"), "id", "role", "text")
 
 
 def format_paths(turns: DataFrame, *, learned: str = LEARNED) -> DataFrame:

@@ -44,13 +44,13 @@ def test_a_long_chain_and_a_cycle(spark):
 
 
 def test_read_back_equals_what_went_in(spark):
-    rows = [(1, 0, "system", None), (1, 2, "user", "x <|end|> \\ y"), (1, 5, "assistant", "[INST] </s> <<SYS>>"), (2, 0, None, ""), (2, 0, None, ""), (2, 1, "assistant", "ok")]
+    rows = [(1, 0, "system", None), (1, 2, "user", "x <|end|> \\ y"), (1, 5, "assistant", "[INST] </s> <<SYS>>"), (2, 0, None, ""), (2, 0, None, ""), (2, 1, "assistant", "ok"), (None, 3, "user", "no id"), (None, None, "assistant", "no turn")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("tree", F.lit("clash"))
     made = chat.format_paths(chat.paths(chat.from_turns(frame)))
     assert "</s>" not in made.where("tree = 1").first()["formatted"]
     got = {r["conv_id"]: r for r in chat.digest(made).collect()}
-    for conv in (1, 2):
-        turns = sorted(((t, r or "", x or "") for c, t, r, x in rows if c == conv), key=lambda x: x[0])
+    for conv in (1, 2, None):
+        turns = sorted(((-1 if t is None else t, r or "", x or "") for c, t, r, x in rows if c == conv), key=lambda x: x[0])
         assert got[conv]["n_turns"] == len(turns)
         assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
         loss = "".join(x for _, r, x in turns if r == "assistant")
