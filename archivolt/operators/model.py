@@ -91,7 +91,7 @@ def ask_plan(units: DataFrame, answered: DataFrame, cost: str, budget: float, or
     totals = asked.groupBy("__block").agg(F.sum(cost).alias("__sum"))
     before = totals.select("__block", F.coalesce(F.sum("__sum").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__before"))
     within = Window.partitionBy("__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    spent = asked.join(F.broadcast(before), "__block").withColumn("__spent", F.sum(cost).over(within) + F.col("__before"))
+    spent = asked.join(before, "__block").withColumn("__spent", F.sum(cost).over(within) + F.col("__before"))
     steps = spent.select("unit", F.when(F.col("__spent") <= budget, "ask").otherwise("trimmed").alias("step"))
     return rows.where("__known").select("unit", F.lit("reuse").alias("step")).unionByName(steps)
 
