@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from archivolt.queries import analytics, conditions, corpus, grouping, groups, ingest, model, relational, signals, texts, values
+from archivolt.queries import analytics, cases, conditions, corpus, grouping, groups, imports, ingest, model, relational, signals, texts, values
 from archivolt.registry import Query, Registry
 
-_GROUPS: tuple[Registry, ...] = tuple(m.registry for m in (conditions, values, relational, grouping, groups, texts, signals, model, corpus, analytics, ingest))
+_GROUPS: tuple[Registry, ...] = tuple(m.registry for m in (conditions, values, relational, grouping, groups, texts, signals, model, cases, corpus, analytics, ingest, imports))
 
 
 def queries() -> dict[str, Query]:
