@@ -51,9 +51,26 @@ def pattern_key(from_address: Column, subject: Column) -> Column:
 
 
 def skeleton_regex(key: str) -> str:
-    """A Java pattern for subjects that start with a skeleton's words; ``#`` stands for tokens with digits."""
-    part = {"#": r"\S*[0-9]\S*(?:\s+\S*[0-9]\S*)*"}
-    return r"^\s*" + r"\s+".join(part.get(w, re.escape(w)) for w in key.split(" ")) + r"(?:\s|$)"
+    """A Java pattern that matches a subject exactly when ``key`` is its skeleton.
+
+    Punctuation may stand in and between words; three words may be followed by
+    more, fewer have to reach the end.  ``#`` stands for a run of tokens with digits.
+    """
+    mark = r"[^\p{L}\p{N}#\s]"
+    prefix = rf"(?:\s*(?:{'|'.join(REPLY_PREFIXES)})\s*(?:\[[0-9]+\]|\([0-9]+\))?\s*:)*+"
+    between = rf"\s+(?:{mark}+\s+)*"
+    number = rf"(?:\S*[0-9]\S*|{mark}*#{mark}*)"
+    words = [w for w in key.split(" ") if w]
+    if not words:
+        return rf"(?iu)^{prefix}(?:{mark}|\s)*$"
+
+    def part(word: str) -> str:
+        if word == "#":
+            return f"{number}(?:{between}{number})*+"
+        return f"{mark}*" + "".join(f"{re.escape(c)}{mark}*" for c in word)
+
+    end = r"(?=\s|$)" if len(words) >= 3 else rf"(?:\s+{mark}+)*\s*$"
+    return rf"(?iu)^{prefix}\s*(?:{mark}+\s+)*{between.join(map(part, words))}{end}"
 
 
 def system_key(subject: Column) -> Column:
@@ -196,3 +213,96 @@ def strip_quotes(text: Column) -> Column:
 def masked_urls(text: Column) -> Column:
     """Addresses keep their host, not their path."""
     return F.regexp_replace(text, r"(https?://[^/\s]+)/[^\s]*", "$1/…")
+
+
+# Phrases that ask the owner something, replies to meetings, words and dates of a deadline.
+ASKING = (
+    "kan du|kan ni|skulle du|skulle ni|vill du|vill ni|har du möjlighet|har ni möjlighet|hinner du|hinner ni|har du tid|vad tycker du|vad tycker ni|återkom|ge besked|"
+    "could you|can you|would you|will you|are you able|do you have time|let me know|what do you think|please (?:confirm|advise|review|reply|respond)"
+)
+MEETING_REPLIES = (
+    "accepted|declined|tentative|tentatively accepted|canceled|cancelled|updated invitation|invitation|new time proposed|accepterat|accepterad|avböjt|avböjd|"
+    "preliminärt|preliminär|inställt|inställd|uppdaterad inbjudan|inbjudan|nytt tidsförslag|ny tid föreslagen"
+)
+URGENT = (
+    "senast|deadline|innan|före|snarast|brådskande|asap|urgent|due (?:date|by)|"
+    "by (?:monday|tuesday|wednesday|thursday|friday|saturday|sunday|tomorrow|eod|end of (?:the )?(?:day|week))"
+)
+MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "maj": 5, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "okt": 10, "oct": 10, "nov": 11, "dec": 12}
+#: A date so many days ahead is a deadline; tokens a character and dollars a million tokens.
+HORIZON_DAYS, TOKENS_PER_CHARACTER, DOLLARS_PER_MILLION = 14, 0.345, 0.042
+
+
+def without_links(text: Column) -> Column:
+    """The text without web and mail addresses, whose question marks ask nothing."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(https?://|www\.)\S+|\S+@\S+", " ")
+
+
+def asks(text: Column) -> Column:
+    """Whether the text has a question mark or an asking phrase."""
+    return F.rlike(without_links(text), F.lit(rf"(?iU)\?|\b(?:{ASKING})\b"))
+
+
+def meeting_reply(subject: Column) -> Column:
+    return F.coalesce(F.rlike(subject, F.lit(rf"(?iU)^\s*(?:{MEETING_REPLIES})\s*:")), F.lit(False))
+
+
+def dates_in(text: Column, year: Column) -> Column:
+    """Dates a text names (2024-09-30, 30/9, 30 sep, 30:e september) as an array; dates that don't exist are left out."""
+    bare = F.coalesce(text, F.lit(""))
+    year = year.cast("string")
+    whole = F.transform(F.regexp_extract_all(bare, F.lit(r"(?U)\b(20\d\d-\d\d-\d\d)\b"), 1), lambda d: F.try_to_date(d, "yyyy-MM-dd"))
+    short = F.transform(
+        F.regexp_extract_all(bare, F.lit(r"(?U)\b([0-3]?\d/[01]?\d)\b"), 1), lambda d: F.try_to_date(F.concat_ws("-", year, F.split_part(d, F.lit("/"), F.lit(2)), F.split_part(d, F.lit("/"), F.lit(1))), "yyyy-M-d")
+    )
+    named = rf"(?iU)\b([0-3]?\d(?::[ae])?\.? (?:{'|'.join(MONTHS)}))[a-z]*\b"
+    month = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+    spelled = F.transform(
+        F.regexp_extract_all(bare, F.lit(named), 1), lambda d: F.try_to_date(F.concat_ws("-", year, month[F.lower(F.right(d, F.lit(3)))].cast("string"), F.regexp_extract(d, r"^(\d+)", 1)), "yyyy-M-d")
+    )
+    return F.array_compact(F.concat(whole, short, spelled))
+
+
+def names_deadline(text: Column, at: Column) -> Column:
+    """Whether the text has an urgent word or a date within the horizon after ``at``."""
+    day = at.cast("date")
+    soon = F.exists(dates_in(text, F.year(day)), lambda d: (d >= day) & (d <= F.date_add(day, HORIZON_DAYS)))
+    return F.rlike(F.coalesce(text, F.lit("")), F.lit(rf"(?iU)\b(?:{URGENT})\b")) | F.coalesce(soon, F.lit(False))
+
+
+def weighted_score(fields: list[tuple[Column, float]], asked: list[str]) -> Column:
+    """A relevance for ordering: the occurrences of asked words, each field by its weight.  ``fields``: (word array, weight)."""
+    out = F.lit(0.0)
+    for words, weight in fields:
+        out = out + F.size(F.filter(words, lambda w: w.isin(asked))) * F.lit(weight)
+    return out
+
+
+def domain_root(domain: Column) -> Column:
+    """The name part of a domain: mail.example.se is example."""
+    parts = F.split(domain, r"\.")
+    return F.when(F.size(parts) >= 2, F.element_at(parts, -2)).otherwise(domain)
+
+
+def human_bytes(n: Column) -> Column:
+    """12 B, 1.5 kB, 3.0 MB up to TB; a dash for null."""
+    out = F.when(n.isNull(), "—").when(n < 1024, F.concat(F.format_string("%.0f", n.cast("double")), F.lit(" B")))
+    for power, unit in enumerate(("kB", "MB", "GB"), 1):
+        out = out.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", F.bround(n / float(1024**power), 1)))
+    return out.otherwise(F.format_string("%.1f TB", F.bround(n / float(1024**4), 1)))
+
+
+def age_words(seconds: Column) -> Column:
+    """Hours under two days, else days; an hour at least."""
+    hours = F.greatest(F.lit(1), F.bround(seconds / 3600).cast("long"))
+    days = F.bround(seconds / 86400).cast("long")
+    in_hours = F.concat(hours.cast("string"), F.when(hours == 1, " hour").otherwise(" hours"))
+    return F.when(seconds < 48 * 3600, in_hours).otherwise(F.concat(days.cast("string"), F.lit(" days")))
+
+
+def estimated_tokens(text: Column) -> Column:
+    return F.bround(F.length(F.coalesce(text, F.lit(""))) * TOKENS_PER_CHARACTER).cast("long")
+
+
+def estimated_cost(tokens: Column) -> Column:
+    return tokens * DOLLARS_PER_MILLION / 1_000_000

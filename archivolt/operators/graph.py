@@ -33,6 +33,18 @@ def descendants(edges: DataFrame, roots: DataFrame, *, most_depth: int = MOST_DE
     return found
 
 
+def reachable(edges: DataFrame, roots: DataFrame, *, most_depth: int = MOST_DEPTH) -> DataFrame:
+    """(root, id): what lies below each root, the root included, each pair once; a ring ends by itself."""
+    found = frontier = written(roots.select("root", F.col("root").alias("id")).distinct(), "reachable")
+    for _ in range(most_depth):
+        below = edges.join(frontier.select("root", F.col("id").alias("parent")), "parent").select("root", F.col("child").alias("id")).distinct()
+        frontier = written(below.join(found, ["root", "id"], "left_anti"), "reachable")
+        if frontier.isEmpty():
+            return found
+        found = found.unionByName(frontier)
+    return found
+
+
 def tree(edges: DataFrame, roots: DataFrame, *, excluded: list[int] | None = None, most_depth: int = MOST_DEPTH) -> DataFrame:
     """(id, depth, path): every way down that meets no node twice and no excluded one."""
     level = written(roots.select("id", F.lit(0).alias("depth"), F.array("id").alias("path")), "tree")

@@ -100,7 +100,7 @@ def stale(rows: DataFrame, version: int, *, after: int = 0, limit: int = 200) ->
     return rows.where((F.col("parser_version") < version) & (F.col("id") > after)).orderBy("id").limit(limit)
 
 
-def refuses_cycle(edges: DataFrame, wanted: DataFrame, reach: DataFrame) -> DataFrame:
+def refuses_cycle(wanted: DataFrame, reach: DataFrame) -> DataFrame:
     """``wanted`` (child, parent) with ``refused``: the parent is the child itself or below it.
 
     ``reach``: (root, id) of everything below each child that is asked about.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -134,3 +136,17 @@ def calibration(scored: DataFrame, buckets: int = 10) -> DataFrame:
     """(bucket, n, right, mean) of rows (score, ok)."""
     bucket = F.least(F.lit(buckets - 1), F.greatest(F.lit(0), F.floor(F.col("score") * buckets + 1e-6))).cast("long")
     return scored.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count_if("ok").alias("right"), F.avg("score").alias("mean"))
+
+
+#: Fixed value: the probability at which a boundary is decided.
+BOUNDARY_LEAST = 0.90
+
+
+def boundary(scores: Column, side_of: dict[str, str], least: float = BOUNDARY_LEAST) -> Column:
+    """struct(side, probability, margin, decided): the scores summed by side; values without a side don't count, ties go by name."""
+    sides = sorted(set(side_of.values()))
+    total = {s: F.round(reduce(Column.__add__, [F.coalesce(scores[v], F.lit(0.0)) for v, t in side_of.items() if t == s]), 6) for s in sides}
+    ranked = F.array_sort(F.array(*[F.struct((-total[s]).alias("p"), F.lit(s).alias("s")) for s in sides]))
+    first, second = F.element_at(ranked, 1), F.coalesce(F.get(ranked, F.lit(1))["p"], F.lit(0.0))
+    p = -first["p"]
+    return F.struct(first["s"].alias("side"), p.alias("probability"), F.round(p + second, 6).alias("margin"), (p >= least - EPSILON).alias("decided"))
