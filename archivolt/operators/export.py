@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,3 +45,23 @@ def backup(tables: dict[str, DataFrame], folder: str, stamp: str) -> None:
     """The owner's own work as compressed JSON lines."""
     for name, rows in sorted(tables.items()):
         rows.write.mode("errorifexists").option("compression", "gzip").json(f"{folder.rstrip('/')}/{stamp}/{name}")
+
+
+def fingerprint(rows: DataFrame) -> str:
+    """A digest of a table's rows whatever their order: count, sum and xor of row hashes, in one pass."""
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    found = rows.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x")).first()
+    return f"{found['n']:x}-{int(found['s'] or 0) % 2**64:x}-{(found['x'] or 0) % 2**64:x}"
+
+
+def remembered(spark: SparkSession, folder: str, stamp: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A computed table kept under the fingerprint of what it was made from; made anew only for a new one."""
+    path = f"{folder.rstrip('/')}/{stamp}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    made = make()
+    made.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(made.schema).parquet(path)

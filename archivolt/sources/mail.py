@@ -90,6 +90,11 @@ def split_quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("error is null"), rows.where("error is not null").select("sha256", "path", "error")
 
 
+def retried(quarantine: DataFrame, raws: DataFrame) -> DataFrame:
+    """The quarantined originals parsed again, as after a repair of the parser."""
+    return parsed(raws.join(quarantine.select("sha256").distinct(), "sha256", "left_semi"))
+
+
 def direction(rows: DataFrame, owners: list[str]) -> DataFrame:
     """``rows`` with ``direction``: in unless the owner sent it, self when all recipients are the owner's too."""
     mine = F.col("from_address").isin(owners)
