@@ -65,3 +65,19 @@ def remembered(spark: SparkSession, folder: str, stamp: str, make: Callable[[],
     made = make()
     made.write.mode("errorifexists").parquet(path)
     return spark.read.schema(made.schema).parquet(path)
+
+
+def nearest_first(rows: DataFrame, anchors: DataFrame, key: str, at: str, id_: str, text: str, *, characters: int, each: int) -> DataFrame:
+    """(anchor, id, text): the record around an anchor message within a number of characters.
+
+    ``anchors``: the key and ``anchor``, the id of a message of it.  The anchor comes
+    first, then its neighbours by distance in time (earlier before later, then by
+    id); every text is cut to ``each`` characters, the last one to what is left.
+    """
+    placed = anchors.join(rows.select(F.col(key), F.col(id_).alias("anchor"), F.unix_micros(F.col(at).cast("timestamp")).alias("__at")), [key, "anchor"])
+    near = rows.join(placed, key).withColumn("__cut", F.substring(F.coalesce(text, F.lit("")), 1, each))
+    away = F.unix_micros(F.col(at).cast("timestamp")) - F.col("__at")
+    order = Window.partitionBy("anchor").orderBy(F.when(F.col(id_) == F.col("anchor"), 0).otherwise(1), F.abs(away).asc_nulls_last(), away, F.col(id_))
+    spent = F.coalesce(F.sum(F.length("__cut")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = near.withColumn("__spent", spent).where((F.col("__spent") < characters) & (F.length("__cut") > 0))
+    return held.select("anchor", F.col(id_).alias("id"), F.substring("__cut", F.lit(1), (F.lit(characters) - F.col("__spent")).cast("int")).alias("text"))

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Fields of a rule whose change makes a new version; the other fields follow the file.
 VERSIONED = ("conditions", "action")
@@ -108,3 +109,26 @@ def refuses_cycle(wanted: DataFrame, reach: DataFrame) -> DataFrame:
     below = reach.select(F.col("root").alias("child"), F.col("id").alias("parent")).distinct().withColumn("__below", F.lit(True))
     held = wanted.join(below, ["child", "parent"], "left")
     return held.withColumn("refused", F.coalesce("__below", F.lit(False)) | (F.col("child") == F.col("parent"))).drop("__below")
+
+
+def run_outcomes(rows: DataFrame, run: str, error: str) -> DataFrame:
+    """(run, seen, failed, outcome): ok without failures, failed with nothing else, else partial."""
+    counted = rows.groupBy(run).agg(F.count("*").alias("seen"), F.count(error).alias("failed"))
+    outcome = F.when(F.col("failed") == 0, "ok").when(F.col("failed") == F.col("seen"), "failed").otherwise("partial")
+    return counted.withColumn("outcome", outcome)
+
+
+def size_batches(rows: DataFrame, key: str, most: int, size: str, most_size: int) -> DataFrame:
+    """``rows`` with ``batch``: the number of a batch of at most ``most`` rows and, a larger single row apart, ``most_size`` in all.
+
+    ``key`` orders the rows within blocks of ``most``; in a block a new batch
+    starts wherever the running size passes a multiple of half the bound, so
+    no batch exceeds it and no row waits for all before it.
+    """
+    block = F.floor(F.col(key) / most)
+    upto = Window.partitionBy(block).orderBy(key)
+    half = most_size / 2
+    large = F.col(size) > half
+    runs = F.sum(F.when(large, 0).otherwise(F.col(size))).over(upto.rowsBetween(Window.unboundedPreceding, 0))
+    alone = F.sum(large.cast("int")).over(upto.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("batch", F.concat_ws(":", block, F.when(large, F.concat(F.lit("x"), alone)).otherwise(F.floor((runs - 1) / half))))

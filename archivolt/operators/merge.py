@@ -88,3 +88,8 @@ def sticky_labels(labels: DataFrame, keys: list[str], order: list[Column], flag:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def refresh(current: DataFrame, touched: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """``current`` with the rows of touched keys replaced by ``fresh``: late data recomputes its own groups alone."""
+    return current.join(touched.select(*keys).distinct(), keys, "left_anti").select(current.columns).unionByName(fresh)

@@ -104,3 +104,15 @@ def direction(rows: DataFrame, owners: list[str]) -> DataFrame:
 
 def received_now() -> datetime:
     return datetime.now(UTC)
+
+
+#: Types of attachment whose text is read, and the characters of it that are kept.
+TEXT_TYPES, TEXT_LIMIT = ("text/plain", "text/csv", "text/markdown", "application/json"), 200_000
+
+
+def attachment_text(files: DataFrame, *, limit: int = TEXT_LIMIT) -> DataFrame:
+    """``files`` (type, content) with ``text`` and ``status``: ok, truncated, empty or unsupported.  A byte that isn't UTF-8 is a replacement mark."""
+    readable = F.coalesce(F.lower("type").isin(*TEXT_TYPES), F.lit(False))
+    whole = F.decode(F.coalesce("content", F.lit(b"")), "UTF-8")
+    status = F.when(~readable, "unsupported").when(F.trim(whole) == "", "empty").when(F.length(whole) > limit, "truncated").otherwise("ok")
+    return files.withColumn("status", status).withColumn("text", F.when(F.col("status").isin("ok", "truncated"), F.substring(whole, 1, limit)))
