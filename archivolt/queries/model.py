@@ -115,9 +115,9 @@ def c29_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.sweep(_judged(spark, sf_dir).withColumn("ok", F.col("gold") == "good"), [0.8, 0.9, 0.95, 0.99])
 
 
-@registry.add(f"{_QUALITY} select least(9, greatest(0, floor(score * 10 + 1e-6)))::bigint as bucket, count(*)::bigint as n, count(*) filter (where gold = 'good')::bigint as right, avg(score)::double as mean from p group by 1")
+@registry.add(f"{_QUALITY} select least(9, greatest(0, floor(score * 10 + 1e-6)))::bigint as bucket, count(*)::bigint as n, count(*) filter (where gold = 'good')::bigint as right, round(avg(score), 6)::double as mean from p group by 1")
 def c25_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.calibration(_judged(spark, sf_dir).withColumn("ok", F.col("gold") == "good"))
+    return P.calibration(_judged(spark, sf_dir).withColumn("ok", F.col("gold") == "good")).withColumn("mean", F.round("mean", 6))
 
 
 @registry.add("with l as (select o_custkey as item, o_orderpriority as labeller, max(o_orderstatus) as value from orders group by 1, 2) select a.labeller as a, b.labeller as b, count(*)::bigint as both, count(*) filter (where a.value = b.value)::bigint as same from l a join l b on a.item = b.item and a.labeller < b.labeller group by 1, 2")

@@ -18,12 +18,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @registry.add(
-    "select n_name, r_name, count(*)::bigint as n, sum(o_totalprice)::double as total from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey group by 1, 2"
+    "select n_name, r_name, count(*)::bigint as n, sum(o_totalprice::decimal(18, 2))::double as total from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey group by 1, 2"
 )
 def j1_a1_inner_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     joined = joined.join(_t(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(_t(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    return joined.groupBy("n_name", "r_name").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    return joined.groupBy("n_name", "r_name").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
 @registry.add("select c_custkey, coalesce(n, 0)::bigint as n, coalesce(big, false) as big from customer left join (select o_custkey, count(*) as n, bool_or(o_totalprice > 450000) as big from orders group by 1) on o_custkey = c_custkey")
@@ -125,11 +125,11 @@ def a15_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "lineitem").groupBy(bucket.alias("bucket"), (F.col("l_returnflag") == "R").alias("returned")).agg(F.count("*").alias("n"))
 
 
-@registry.add("select user_id, sum(case event_type when 'purchase' then 0.6 when 'signup' then 0.3 when 'click' then 0.1 else 0 end * value)::double as mass from events group by 1")
+@registry.add("select user_id, round(sum(case event_type when 'purchase' then 0.6 when 'signup' then 0.3 when 'click' then 0.1 else 0 end * value), 6)::double as mass from events group by 1")
 def a21_j14_mass_per_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = spark.createDataFrame([("purchase", 0.6), ("signup", 0.3), ("click", 0.1)], "event_type string, weight double")
     rows = _t(spark, sf_dir, "events").join(F.broadcast(sides), "event_type", "left")
-    return rows.groupBy("user_id").agg(F.sum(F.coalesce("weight", F.lit(0.0)) * F.col("value")).alias("mass"))
+    return rows.groupBy("user_id").agg(F.round(F.sum(F.coalesce("weight", F.lit(0.0)) * F.col("value")), 6).alias("mass"))
 
 
 @registry.add(archive.ctes("message") + " select split_part(from_address, '@', 2) as domain, strftime(received_at, '%Y') as year, count(*)::bigint as n from message where direction in ('in', 'self') and received_at is not null and from_address is not null group by 1, 2 order by n desc, domain, year limit 12")
