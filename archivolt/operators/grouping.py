@@ -69,3 +69,19 @@ def sliding_counts(rows: DataFrame, keys: list[str], at: str, seconds: int) -> D
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     frame = Window.partitionBy(*keys).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
     return rows.withColumn("recent", F.count("*").over(frame))
+
+
+def day_load(rows: DataFrame, keys: list[str], start: str, end: str, first: str, last: str) -> DataFrame:
+    """(keys, day, seconds): busy time of each of the days, overlaps counted once; days without any are left out."""
+    low, high = F.col(start).cast("timestamp"), F.col(end).cast("timestamp")
+    inside = rows.where((high > low) & (low < F.date_add(F.lit(last).cast("date"), 1).cast("timestamp")) & (high > F.lit(first).cast("timestamp")))
+    days = F.sequence(F.greatest(low.cast("date"), F.lit(first).cast("date")), F.least((high - F.make_dt_interval(secs=F.lit(0.000001))).cast("date"), F.lit(last).cast("date")))
+    spread = inside.select(*keys, low.alias("__low"), high.alias("__high"), F.explode(days).alias("day"))
+    clipped = spread.select(*keys, "day", F.greatest("__low", F.col("day").cast("timestamp")).alias("__s"), F.least("__high", F.date_add("day", 1).cast("timestamp")).alias("__e"))
+    return busy_seconds(clipped, [*keys, "day"], "__s", "__e")
+
+
+def unread(messages: DataFrame, done: DataFrame, extractor: str, version: int, *, key: str = "id") -> DataFrame:
+    """The messages that an extractor hasn't read in this version or a later one."""
+    seen = done.where((F.col("extractor") == extractor) & (F.col("version") >= version)).select(F.col("message_id").alias(key))
+    return messages.join(seen, key, "left_anti")

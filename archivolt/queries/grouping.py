@@ -161,3 +161,23 @@ def c18_j12_unsettled_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     open_ = F.array(F.coalesce("subject", F.lit("")) == "", F.col("list_id").isNull(), F.col("from_name").isNull())
     cells = rows.select("from_address", F.explode(open_).alias("open"))
     return cells.groupBy("from_address").agg(F.count_if("open").alias("unsettled"), F.count("*").alias("cells")).where("unsettled >= 3")
+
+
+@registry.add(
+    "with i as (select l_suppkey, l_shipdate + interval 9 hour as s, l_shipdate + interval 9 hour + to_hours(cast(l_linenumber * 7 as int)) as e from lineitem), d as (select cast(unnest(generate_series(date '1997-03-01', date '1997-03-10', interval 1 day)) as date) as day),"
+    " c as (select l_suppkey, day, greatest(s, day::timestamp) as s, least(e, day::timestamp + interval 1 day) as e from i join d on s < day::timestamp + interval 1 day and e > day::timestamp),"
+    " b as (select *, max(e) over (partition by l_suppkey, day order by s, e rows between unbounded preceding and 1 preceding) as m from c)"
+    " select l_suppkey, day::varchar as day, sum(greatest(0, epoch(e) - greatest(epoch(s), coalesce(epoch(m), epoch(s)))))::double as seconds from b group by 1, 2"
+)
+def c38_day_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    start = F.col("l_shipdate") + F.make_dt_interval(hours=F.lit(9))
+    timed = rows.select("l_suppkey", start.alias("s"), (start + F.make_dt_interval(hours=(F.col("l_linenumber") * 7).cast("int"))).alias("e"))
+    return G.day_load(timed, ["l_suppkey"], "s", "e", "1997-03-01", "1997-03-10").withColumn("day", F.col("day").cast("string"))
+
+
+@registry.add(archive.ctes("message") + " select id from message where is_automated and id not in (select l_orderkey from lineitem where l_returnflag = 'R' and l_linenumber >= 3)")
+def c36_unread_by_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Machine mail that the extractor's present version has yet to read."""
+    done = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("message_id"), F.col("l_returnflag").alias("extractor"), F.col("l_linenumber").alias("version"))
+    return G.unread(archive.messages(spark, sf_dir).where("is_automated"), done, "R", 3).select("id")

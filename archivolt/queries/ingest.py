@@ -57,6 +57,7 @@ def s11_s14_mime_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 3 == 0, "References: <1@x> <2@x>\n").otherwise(""), F.lit("\n"), "o_orderstatus", F.lit("\n"),
     )
     raw = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.sha2(text, 256).alias("sha256"), F.concat(F.lit("m/"), "o_orderkey").alias("path"), F.encode(text, "UTF-8").alias("raw"))
+    raw = raw.repartition(spark.sparkContext.defaultParallelism, "sha256")  # the stated mail comes from one small file; a scan of mail has parts of its own
     good, _ = mail.split_quarantine(mail.parsed(raw))
     people = F.array_join(F.transform("recipients", lambda r: F.concat_ws(":", r["role"], r["address"])), ",")
     return good.select("sha256", "message_id", "subject", "from_name", "from_address", people.alias("recipients"), F.size("refs").alias("refs"), "body")
