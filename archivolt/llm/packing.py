@@ -225,7 +225,9 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY, length: str = "length",
 
     lows = {size: np.array([x[0] for x in rows], np.int64) for size, rows in by_length.items()}
     rest = {size: np.array([x[1:] for x in rows], np.int64) for size, rows in by_length.items()}
-    shared = spark.sparkContext.broadcast((lows, rest))  # as large as the plan, which the capacity bounds
+    # At most capacity * steps / 2 configurations come from the program and 4 bins a length from the rest; a sequence
+    # has at most 63 different lengths (1 + 2 + ... + 63 = 2016).  At 32 bytes each that is 140 MB, whatever the documents.
+    shared = spark.sparkContext.broadcast((lows, rest))
 
     def place(sizes: pd.Series, ranks: pd.Series) -> pd.DataFrame:
         lows, rest = shared.value
