@@ -1,6 +1,7 @@
 """License scans: Dice coefficient over word bigrams against license templates.
 
-Lines, paragraphs (runs of lines with words) and whole texts are the candidates.
+Lines, paragraphs (runs of lines with words), whole texts, and every run of as
+many words as a template has, wherever it starts, are the candidates.
 A candidate and a template that reach the threshold t have sizes within a factor
 of t / (2 - t), so a template is only compared with candidates of fitting size;
 and at least half of t of both sizes must be shared, so candidates with too few
@@ -15,6 +16,9 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
+from math import ceil
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,8 +32,77 @@ THRESHOLD = 0.8
 MOST_WORDS = 1_000_000
 _FOUND = "array<struct<license:string,score:double,first_line:int,last_line:int>>"
 
-# Notices by which public licenses are applied to a text.
+# Notices by which public licenses are applied to a text, and their whole texts.
+_CC = (
+    ("BY", "Attribution"),
+    ("BY-SA", "Attribution-ShareAlike"),
+    ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+)
+#: The condition and the disclaimers that follow the MIT notice, and those of the BSD licenses.
+_MIT_REST = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_REST = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+    "and this permission notice appear in all copies. "
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+)
+#: Whole texts, as published, by file name.
+_TEXTS = tuple((p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+_SPDX = (
+    *("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"),
+    *(f"CC-{short}-4.0" for short, _ in _CC),
+)
 TEMPLATES = (
+    *((name, f"SPDX-License-Identifier: {name}") for name in _SPDX),
+    *((f"CC-{short}-4.0", f"Licensed under CC {short} 4.0.") for short, _ in _CC),
+    *((f"CC-{short}-4.0", f"This work is licensed under a Creative Commons {long} 4.0 International License.") for short, long in _CC if short not in ("BY", "BY-SA")),
+    *_TEXTS,
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", _BSD_2 + _BSD_REST),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", _BSD_2 + _BSD_3 + _BSD_REST),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", _ISC),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", _MIT + _MIT_REST),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
@@ -74,7 +147,8 @@ class Index:
 
     sizes: list[int]
     templates: list[tuple[str, set[tuple[bytes, bytes]]]]
-    every: set[tuple[bytes, bytes]]
+    lengths: list[int]  # in words
+    every: dict[tuple[bytes, bytes], list[int]]  # the places of the templates with a bigram
     words: set[bytes]
     threshold: float
 
@@ -87,17 +161,19 @@ class Index:
 
 def index(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> Index:
     """Templates without a bigram (fewer than two words) match nothing."""
-    made = sorted(((name, bigrams(words_of(text))) for name, text in templates), key=lambda x: (len(x[1]), x[0]))
-    made = [x for x in made if x[1]]
-    if sum(len(b) for _, b in made) > MOST_WORDS:
+    words = [(name, words_of(text)) for name, text in templates]
+    made = sorted(((name, bigrams(w), len(w)) for name, w in words if len(w) > 1), key=lambda x: (len(x[1]), x[0]))
+    if sum(len(b) for _, b, _ in made) > MOST_WORDS:
         raise ValueError("too many templates for one broadcast")
-    every = set().union(*(b for _, b in made))
-    return Index([len(b) for _, b in made], made, every, {w for b in every for w in b}, threshold)
+    every: dict[tuple[bytes, bytes], list[int]] = {}
+    for at, (_, b, _) in enumerate(made):
+        for pair in b:
+            every.setdefault(pair, []).append(at)
+    return Index([len(b) for _, b, _ in made], [x[:2] for x in made], [n for _, _, n in made], every, {w for b in every for w in b}, threshold)
 
 
-def _candidates(text: str) -> Iterator[tuple[int, int, list[bytes]]]:
+def _candidates(lines: list[list[bytes]]) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first line, last line, words) of lines, paragraphs of several lines, and the whole."""
-    lines = [words_of(x) for x in text.split("\n")]
     yield from ((i, i, w) for i, w in enumerate(lines) if w)
     start = None
     blocks = []
@@ -113,32 +189,82 @@ def _candidates(text: str) -> Iterator[tuple[int, int, list[bytes]]]:
             yield first, last, [w for x in lines[first : last + 1] for w in x]
 
 
+def _windows(words: list[bytes], held: Index) -> Iterator[tuple[str, float, int, int]]:
+    """(license, score, first word, last word) of the best run of words as long as a template, for each template.
+
+    A run that reaches the threshold t shares t / (2 - t) of the template's
+    bigrams at least, so only starts with so many of them ahead are looked at.
+    """
+    hits: dict[int, list[int]] = {}
+    for i, pair in enumerate(zip(words, words[1:])):  # noqa: B905  the shorter ends it
+        for at in held.every.get(pair, ()):
+            hits.setdefault(at, []).append(i)
+    for at, places in sorted(hits.items()):
+        (name, template), span = held.templates[at], held.lengths[at] - 1  # bigrams of a run
+        need = max(1, ceil(held.threshold / (2 - held.threshold) * len(template) - 1e-9))
+        last_start = len(words) - 1 - span
+        ranges: list[list[int]] = []
+        for first, last in zip(places, places[need - 1 :]):  # noqa: B905
+            low, high = max(0, last - span + 1), min(first, last_start)
+            if low <= high:
+                if ranges and low <= ranges[-1][1] + 1:
+                    ranges[-1][1] = max(high, ranges[-1][1])
+                else:
+                    ranges.append([low, high])
+        best = (0.0, 0)
+        for low, high in ranges:
+            counts: dict[tuple[bytes, bytes], int] = {}
+            shared = 0
+            for i in range(low, high + span):
+                pair = (words[i], words[i + 1])
+                counts[pair] = counts.get(pair, 0) + 1
+                shared += counts[pair] == 1 and pair in template
+                if i >= low + span:
+                    out = (words[i - span], words[i - span + 1])
+                    counts[out] -= 1
+                    if not counts[out]:
+                        del counts[out]
+                        shared -= out in template
+                if i >= low + span - 1:
+                    score = 2 * shared / (len(counts) + len(template))
+                    if score > best[0]:
+                        best = (score, i - span + 1)
+        if best[0] >= held.threshold:
+            yield name, best[0], best[1], best[1] + span
+
+
 def scan(text: str | None, held: Index) -> list[tuple[str, float, int, int]]:
     """(license, score, first line, last line) of the best candidate of each license, by name."""
     best: dict[str, tuple[float, int, int]] = {}
     if not text or not held.sizes:
         return []
     largest = 2 * held.sizes[-1] / held.threshold  # bigrams beyond which no template fits
-    for first, last, words in _candidates(text):
+    lines = [words_of(x) for x in text.split("\n")]
+    for first, last, words in _candidates(lines):
         if len(held.words.intersection(words)) < 2:
             continue
         found = bigrams(words)
         if not found or len(found) > largest:
             continue
-        shared = found & held.every
+        shared = found & held.every.keys()
         if 2 * len(shared) < held.threshold * len(found):
             continue
         for name, template in held.fitting(len(found)):
             score = 2 * len(shared & template) / (len(found) + len(template))
             if score >= held.threshold and (name not in best or score > best[name][0]):
                 best[name] = (score, first, last)
+    ends = list(accumulate(len(w) for w in lines))
+    for name, score, first, last in _windows([w for line in lines for w in line], held):
+        if name not in best or score > best[name][0]:
+            best[name] = (score, bisect_right(ends, first), bisect_right(ends, last))
     return [(name, *x) for name, x in sorted(best.items())]
 
 
 def find_licenses(docs: DataFrame, *, text: str = "text", into: str = "licenses", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``into``: (license, score, first_line, last_line) by license.
 
-    Of equal scores the earliest line wins, then paragraphs, then the whole text.
+    Of equal scores the earliest line wins, then paragraphs, then the whole text,
+    then the earliest run of words.
     Null and empty texts have none; lines count from 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index(templates, threshold))
@@ -164,7 +290,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def oracle_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same by DuckDB: all candidates against all templates."""
+    """The same by DuckDB: all candidates but the runs of words against all templates."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in templates)
     fold = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 
 from archivolt.llm import licenses, queries
@@ -41,3 +43,36 @@ def test_frames_with_nulls_repeats_and_extra_columns(spark):
     got = licenses.find_licenses(frame).orderBy("doc_id").collect()
     assert [len(r["licenses"]) for r in got] == [0, 0, 1] and got[0]["license"] == 5
     assert licenses.find_licenses(frame.limit(0)).count() == 0
+
+
+def test_notices_among_other_words_and_whole_texts():
+    held = licenses.index()
+    names = lambda text: {s[0] for s in licenses.scan(text, held)}
+    assert "CC-BY-NC-4.0" in names("Licensed under CC BY-NC 4.0.")
+    prose = "the river ran past the old mill and nobody in the village could say for how long "
+    assert "CC-BY-NC-4.0" in names(prose * 3 + "Licensed under CC BY-NC 4.0. " + prose)
+    gpl = dict(licenses.TEMPLATES)["GPL-3.0"].split()
+    wrapped = "\n".join([prose, *(" ".join(gpl[i : i + 9]) for i in range(0, len(gpl), 9)), prose, prose])
+    found = {s[0]: s for s in licenses.scan(wrapped, held)}
+    assert found["GPL-3.0"][1:3] == (1.0, 1)
+    for name, text in licenses.TEMPLATES:
+        if len(text) > 700:
+            assert name in names(f"{prose}\n{text}\n\n{prose * 200}")
+    assert names(prose * 50) == set()
+
+
+def test_runs_of_words_against_brute_force():
+    draw = random.Random(5)
+    templates = tuple((f"t{k}", " ".join(draw.choices("abcde", k=n))) for k, n in enumerate((2, 4, 6, 9, 14)))
+    held = licenses.index(templates)
+    for _ in range(400):
+        words = [w.encode() for w in draw.choices("abcde", k=draw.randint(0, 40))]
+        want = {}
+        for name, text in templates:
+            t, n = licenses.bigrams([w.encode() for w in text.split()]), len(text.split())
+            for a in range(len(words) - n + 1):
+                b = licenses.bigrams(words[a : a + n])
+                score = 2 * len(b & t) / (len(b) + len(t))
+                if score >= held.threshold and (name not in want or score > want[name][0]):
+                    want[name] = (score, a, a + n - 1)
+        assert {x[0]: x[1:] for x in licenses._windows(words, held)} == want
