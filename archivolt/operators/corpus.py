@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.functions import text as X
-from archivolt.operators.graph import written
+from archivolt.operators.graph import connected, written
 
-# Bands, rows of a band, words of a shingle, shared bands of a near copy.
-BANDS, ROWS, SHINGLE, MIN_BANDS = 16, 4, 5, 3
+# Words of a shingle, and the Jaccard similarity of near copies as a fraction.
+SHINGLE, SIMILAR = 5, (4, 5)
+#: Texts that frequent shingles are counted in, and how many of those are told apart; neither changes a result.
+SAMPLED, FREQUENT = 10_000, 100_000
 
 
 def exact_copies(samples: DataFrame) -> DataFrame:
@@ -22,46 +24,89 @@ def exact_copies(samples: DataFrame) -> DataFrame:
     return keyed.join(first, "__key").withColumn("dup_of", F.when(F.col("__first") < F.col("id"), F.col("__first"))).drop("__key", "__first")
 
 
-def _signature(text: str) -> list[int]:
-    """The band numbers of a normalised text: MinHash by multiply-add hashes of its shingles' 64-bit hashes."""
+def _shingles(text: str) -> np.ndarray:
+    """The 64-bit hashes of a normalised text's word shingles, each once, in order."""
     words = text.split(" ")
     grams = {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), np.uint64, len(grams))
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):  # a very long text takes no more memory than 4096 shingles
-        mixed = hashes[at : at + 4096, None] * _FACTORS[0] + _FACTORS[1]
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
-    return [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) - (1 << 63) for b in range(BANDS)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), np.uint64, len(grams)).view(np.int64))
 
 
-#: Odd factors and offsets of the hash family, from a fixed seed.
-_FACTORS = np.random.default_rng(17).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+def shingle_hashes(norm: Column) -> Column:
+    """The set of shingle hashes of a normalised text."""
 
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([_shingles(t) for t in texts], index=texts.index, dtype=object)
 
-def bands(text: Column) -> Column:
-    """A 64-bit number per band of MinHash values over word shingles."""
+    return F.pandas_udf(hashed, "array<long>").asNondeterministic()(norm)
 
-    def signed(texts: pd.Series) -> pd.Series:
-        return pd.Series([_signature(t) for t in texts], index=texts.index, dtype=object)
 
-    return F.pandas_udf(signed, "array<long>").asNondeterministic()(X.normalized(text))
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(h, id, n): of each set of n hashes those of which two sets within the threshold share one.
+
+    In one order of all hashes, sets that share SIMILAR of the larger meet in
+    the first n - ceil(SIMILAR n) + 1.  That holds in any order; frequent ones,
+    told by a sample of sets, come last, so that a common passage brings few together.
+    """
+    share = min(1.0, SAMPLED / max(1, sets.count()))
+    drawn = sets.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select(F.explode("sh").alias("h"))
+    frequent = drawn.groupBy("h").count().where("count > 3").orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas().sort_values("h")
+    # at most FREQUENT pairs of 64-bit numbers
+    shared = sets.sparkSession.sparkContext.broadcast((frequent["h"].to_numpy(np.int64), frequent["count"].to_numpy(np.int64)))
+
+    def first(found: pd.Series) -> pd.Series:
+        keys, counts = shared.value
+
+        def of(h: np.ndarray) -> np.ndarray:
+            h = np.asarray(h, np.int64)
+            weight = np.zeros(len(h), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                weight = np.where(keys[at] == h, counts[at], 0)
+            n = len(h)
+            return h[np.lexsort((h, weight))[: n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1]]
+
+        return pd.Series([of(h) for h in found], index=found.index, dtype=object)
+
+    kept = F.pandas_udf(first, "array<long>").asNondeterministic()(F.col("sh"))
+    return sets.select("id", F.size("sh").alias("n"), kept.alias("p")).select(F.explode("p").alias("h"), "id", "n")
+
+
+def _fits(n: str, m: str) -> Column:
+    """Whether sets of these sizes can be similar."""
+    return (F.least(n, m) * SIMILAR[1]) >= (F.greatest(n, m) * SIMILAR[0])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those whose whole sets reach the threshold."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sh").alias("y")), "b")
+    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("s"))
+    return common.where(F.col("c") * SIMILAR[1] >= (F.col("s") - F.col("c")) * SIMILAR[0]).select("a", "b")
 
 
 def near_copies(samples: DataFrame) -> DataFrame:
-    """(id, dup_of): texts of which an earlier one shares three bands or more; the earliest such one.
+    """(id, dup_of): texts that links of Jaccard SIMILAR or more over word shingles join to an earlier one; the earliest such one.
 
-    Equal band lists are one class, and within a band every class meets only the
-    band's earliest class, so a band that thousands share costs a row each.
+    Equal normalised texts are one class.  Candidates are exact (``_prefixes``):
+    first every class with the earliest that shares a hash of it, which joins
+    most copies by a row each; then all other pairs whose ends aren't joined yet.
     """
-    banded = written(samples.select("id", bands(F.col("text")).alias("bands")), "bands")  # read three times
-    classes = banded.groupBy("bands").agg(F.min("id").alias("id"))
-    flat = classes.select("id", F.posexplode("bands").alias("b", "v"))
-    heads = flat.groupBy("b", "v").agg(F.min("id").alias("head"))
-    meets = flat.join(heads, ["b", "v"]).where("head < id").groupBy("id", "head").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_BANDS)
-    best = meets.groupBy("id").agg(F.min("head").alias("__head"))
-    member = banded.join(classes.select("bands", F.col("id").alias("class")), "bands").select("id", "class")
-    found = member.join(best.withColumnRenamed("id", "class"), "class", "left")
-    return found.select("id", F.coalesce("__head", F.when(F.col("class") < F.col("id"), F.col("class"))).alias("dup_of")).where("dup_of is not null")
+    keyed = samples.select("id", X.normalized(F.col("text")).alias("norm")).withColumn("key", F.sha2("norm", 256))
+    member = written(keyed.select("id", "key"), "members")
+    classes = keyed.groupBy("key").agg(F.min("id").alias("id"), F.any_value("norm").alias("norm"))
+    sets = written(classes.select("id", shingle_hashes(F.col("norm")).alias("sh")), "sets")  # read by every step
+    prefixes = written(_prefixes(sets), "prefixes")
+    heads = prefixes.groupBy("h").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("k")).where("k > 1").select("h", "head.*").toDF("h", "a", "m")
+    first = prefixes.join(heads, "h").where((F.col("a") < F.col("id")) & _fits("n", "m")).select("a", F.col("id").alias("b")).distinct()
+    links = written(_similar(first, sets), "links")
+    root = connected(links)
+    rooted = prefixes.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = rooted.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("h")
+    rest = written(rooted.join(mixed, "h"), "rest")
+    other = rest.select("h", F.col("id").alias("a"), F.col("n").alias("m"), F.col("root").alias("top"))
+    pairs = rest.join(other, "h").where((F.col("a") < F.col("id")) & (F.col("root") != F.col("top")) & _fits("n", "m")).select("a", F.col("id").alias("b")).distinct()
+    root = connected(links.unionByName(_similar(pairs, sets)))
+    named = member.groupBy("key").agg(F.min("id").alias("class")).join(root.withColumnRenamed("id", "class"), "class", "left").select("key", F.coalesce("root", "class").alias("dup_of"))
+    return member.join(named, "key").where("dup_of < id").select("id", "dup_of")
 
 
 def mine_phrases(samples: DataFrame, *, n: int = 3, least: int = 5, most_share: float = 0.8) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -161,6 +162,32 @@ def test_near_copies(spark):
     assert got == {2: 1, 3: 1, 6: 5}
 
 
+def test_near_copies_against_brute_force(spark):
+    """Passages that many texts share, and near copies of which each has an earlier text of its own passage."""
+    draw = random.Random(4)
+    word = lambda: f"w{draw.randrange(5000)}"
+    passages = [" ".join(word() for _ in range(60)) for _ in range(6)]
+    texts = []
+    for i in range(90):
+        body = " ".join(word() for _ in range(draw.choice((20, 60, 200))))
+        texts.append(f"{passages[i % 6]} {body}" if i % 3 else body)
+    for i in range(90):
+        words = draw.choice(texts).split(" ")
+        for _ in range(draw.randrange(5)):
+            words[draw.randrange(len(words))] = word()
+        texts.append(" ".join([*words, *passages[i % 6].split(" ")[: draw.choice((0, 0, 20))]]))
+    texts += [f"{p} {passages[k]}" for k, p in enumerate(passages[1:])]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split(" ") for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    got = {r["id"]: r["dup_of"] for r in corpus.near_copies(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()}
+    assert got == {i: r for i, r in enumerate(root) if r != i} and len(got) > 30
+
+
 MAIL = b"From: Anna <a@x.example>\r\nTo: Me <me@home.example>, b@y.example\r\nSubject: =?utf-8?q?H=C3=A4lsning?=\r\nDate: Mon, 01 Jan 2024 10:00:00 +0200\r\nMessage-ID: <1@x>\r\nReferences: <0@x>\r\n\r\nHello\r\n"
 
 
