@@ -100,8 +100,12 @@ class Model:
         return best, score, score < self.floors[np.digitize(counts.sum(axis=1), CLASSES)]
 
 
-def _clusters(x: np.ndarray, k: int) -> np.ndarray:
-    """Spherical k-means from evenly spread first centres; fixed input gives fixed centroids."""
+def _clusters(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means from evenly spread first centres; fixed input gives fixed centroids.
+
+    With every row's similarity to the nearest centroid, its own one without the
+    row; -1 for a row alone.
+    """
     k = min(k, len(x))
     near = x @ x.mean(axis=0)
     centres = x[np.argsort(near, kind="stable")[np.linspace(0, len(x) - 1, k).astype(int)]]
@@ -109,7 +113,12 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
         owner = (x @ centres.T).argmax(axis=1)
         sums = np.stack([x[owner == i].sum(axis=0) if (owner == i).any() else centres[i] for i in range(k)])
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return centres.astype(np.float32)
+    like, rows = x @ centres.T, np.arange(len(x))
+    alone = np.bincount(owner, minlength=k)[owner] == 1
+    rest = sums[owner] - x
+    left = (x * rest).sum(axis=1) / np.maximum(np.linalg.norm(rest, axis=1), 1e-12)
+    like[rows, owner] = np.where(alone, -1, left)
+    return centres.astype(np.float32), like.max(axis=1)
 
 
 def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
@@ -119,29 +128,30 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
     idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1
     x = unit(counts, idf)
     names = np.array([n for n, _ in rows], dtype=object)
-    centroids, owners = [], []
+    centroids, owners, like = [], [], np.full(len(x), -1.0)
     for name in sorted(set(names)):
-        made = _clusters(x[names == name], CENTROIDS)
+        made, like[names == name] = _clusters(x[names == name], CENTROIDS)
         centroids.append(made)
         owners += [name] * len(made)
     table = np.concatenate(centroids)
-    own = np.stack([[o == n for o in owners] for n in names])
-    like = np.where(own, x @ table.T, -1).max(axis=1)
     of, floors = np.digitize(counts.sum(axis=1), CLASSES), np.zeros(len(CLASSES) + 1)
     low = 0.0
     for c in range(len(CLASSES) + 1):  # longer texts are no less similar: a class without rows takes the one before
-        if (of == c).any():
-            low = SLACK * float(like[of == c].min())
+        seen = (of == c) & (like > -1)  # a text alone tells nothing of others
+        if seen.any():
+            low = SLACK * float(like[seen].min())
         floors[c] = low
     return Model(owners, table, idf, floors)
 
 
 def sample(docs: DataFrame, *, text: str, lang: str, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """About ``per_language`` labelled rows of each language, by a hash of the text."""
+    """About ``per_language`` different labelled texts of each language, by a hash of the text; all of them where there are fewer."""
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, per_language / r["count"]))]) if sizes else F.lit(None).cast("map<string,double>")
-    draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    hashed = F.xxhash64("text", F.lit(11))
+    texts = rows.groupBy("lang", hashed.alias("h")).agg(F.count("*").alias("n"))
+    sizes = texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, per_language / r["texts"]))]) if sizes else F.lit(None).cast("map<string,double>")
+    draw = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
     return rows.where(draw < share[F.col("lang")]).dropDuplicates(["lang", "text"])  # copies are drawn together, and count once
 
 

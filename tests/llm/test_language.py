@@ -57,3 +57,19 @@ def test_nothing_to_learn_from(spark):
     frame = spark.createDataFrame([(1, "a text", None)], "doc_id long, text string, lang string")
     assert L.predict_documents(frame).first()["lang_pred"] == "und"
     assert L.predict_documents(frame.limit(0)).count() == 0
+
+
+def test_copies_take_no_share_of_the_sample(spark):
+    rows = [(f"{' '.join(WORDS['de'][i % 6 :])} {i} und{chr(97 + i % 26)}{chr(97 + i // 26)}", "de") for i in range(30) for _ in range(100)] + [(f"the house {chr(97 + i)} water", "en") for i in range(26)]
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    drawn = {(r["text"], r["lang"]) for r in L.sample(frame, text="text", lang="lang", per_language=40).collect()}
+    assert drawn == set(rows)
+
+
+def test_few_texts_set_no_high_floor():
+    rows = [(lang, L.grams(f"{WORDS[lang][i]} {WORDS[lang][i + 1]} {WORDS[lang][i + 2]} {WORDS[lang][i + 3]}")) for lang in sorted(WORDS) for i in range(2)]
+    other = np.stack([L.grams(" ".join(reversed(WORDS[lang][2:5]))) for lang in sorted(WORDS)])
+    model = L.fit(rows)
+    best, _, rejected = model.predict(other)
+    assert [model.languages[b] for b in best] == sorted(WORDS) and not rejected.any()
+    assert (L.fit(rows[:1]).floors == 0).all()
