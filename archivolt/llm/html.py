@@ -5,8 +5,8 @@ block, with the number of tags seen while it was read and the elements around it
 Lines inside menus, headers, footers, sidebars, notices, adverts, forms and
 comments count as no text.  The text-to-tag ratios of all lines are smoothed with
 a Gaussian and cut at a threshold, which gives clusters of content; the element
-that holds the heaviest cluster is the content region, and every line in it that
-isn't boilerplate is returned, short ones included.
+that holds all clusters is the content region, and every line in it that isn't
+boilerplate is returned, short ones included.
 """
 
 from __future__ import annotations
@@ -155,28 +155,16 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def region(lines: list[Line], kinds: dict[int, str]) -> int | None:
-    """The element that holds the heaviest content cluster; None for the whole page."""
+    """The element that holds all content clusters; None for the whole page."""
     ratios = np.array([0.0 if x.dropped else len(x.text) / max(1, x.tags) for x in lines])
     even = smooth(ratios)
-    content = (even >= THRESHOLD * even.std()) & (ratios > 0)
-    best, at = (0.0, 0, 0), 0
-    while at < len(lines):
-        if content[at]:
-            stop = at
-            while stop < len(lines) and content[stop]:
-                stop += 1
-            weight = float(sum(len(x.text) for x in lines[at:stop]))
-            best = max(best, (weight, -at, stop))
-            at = stop
-        else:
-            at += 1
-    if not best[0]:
+    content = np.flatnonzero((even >= THRESHOLD * even.std()) & (ratios > 0))
+    if not len(content):
         return None
-    cluster = lines[-best[1] : best[2]]
-    shared = cluster[0].path
-    for x in cluster[1:]:
-        n = 0
-        while n < min(len(shared), len(x.path)) and shared[n] == x.path[n]:
+    shared = lines[content[0]].path
+    for i in content[1:]:
+        path, n = lines[i].path, 0
+        while n < min(len(shared), len(path)) and shared[n] == path[n]:
             n += 1
         shared = shared[:n]
     # an article or main element around it is the region, else the nearest section

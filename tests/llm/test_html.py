@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import pytest
+
 from archivolt.llm import html, queries
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -25,6 +27,16 @@ def test_pages_without_an_article_element():
     assert html.main_text(page).split("\n") == [f"Paragraph {i} with a good many words in it, as articles have." for i in range(5)]
 
 
+@pytest.mark.parametrize("tag", ["div", "section", "article", "td"])
+def test_pages_split_over_sibling_elements(tag):
+    long = lambda k: [f"Paragraph {i} of part {k} with a good many words in it, as articles have." for i in range(4)]
+    parts = [long(0), [f"item {i}" for i in range(10)], long(1), ["x", "y"], long(2)]
+    body = "".join(f"<{tag}>{''.join(f'<p>{line}</p>' for line in part)}</{tag}>" for part in parts)
+    body = f"<table><tr>{body}</tr></table>" if tag == "td" else body
+    page = f"<body><nav><a>Home</a></nav><div class='content'>{body}</div><footer>us</footer></body>"
+    assert html.main_text(page).split("\n") == [line for part in parts for line in part]
+
+
 def test_empty_null_broken_and_long():
     assert html.main_text(None) == html.main_text("") == html.main_text("<script>x</script>") == ""
     assert html.main_text("plain text only") == "plain text only"
