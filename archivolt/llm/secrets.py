@@ -5,6 +5,7 @@ built and states are merged where their counts are statistically compatible (the
 Hoeffding test of state-merging grammar inference), which gives a probabilistic
 automaton.  Every candidate string of a text is scored by each automaton: the
 mean log-likelihood of a character against that of a model of ordinary strings.
+A candidate is a maximal run, or a part of one that starts with a format's prefix.
 A candidate whose best format exceeds the threshold is a secret.
 
 Learning happens once on the driver from a bounded list of labelled strings; the
@@ -39,7 +40,8 @@ BASE = (
     ("access", lambda low: "akia" in low, re.compile(r"AKIA[A-Z0-9]{14,}"), lambda m: True),
     ("hex", lambda low: True, re.compile(r"[0-9a-f]{16,}"), lambda m: True),
 )
-#: Maximal runs of the characters that credentials are made of.
+#: Characters of a candidate, at least, and maximal runs of the characters that credentials are made of.
+LEAST = 16
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}")
 
 #: How sure a difference has to be to keep two states apart, and the visits below which a state is compatible with any.
@@ -86,6 +88,7 @@ class Automaton:
     prefix: str
     step: list[dict[str, tuple[int, float]]]
     end: list[float]
+    accepts: list[bool]  # whether a credential has ended there
 
 
 @dataclass
@@ -172,12 +175,13 @@ def infer(name: str, credentials: list[str]) -> Automaton:
             _fold(tree, into, state)
         waiting = [(k, x) for k in kept for x in sorted(tree[k].out) if tree[k].out[x][0] not in kept]
     place = {k: i for i, k in enumerate(kept)}
-    step, end = [], []
+    step, end, accepts = [], [], []
     for k in kept:
         total = tree[k].ends + sum(times for _, times in tree[k].out.values())
         step.append({x: (place[target], log(times / total) - log(_CLASS_SIZE.get(x, 1))) for x, (target, times) in tree[k].out.items()})
         end.append(log(max(tree[k].ends, 0.5) / (total + 0.5)))
-    return Automaton(name, prefix, step, end)
+        accepts.append(tree[k].ends > 0)
+    return Automaton(name, prefix, step, end, accepts)
 
 
 def learn(rows: list[tuple[str, str]]) -> list[Automaton]:
@@ -209,6 +213,42 @@ def score(candidate: str, automaton: Automaton) -> float:
     return gain + automaton.end[state]
 
 
+def last_end(run: str, start: int, automaton: Automaton, threshold: float) -> tuple[float, int]:
+    """(gain, end) at the last accepting position, LEAST characters or more behind ``start``, that reaches the threshold.
+
+    Merged states carry no length, so between accepting positions the gain only
+    tells common characters from rare ones; the last one covers the credential.
+    """
+    at = start + len(automaton.prefix)
+    state, gain, best = 0, -len(automaton.prefix) * _ORDINARY, (float("-inf"), at)
+    while True:
+        if automaton.accepts[state] and at - start >= LEAST and gain + automaton.end[state] >= threshold:
+            best = (gain + automaton.end[state], at)
+        got = automaton.step[state].get(_CLASS.get(run[at], run[at])) if at < len(run) else None
+        if got is None:
+            return best
+        state, p = got
+        gain += p - _ORDINARY
+        at += 1
+
+
+def inside(run: str, automata: list[Automaton], threshold: float) -> list[tuple[float, int, int, str]]:
+    """(gain, start, end, format) of the credentials within a run, from every occurrence of a learned prefix; of overlapping ones the best."""
+    found = []
+    for a in automata:
+        start = run.find(a.prefix) if a.prefix else -1
+        while start >= 0:
+            gain, end = last_end(run, start, a, threshold)
+            if gain >= threshold:
+                found.append((gain, start, end, a.name))
+            start = run.find(a.prefix, start + 1)
+    kept: list[tuple[float, int, int, str]] = []
+    for x in sorted(found, key=lambda x: (-x[0], x[1], x[3])):
+        if all(x[2] <= k[1] or k[2] <= x[1] for k in kept):
+            kept.append(x)
+    return kept
+
+
 def scan(text: str | None, automata: list[Automaton], threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of the base spans, then of those that the automata add, by start."""
     if not text:
@@ -220,6 +260,9 @@ def scan(text: str | None, automata: list[Automaton], threshold: float = THRESHO
         gain, name = max(((score(part, a), a.name) for a in automata), default=(float("-inf"), ""))
         if gain >= threshold:
             found.append((len(BASE), name, m.start(), m.end(), round(1 - 1 / (1 + gain), 6)))
+            continue
+        for gain, start, end, name in inside(part, automata, threshold):  # the run holds more than a credential
+            found.append((len(BASE), name, m.start() + start, m.start() + end, round(1 - 1 / (1 + gain), 6)))
     found.sort(key=lambda s: (s[2], s[0], s[1]))
     return [s[1:] for s in found]
 

@@ -62,6 +62,20 @@ def test_formats_are_told_from_words_and_from_each_other():
     assert not added
 
 
+def test_formats_inside_urls_paths_and_options():
+    automata = secrets.learn(secrets.labelled())
+    held = secrets.labelled(examples=40, seed=98)
+    for before, after in (("https://example.com/", ""), ("see ", "/repo"), ("run -", " now"), ("key_", "."), ("git+https://a:", "@host/x"), ("/home/user/", "+next")):
+        right = 0
+        for name, c in held:
+            got = [s[:3] for s in secrets.scan(f"{before}{c}{after}", automata) if s[0] not in ("assign", "access", "hex")]
+            right += (name, len(before), len(before) + len(c)) in got
+        assert right >= 0.95 * len(held), (before, after, right)
+    first, second = [c for name, c in held if name == "forge_token"][:2]
+    assert [s[1:3] for s in secrets.scan(f"x/{first}/{second}", automata)] == [(2, 42), (43, 83)]
+    assert secrets.scan("the path npm_modules/glpat-readme/sk_live_docs/index", automata) == []
+
+
 def test_states_merge_and_keep_the_format():
     rows = ["k-" + "ab" * n for n in range(1, 40) for _ in range(5)]
     made = secrets.infer("x", rows)
