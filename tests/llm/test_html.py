@@ -30,7 +30,8 @@ def test_pages_without_an_article_element():
 @pytest.mark.parametrize("tag", ["div", "section", "article", "td"])
 def test_pages_split_over_sibling_elements(tag):
     long = lambda k: [f"Paragraph {i} of part {k} with a good many words in it, as articles have." for i in range(4)]
-    parts = [long(0), [f"item {i}" for i in range(10)], long(1), ["x", "y"], long(2)]
+    short = lambda k: [f"row {k} {i}" for i in range(4)]
+    parts = [[*short(k), *long(k), *short(k)] for k in range(3)]  # short lines on both sides keep a cluster within its part
     body = "".join(f"<{tag}>{''.join(f'<p>{line}</p>' for line in part)}</{tag}>" for part in parts)
     body = f"<table><tr>{body}</tr></table>" if tag == "td" else body
     page = f"<body><nav><a>Home</a></nav><div class='content'>{body}</div><footer>us</footer></body>"
