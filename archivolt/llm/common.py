@@ -63,6 +63,48 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+#: Code points of a block of ``blocks``.
+BLOCK = 1024
+
+
+def blocks(text: Column) -> Column:
+    """The text in blocks of ``BLOCK`` code points, the last one shorter; for ``cut`` to look places up in."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(held: Column, start: Column, end: Column) -> Column:
+    """The code points start..end of the text whose ``blocks`` are held.
+
+    ``substring`` counts from the start of a text, which is quadratic where many
+    spans are cut from a long one; here a cut costs a block and its own length.
+    """
+    first, last = (start / BLOCK).cast("int"), (end / BLOCK).cast("int")
+    at = lambda i: F.coalesce(F.get(held, i), F.lit(""))
+    within = F.substring(at(first), start % BLOCK + 1, end - start)
+    across = F.concat(
+        F.substring(at(first), start % BLOCK + 1, F.lit(BLOCK)),
+        F.array_join(F.slice(held, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+        F.substring(at(last), F.lit(1), end % BLOCK),
+    )
+    return F.when(first == last, within).otherwise(across)
+
+
+def running(values: Column, combine) -> Column:
+    """The inclusive running ``combine`` of an array, in log2(n) passes of doubled reach.
+
+    An ``aggregate`` that appends to an array copies it at every step.
+    """
+    size = F.size(values)
+    passes = F.array_repeat(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1)))).cast("int"))
+
+    def double(acc: Column, _: Column) -> Column:
+        held, reach = acc["held"], acc["reach"]
+        further = F.transform(held, lambda x, i: F.when(i < reach, x).otherwise(combine(F.get(held, i - reach), x)))
+        return F.struct(further.alias("held"), (reach * 2).alias("reach"))
+
+    return F.aggregate(passes, F.struct(values.alias("held"), F.lit(1).alias("reach")), double, lambda acc: acc["held"])
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have yet."""
     taken = {c.lower() for c in df.columns}

@@ -4,6 +4,7 @@ All of it is DataFrame functions.  Positions come from splitting a text at the
 pattern and listing its matches: the pieces and matches alternate, so running
 lengths give every match its place.  A text that can't hold a kind (no ``@``, no
 plus sign, too few digits) is passed over without running that kind's pattern.
+A text of any length is searched in one pass: no pattern recurses over a run.
 """
 
 from __future__ import annotations
@@ -14,12 +15,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.llm.common import let
+from archivolt.llm.common import blocks, cut, fresh, let, running
 
 SPAN = "struct<kind:string,start:int,end:int,score:double>"
-_FOUND = "array<struct<start:int,end:int,text:string>>"
-#: Characters before a span in which context words count.
-CONTEXT = 40
+#: Characters before a span in which context words count, and the least that a pattern can match (a phone number of +, 1, a sign, 1).
+CONTEXT, LEAST_MATCH = 40, 4
 #: Spans that only the method adds need this score.
 LEAST_SCORE = 0.7
 FOR, AGAINST = 0.2, -0.4
@@ -62,12 +62,13 @@ class Kind:
 
 
 #: In the order of reports.  A search starts only where a run of the pattern's first class starts, or where
-#: the last match ended (\G); it then takes the whole run, so long runs cost one try.
+#: the last match ended (\G); it then takes the whole run, so long runs cost one try.  Repeated groups are possessive:
+#: the engine walks them in a loop, where other ones take a stack frame a round.
 KINDS = (
     Kind(
         "email",
         lambda t: F.contains(t, F.lit("@")),
-        r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
         lambda m: F.lit(True),
         0.8,
         r"(?i)\b(?:e-?mail|contact|write|mail)\b",
@@ -83,7 +84,7 @@ KINDS = (
     Kind(
         "card",
         lambda t: F.rlike(t, F.lit(r"[0-9](?:[\x20-]?[0-9]){15}")),
-        r"[0-9](?:[\x20-]?[0-9]){15,}",
+        r"[0-9](?:[\x20-]?+[0-9]){15,}+",
         _luhn(16, 19),
         0.8,
         r"(?i)\b(?:card|visa|mastercard|credit|debit|payment)\b",
@@ -118,24 +119,36 @@ KINDS = (
 
 
 def matches(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Column:
-    """Valid matches with their code point positions; leftmost, apart, without retries."""
+    """Valid matches as (start, end, before): code points, leftmost, apart, without retries.
+
+    ``before`` holds the ``CONTEXT`` characters ahead of a match.  Work is linear
+    in the text and its matches but for a factor of their logarithm.
+    """
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text")))
-        kept = F.when(x["hit"].isNotNull() & valid(x["hit"]), F.concat(acc["spans"], one)).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), kept.alias("spans"))
+    def placed(held: Column) -> Column:
+        sizes = F.transform(held, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0)))
+        tails = F.transform(held, lambda x: F.right(F.concat(x["gap"], F.coalesce(x["hit"], F.lit(""))), F.lit(CONTEXT)))
+        return let(F.struct(running(sizes, lambda a, b: a + b).alias("ends"), tails.alias("tails")), lambda known: spans(held, known))
+
+    def spans(held: Column, known: Column) -> Column:
+        reach = CONTEXT // LEAST_MATCH + 1  # pieces that may hold context: each but the first has a match
+
+        def one(x: Column, i: Column) -> Column:
+            end = F.get(known["ends"], i)
+            earlier = F.array_join(F.slice(known["tails"], F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))), "")
+            before = F.right(F.concat(earlier, F.right(x["gap"], F.lit(CONTEXT))), F.lit(CONTEXT))
+            found = F.struct((end - F.length(x["hit"])).alias("start"), end.alias("end"), before.alias("before"))
+            return F.when(x["hit"].isNotNull() & valid(x["hit"]), found)
+
+        return F.filter(F.transform(held, one), lambda s: s.isNotNull())
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("spans"))
-    return F.aggregate(parts, empty, step, lambda acc: acc["spans"])
+    return let(parts, placed)
 
 
 def _spans(text: Column, kind: Kind) -> Column:
     def scored(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-        score = F.lit(kind.score) + F.when(F.rlike(before, F.lit(kind.context)), FOR).otherwise(0.0) + F.when(F.rlike(before, F.lit(_AGAINST)), AGAINST).otherwise(0.0)
+        score = F.lit(kind.score) + F.when(F.rlike(s["before"], F.lit(kind.context)), FOR).otherwise(0.0) + F.when(F.rlike(s["before"], F.lit(_AGAINST)), AGAINST).otherwise(0.0)
         return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2).alias("score"))
 
     found = F.transform(matches(text, kind.pattern, kind.valid), scored)
@@ -159,23 +172,35 @@ def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; columns as they were.
 
     Overlapping spans become one, named after the one that starts first (of
-    those, the longest).  Texts without spans, null ones included, are unchanged.
+    those, the longest).  Texts without spans, null ones included, are unchanged;
+    equal rows are redacted alike and an empty table stays empty.
     """
-    spans = "__pii"
+    spans = fresh(docs, "pii")
     held = find_pii(docs, text=text, into=spans)
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), F.upper(s["kind"]).alias("kind"))))
     whole = F.col(f"`{text}`")
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), F.upper(s["kind"]).alias("kind"))))
+
+    def joined(found: Column) -> Column:
+        """The spans that start behind the ends of all before them, each to the end of those that it meets."""
+        return let(running(F.transform(found, lambda s: -s["end"]), F.greatest), lambda ends: heads(found, ends))
+
+    def heads(found: Column, ends: Column) -> Column:
+        first = F.filter(
+            F.transform(found, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(ends, i - 1)), F.struct(s["start"].alias("start"), s["kind"].alias("kind"), i.alias("at")))),
+            lambda s: s.isNotNull(),
+        )
+        last = F.size(ends) - 1
+        return let(first, lambda f: F.transform(f, lambda s, j: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), F.get(ends, F.coalesce(F.get(f, j + 1)["at"] - 1, last)).alias("end"))))
+
+    def written(parts: Column) -> Column:
+        return let(F.transform(ordered, lambda s: s), lambda found: let(joined(found), lambda f: filled(parts, f)))
 
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["end"]
-        gap = F.substring(whole, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], end).alias("at"), out.alias("out"))
+    def filled(parts: Column, found: Column) -> Column:
+        until = lambda j: F.coalesce(F.get(found, j - 1)["end"], F.lit(0))
+        out = F.transform(found, lambda s, j: F.concat(cut(parts, until(j), s["start"]), F.lit("["), s["kind"], F.lit("]")))
+        return F.concat(F.array_join(out, ""), cut(parts, until(F.size(found)), F.length(whole)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    made = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
-    clean = F.when(F.size(spans) > 0, made).otherwise(whole)
+    clean = F.when(F.size(F.col(spans)) > 0, let(blocks(whole), written)).otherwise(whole)
     return held.withColumn(text, clean).select([F.col(f"`{c}`") for c in docs.columns])
 
 

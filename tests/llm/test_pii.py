@@ -5,6 +5,7 @@ import random
 import re
 
 from archivolt.llm import pii as P
+from archivolt.llm import queries
 
 ORDER = ("email", "ip", "card", "phone")
 
@@ -83,3 +84,58 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty(spark):
     assert P.digest(P.find_pii(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_long_runs_and_many_spans(spark):
+    """Runs of a million, and spans by the thousand, none of which a recursing pattern or quadratic work would survive."""
+    label = "a@b" + ".c" * 1_000_000
+    mails = " ".join(f"u{i}@ex{i}.com" for i in range(20_000))
+    cases = {
+        "1" * 1_000_000: ([], None),
+        "1 " * 500_000: ([], None),
+        "x " + label: ([("email", 2, 2 + len(label))], "x [EMAIL]"),
+        "a@" * 200_000: ([], None),
+        "+1(" * 100_000: ([], None),
+        mails: ([("email", m.start(), m.end()) for m in re.finditer("[^ ]+", mails)], " ".join(["[EMAIL]"] * 20_000)),
+        "1." * 100_000: ([("ip", 8 * i, 8 * i + 7) for i in range(25_000)], "[IP]." * 25_000),
+        "AB12" * 100_000: ([], None),
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in P.digest(P.find_pii(frame)).collect()}
+    clean = {r["doc_id"]: r["text"] for r in P.redact(frame).collect()}
+    for i, (text, (want, redacted)) in enumerate(cases.items()):
+        said = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+        assert got[i]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest(), text[:20]
+        assert clean[i] == (text if redacted is None else redacted)
+
+
+def test_context_reaches_over_other_matches(spark):
+    rows = ["card a@b.co 1.2.3.4 378282246310005", "card" + " a@b.co" * 9 + " 378282246310005", "é" * 60 + " visa 378282246310005"]
+    got = [r["spans"] for r in P.digest(P.find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))).orderBy("doc_id").collect()]
+    assert ["shortcard" in s for s in got] == [True, False, True]
+
+
+def test_redaction_merges_chains_of_spans_and_keeps_clashing_columns(spark):
+    rnd = random.Random(8)
+    rows = [(i, "".join(rnd.choice(["a@b.co", "+", "1.2.3.4", "4111111111111111", " ", "é", "(555) 123-4567", "x" * 1021]) for _ in range(rnd.randrange(12))), "mine") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __pii string")
+    spans = {r["doc_id"]: r["pii"] for r in P.find_pii(frame).collect()}
+    out = P.redact(frame)
+    assert out.columns == frame.columns
+    for r in out.collect():
+        text, said, at = rows[r["doc_id"]][1], [], 0
+        for s in sorted(spans[r["doc_id"]], key=lambda s: (s["start"], -s["end"], s["kind"].upper())):
+            if s["start"] >= at:
+                said += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
+            at = max(at, s["end"])
+        assert r["text"] == "".join([*said, text[at:]]) and r["__pii"] == "mine"
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in queries.op10_personal_data(spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        said = ",".join(f"{k}:{s}:{e}" for k, s, e in brute(t))
+        assert got[i]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
