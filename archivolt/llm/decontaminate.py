@@ -5,17 +5,18 @@ document streams its words through it; the automaton's state and the length of
 the longest match are all that is kept.  Where that length reaches the window,
 the matched words are contaminated.
 
-The documents are scanned once and never shuffled.  The items are the stated
-query set: they are read in blocks of at most ``block_words`` words, each block
-is one broadcast automaton of bounded size, and further blocks become further
-map steps of the same stage.
+The documents are never shuffled.  The items are the stated query set: equal
+texts are read once, in blocks of at most ``block_words`` words, long items cut
+with an overlap that keeps every window whole; each block is one broadcast
+automaton of bounded size.  A pass over the documents tokenises them once and
+asks up to ``BLOCKS_AT_ONCE`` automata; a larger benchmark takes further passes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -23,12 +24,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.llm.common import small_batches
+from archivolt.llm.common import fresh, materialize, small_batches
 
 #: A window: so many consecutive item words.
 WINDOW = 10
 #: Words of test items in one automaton (about 30 MB in a Python worker).
 BLOCK_WORDS = 50_000
+#: Automata that a Python worker holds at a time (about 250 MB).
+BLOCKS_AT_ONCE = 8
 #: A cleaned document of which more than this share was contaminated is dropped.
 MAX_COVERAGE = 0.8
 
@@ -61,14 +64,14 @@ class Automaton:
     length: list[int]
     at_window: list[int]
     windows: dict[int, set[str]]
-    shorts: dict[int, list[tuple[int, str]]]
+    shorts: dict[int, list[tuple[int, list[str]]]]
     least: int
 
 
-def build(items: list[tuple[str | None, list[bytes]]], window: int = WINDOW) -> Automaton:
-    """The automaton of (item id, words); items without words add nothing.
+def build(items: list[tuple[list[str], list[bytes]]], window: int = WINDOW) -> Automaton:
+    """The automaton of (ids of the items, words); items without words add nothing.
 
-    Items with a null id mark words but are named nowhere.
+    Items without an id mark words but are named nowhere.
     """
     items = [(i, w) for i, w in items if w]
     vocabulary: dict[bytes, int] = {}
@@ -119,17 +122,17 @@ def build(items: list[tuple[str | None, list[bytes]]], window: int = WINDOW) ->
         if length[s] >= window:
             at_window[s] = s if length[link[s]] < window else at_window[link[s]]
     windows: dict[int, set[str]] = {}
-    ends: dict[int, list[tuple[int, str | None]]] = {}
-    for (name, _), words in zip(items, coded, strict=True):
+    ends: dict[int, list[tuple[int, list[str]]]] = {}
+    for (names, _), words in zip(items, coded, strict=True):
         s = 0
         for i, word in enumerate(words):
             s = step[s * base + word]
             # s holds the whole prefix; its window is that of an ancestor
             if i + 1 >= window:
-                windows.setdefault(at_window[s], set()).update([name] if name is not None else [])
+                windows.setdefault(at_window[s], set()).update(names)
         if len(words) < window:
-            ends.setdefault(s, []).append((len(words), name))
-    shorts: dict[int, list[tuple[int, str | None]]] = {}
+            ends.setdefault(s, []).append((len(words), names))
+    shorts: dict[int, list[tuple[int, list[str]]]] = {}
     for s in order:
         got = ends.get(s, []) + (shorts.get(link[s], []) if link[s] >= 0 else [])
         if got:
@@ -167,11 +170,10 @@ def scan(words: list[bytes], a: Automaton, window: int = WINDOW) -> tuple[list[t
             if n >= window:
                 reach = n
                 seen.add(a.at_window[state])
-            for m, name in a.shorts.get(state, ()):
+            for m, names in a.shorts.get(state, ()):
                 if m <= n:
                     reach = max(reach, m)
-                    if name is not None:
-                        found.add(name)
+                    found.update(names)
             if reach:
                 low = i + 1 - reach
                 while hits and hits[-1][1] >= low:
@@ -192,41 +194,40 @@ def _joined(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """The items in blocks of about ``block_words`` words, each read on its own."""
-    rows = items.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, ceil(size / (4 * block_words)))  # a word and its gap take four characters or more, nearly always
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        yield [(r["id"], words_of(r["text"])) for r in part.toLocalIterator()]
-
-
-def _first_block(shared: Broadcast, window: int):
-    def first(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for value in texts:
-                words = words_of(value)
-                hits, found, longest = scan(words, shared.value, window)
-                rows.append((len(words), [{"start": s, "stop": e} for s, e in hits], sorted(found), longest))
-            yield pd.DataFrame(rows, columns=["n_words", "hits", "items", "longest"])
-
-    return first
-
-
-def _later_block(shared: Broadcast, window: int):
-    def later(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+def _blocks(items: DataFrame, item_id: str, text: str, block_words: int, window: int) -> Iterator[list[tuple[list[str], list[bytes]]]]:
+    """Different item texts with their ids, in blocks of about ``block_words`` words; one pass, a partition at a time."""
+    rows = items.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
+    same = rows.groupBy("text").agg(F.collect_set("id").alias("ids"))
+    block: list[tuple[list[str], list[bytes]]] = []
+    held = 0
+    for r in same.toLocalIterator():
+        words = words_of(r["text"])
+        for at in range(0, max(1, len(words) - window + 1), block_words):  # a part starts block_words on, so each window is whole in one
+            part = words[at : at + block_words + window - 1]
+            if held and held + len(part) > block_words:
+                yield block
+                block, held = [], 0
+            block.append((r["ids"], part))
+            held += len(part)
+    yield block
+
+
+def _scanner(shared: list[Broadcast], window: int):
+    def scanned(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
         for texts, before in batches:
             rows = []
-            for value, old_hits, items, most in zip(texts, before["hits"], before["items"], before["longest"], strict=True):
+            for value, hits, items, longest in zip(texts, before["hits"], before["items"], before["longest"], strict=True):
                 words = words_of(value)
-                hits, found, longest = scan(words, shared.value, window)
-                hits = _joined(hits, [(h["start"], h["stop"]) for h in old_hits])
-                rows.append((len(words), [{"start": s, "stop": e} for s, e in hits], sorted(found | set(items)), max(longest, most)))
+                hits, items = [(h["start"], h["stop"]) for h in hits], set(items)
+                for block in shared:
+                    more, found, most = scan(words, block.value, window)
+                    hits = _joined(hits, more) if hits else more
+                    items |= found
+                    longest = max(longest, most)
+                rows.append((len(words), [{"start": s, "stop": e} for s, e in hits], sorted(items), longest))
             yield pd.DataFrame(rows, columns=["n_words", "hits", "items", "longest"])
 
-    return later
+    return scanned
 
 
 def find_contamination(
@@ -238,26 +239,26 @@ def find_contamination(
     item_text: str = "text",
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
+    into: str = "contamination",
 ) -> DataFrame:
-    """``docs`` with ``contamination``: n_words, hits, items, longest.
+    """``docs`` with ``into``: n_words, hits, items, longest.
 
     ``hits`` are word ranges, half open, in order and apart; ``items`` the ids of
-    the items with a window in the document, sorted as strings.  Null and empty
-    texts have no words; repeated documents and items are each judged alone, so a
-    tie can't matter; an empty table of items marks nothing.  All columns of
-    ``docs`` stay; an earlier column ``contamination`` is replaced.
+    the items with a window in the document, sorted as strings; ``longest`` the
+    longest match with an item or, of an item longer than a block, with a part.
+    Null and empty texts have no words; repeated documents and items are each
+    judged alone, so a tie can't matter; an empty table of items marks nothing.
+    All columns of ``docs`` stay; an earlier column ``into`` is replaced.
     """
     spark = docs.sparkSession
-    out = small_batches(docs)
-    for k, block in enumerate(_blocks(items, item_id, item_text, block_words)):
-        shared = spark.sparkContext.broadcast(build(block, window))
-
-        if k == 0:
-            udf = F.pandas_udf(_first_block(shared, window), _RESULT).asNondeterministic()  # evaluated once, whatever reads it
-            out = out.withColumn("contamination", udf(F.col(f"`{text}`")))
-        else:
-            udf = F.pandas_udf(_later_block(shared, window), _RESULT).asNondeterministic()
-            out = out.withColumn("contamination", udf(F.col(f"`{text}`"), F.col("contamination")))
+    nothing = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,stop:int>>").alias("hits"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("longest"))
+    out = docs.withColumn(into, nothing)
+    for k, blocks in enumerate(batched(_blocks(items, item_id, item_text, block_words, window), BLOCKS_AT_ONCE)):
+        if k:  # the automata of the pass before leave the workers
+            out = materialize(out, "contamination")
+        shared = [spark.sparkContext.broadcast(build(block, window)) for block in blocks]
+        udf = F.pandas_udf(_scanner(shared, window), _RESULT).asNondeterministic()  # evaluated once, whatever reads it
+        out = small_batches(out).withColumn(into, udf(F.col(f"`{text}`"), F.col(f"`{into}`")))
     return out
 
 
@@ -280,17 +281,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", max_
 
     A document of which more than ``max_coverage`` of the words are contaminated
     goes as a whole.  Documents without a hit, null and empty texts included, come
-    back unchanged.  Columns stay as they were.
+    back unchanged; equal rows fare alike; empty tables are fine on either side.
+    Columns stay as they were.
     """
-    found = find_contamination(docs, items, text=text, **how)
-    n_hit = F.aggregate("contamination.hits", F.lit(0).cast("long"), lambda n, h: n + (h["stop"] - h["start"]))
-    kept = found.where(n_hit <= F.lit(max_coverage) * F.col("contamination.n_words"))
+    mark = fresh(docs, "contamination")
+    found = find_contamination(docs, items, text=text, into=mark, **how)
+    n_hit = F.aggregate(F.col(mark)["hits"], F.lit(0).cast("long"), lambda n, h: n + (h["stop"] - h["start"]))
+    kept = found.where(n_hit <= F.lit(max_coverage) * F.col(mark)["n_words"])
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, marks: pd.DataFrame) -> pd.Series:
         return pd.Series([_cut(t, [(h["start"], h["stop"]) for h in m]) if t is not None and len(m) else t for t, m in zip(texts, marks["hits"], strict=True)], dtype=object)
 
-    return kept.withColumn(text, cut(F.col(text), F.struct("contamination.hits"))).select([F.col(f"`{c}`") for c in docs.columns])
+    hits = F.struct(F.col(mark)["hits"].alias("hits"))
+    return kept.withColumn(text, cut(F.col(f"`{text}`"), hits)).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def with_digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

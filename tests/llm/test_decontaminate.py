@@ -7,6 +7,7 @@ import re
 import pytest
 
 from archivolt.llm import decontaminate as D
+from archivolt.llm import queries
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -44,7 +45,7 @@ def cases(seed):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_scan_against_brute_force(seed):
     docs, items = cases(seed)
-    a = D.build([(None if i is None else str(i), D.words_of(t)) for i, t in items], 4)
+    a = D.build([([] if i is None else [str(i)], D.words_of(t)) for i, t in items], 4)
     for _, text in docs:
         words = D.words_of(text)
         hits, found, _ = D.scan(words, a, 4)
@@ -79,3 +80,44 @@ def test_empty_tables(spark):
     assert D.with_digest(D.find_contamination(docs, items)).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert D.with_digest(D.find_contamination(one, items)).first()["n_words"] == 2
+
+
+def test_copies_of_items_and_long_ones_and_long_documents(spark):
+    rnd = random.Random(6)
+    long = " ".join(rnd.choice("abcdefgh") for _ in range(3000))
+    items = [(i, long) for i in range(40)] + [(50, "x y z " * 40), (51, "q r s t u")]
+    docs = [(1, "m n " * 100_000 + long[1000:1200] + " o p"), (2, "a b c"), (3, "z x y z x y z x y z x y"), (4, "q R s! T u")]
+    rows = spark.createDataFrame([(k, t, "mine") for k, t in docs], "doc_id long, text string, __contamination string")
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in D.with_digest(D.find_contamination(rows, frame, block_words=100)).collect()}
+    for k, text in docs:
+        n, hit, found = brute(text, [(f"{i}", t) for i, t in items])
+        assert (got[k]["n_words"], got[k]["n_hit"], got[k]["n_items"]) == (n, hit, len(found))
+        assert got[k]["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
+    clean = D.decontaminate(rows, frame)
+    assert clean.columns == rows.columns
+    assert {r["doc_id"]: r["__contamination"] for r in clean.collect()} == {1: "mine", 2: "mine"}
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in queries.op8_benchmark_decontamination(spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    windows: dict[tuple, set[str]] = {}
+    for name, item in items:
+        w = fold(item)
+        for i in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[i : i + 10]), set()).add(str(name))
+    sizes = {len(w) for w in windows}
+    for k, text in texts.items():
+        words, hit, found = fold(text), set(), set()
+        for size in sizes:
+            for i in range(len(words) - size + 1):
+                if names := windows.get(tuple(words[i : i + size])):
+                    hit.update(range(i, i + size))
+                    found |= names
+        r = got[k]
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(words), len(hit), len(found), bool(hit))
+        assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
