@@ -23,12 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.llm.common import materialize, small_batches
+from archivolt.llm.common import fresh, materialize, small_batches
 from archivolt.llm.components import components
 
 MOST_BITS = 3
 SHINGLE = 3
-#: Rows of a key that one task compares; larger groups are dealt out as pairs of slices.
+#: Rows of a key that one task compares; fingerprints of larger groups get longer keys.
 GROUP_ROWS = 4096
 #: Members of a node of the index.
 FAN = 16
@@ -181,33 +181,62 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield solve(pd.concat(held, ignore_index=True))
 
 
-def near_links(prints: DataFrame, *, group_rows: int = GROUP_ROWS, blocks: int | None = None) -> DataFrame:
-    """Star links (a, b) of the distinct fingerprints ``fp``; their components are those of all links."""
-    count = prints.count()
-    blocks = blocks or (4 if count <= FEW else 5 if count <= MANY else 6)
-    masks = [_signed(m) for m in _masks(blocks, MOST_BITS)]
-    choices = F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
-    keyed = prints.select("fp", F.explode(choices).alias("k")).select("fp", "k.m", "k.key")
-    # a row per key that is too large, with the number of slices; the others have none
-    crowded = keyed.groupBy("m", "key").agg(F.count("*").alias("n")).where(F.col("n") > group_rows)
-    crowded = crowded.select("m", "key", F.ceil(F.col("n") / group_rows).cast("int").alias("slices"))
+def _dealt(keyed: DataFrame) -> DataFrame:
+    """Rows of keys with ``slices`` as pairs of slices: every two rows of a key meet in one of them."""
     own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("slices") - 1),
         lambda i: F.least(F.col("own"), i) * F.col("slices") + F.greatest(F.col("own"), i),
     )
-    dealt = (
-        keyed.join(crowded, ["m", "key"], "left")
-        .withColumn("slices", F.coalesce("slices", F.lit(1)))
-        .withColumn("own", own)
-        .select("m", "key", "fp", F.explode(pairs).alias("pair"))
-    )
+    whole = keyed.withColumn("slices", F.coalesce("slices", F.lit(1)))
+    return whole.withColumn("own", own).select("m", "key", "fp", F.explode(pairs).alias("pair"))
+
+
+def _keys(rows: DataFrame, masks: list[int], base: Column) -> DataFrame:
+    """(m, key, fp): a row per fingerprint and mask that keeps all bits of ``base``, numbered by mask."""
+    choices = F.array(*[F.struct(F.lit(i).alias("m"), F.lit(m).alias("mask")) for i, m in enumerate(masks)])
+    wider = F.filter(choices, lambda c: c["mask"].bitwiseAND(F.col("base")) == F.col("base"))
+    return rows.withColumn("base", base).select("fp", F.explode(wider).alias("k")).select("fp", "k.m", F.col("fp").bitwiseAND(F.col("k.mask")).alias("key"))
+
+
+def near_links(prints: DataFrame, *, group_rows: int = GROUP_ROWS, blocks: int | None = None) -> DataFrame:
+    """Star links (a, b) of the distinct fingerprints ``fp``; their components are those of all links.
+
+    Fingerprints of a key that too many share get longer keys: blocks half as
+    long, of which again all but ``MOST_BITS`` agree, those of the short key
+    among them.  Only what is still crowded then is dealt out as pairs of slices.
+    """
+    count = prints.count()
+    blocks = blocks or (4 if count <= FEW else 5 if count <= MANY else 6)
+    masks, finer = ([_signed(m) for m in _masks(b, MOST_BITS)] for b in (blocks, 2 * blocks))
+
+    def crowded(keyed: DataFrame) -> DataFrame:
+        """A row per key that is too large."""
+        large = keyed.groupBy("m", "key").agg(F.count("*").alias("n")).where(F.col("n") > group_rows)
+        return materialize(large.select("m", "key", F.ceil(F.col("n") / group_rows).cast("int").alias("slices")), "crowded")
+
+    keyed = _keys(prints.select("fp"), masks, F.lit(0).cast("long"))
+    large = crowded(keyed)
+    dealt = keyed.withColumn("pair", F.lit(0))
+    if not large.isEmpty():
+        short = dealt.join(large, ["m", "key"], "left_anti").select("m", "key", "fp", "pair")
+        again = keyed.join(large.select("m", "key"), ["m", "key"], "left_semi")
+        base = F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("m") + 1)
+        long = _keys(again.select("fp", "m"), finer, base).select((F.col("m") + len(masks)).alias("m"), "key", "fp").distinct()
+        long = materialize(long, "keys")
+        slices = crowded(long)
+        dealt = short.unionByName(_dealt(long.join(slices, ["m", "key"], "left")))
     ordered = dealt.repartition("m", "key", "pair").sortWithinPartitions("m", "key", "pair", gray_rank(F.col("fp")))
     return ordered.mapInPandas(_stars, "a long, b long").distinct()
 
 
+def _text_hash(text: Column) -> Column:
+    """Tells the texts of one id apart; null is a text like any other."""
+    return F.xxhash64(text, F.lit(3))
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint as signed long, component_id), a row per row of ``docs``.
+    """(doc_id, text_hash, fingerprint as signed long, component_id), a row per row of ``docs``.
 
     ``component_id`` is the smallest id that links reach.  Texts without words,
     null ones included, share the fingerprint zero.  Repeated rows and ids are
@@ -215,24 +244,27 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     null one.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    marked = materialize(with_fingerprint(rows).select("doc_id", "fingerprint"), "fingerprints")
+    marked = materialize(with_fingerprint(rows).select("doc_id", _text_hash(F.col("text")).alias("text_hash"), "fingerprint"), "fingerprints")
     classes = materialize(marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")), "prints")
     roots = components(near_links(classes.select("fp")))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(tops, "root").select(F.col("fp").alias("fingerprint"), "component_id")
-    return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return marked.join(named, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the document of the smallest id of each component, all columns as they were.
 
-    Rows that repeat that id all belong to the same document and stay; rows with
-    a null id stay, as nothing can name them.
+    A row goes if its id isn't the smallest of its own text's component, so rows
+    of one id with different texts are judged apart.  Rows that repeat a kept id
+    and text stay; rows with a null id stay, as nothing can name them.  Null and
+    empty texts are copies of one another; an empty table stays empty.
     """
+    key, mark = fresh(docs, "gone_id"), fresh(docs, "gone_text")
     found = near_duplicates(docs, doc_id=doc_id, text=text).where(F.col("doc_id") != F.col("component_id"))
-    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+    gone = found.select(F.col("doc_id").alias(key), F.col("text_hash").alias(mark)).distinct()
+    return docs.join(gone, (docs[f"`{doc_id}`"] == gone[key]) & (_text_hash(docs[f"`{text}`"]) == gone[mark]), "left_anti")
 
 
 def digest(found: DataFrame) -> DataFrame:

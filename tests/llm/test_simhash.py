@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from archivolt.llm import queries
 from archivolt.llm import simhash as S
 from archivolt.llm.components import components
 
@@ -77,7 +78,7 @@ def test_index_finds_every_link(seed):
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
 
 
-@pytest.mark.parametrize("blocks,group_rows", [(4, 4096), (4, 8), (5, 4096), (6, 4096)])
+@pytest.mark.parametrize("blocks,group_rows", [(4, 4096), (4, 8), (5, 4096), (5, 8), (6, 4096)])
 def test_links_join_the_same_components(spark, blocks, group_rows):
     prints = sorted(set(planted(3)), key=S._signed)
     roots = brute_roots(prints)
@@ -111,3 +112,35 @@ def test_chain_of_components(spark):
 
 def test_empty(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_of_one_id_are_judged_by_their_text(spark):
+    one, two = "alpha beta gamma delta " * 30, "quite other words stand in here " * 30
+    rows = [(5, one, "a"), (5, two, "b"), (3, two, "c"), (3, two, "d"), (None, two, "e"), (8, None, "f"), (7, "", "g")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __gone_id string")
+    kept = S.keep_one(frame)
+    assert kept.columns == frame.columns
+    assert sorted(r["__gone_id"] for r in kept.collect()) == ["a", "c", "d", "e", "g"]
+    assert S.keep_one(frame.limit(0)).count() == 0
+
+
+def test_crowded_groups_get_longer_keys(spark):
+    """Thousands of fingerprints that share a key, near links among them."""
+    rnd = random.Random(4)
+    prints = {0x1234 << 48 | rnd.getrandbits(48) for _ in range(1500)}
+    for p in list(prints)[:300]:
+        prints.add(p ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64))
+    prints = sorted(prints, key=S._signed)
+    roots = brute_roots(prints)
+    frame = spark.createDataFrame([(S._signed(p),) for p in prints], "fp long")
+    found = {r["node"]: r["root"] for r in components(S.near_links(frame, group_rows=100)).collect()}
+    assert [found.get(S._signed(p), S._signed(p)) for p in prints] == [S._signed(prints[r]) for r in roots]
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    prints = [brute_print(t) for _, t in rows]
+    roots = brute_roots(prints)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op7_simhash_near_dedup(spark, sf).collect()}
+    assert got == {i: (f"{p:016x}", rows[r][0]) for (i, _), p, r in zip(rows, prints, roots, strict=True)}
