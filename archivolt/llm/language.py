@@ -6,9 +6,11 @@ Every language has several centroids from spherical k-means over its labelled
 rows; a text takes the language of the most similar one.  It is rejected when
 that similarity is lower than texts of its length have with their own language.
 
-The model is fitted on a bounded sample of labelled rows: about
-``PER_LANGUAGE`` rows of each language, drawn by a hash of the row.  Prediction
-is one pass over all rows without a shuffle.
+The model is fitted on a bounded sample of labelled rows: the ``PER_LANGUAGE``
+different texts of each language with the smallest hashes, the same whatever the
+order of the rows.  A task clusters the sample of one language; only document
+frequencies and finished centroids reach the driver.  Prediction is one pass over
+all rows without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,14 +24,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
 
-from archivolt.llm.common import small_batches
+from archivolt.llm.common import fresh, materialize, small_batches
 
 DIMENSIONS = 4096
-#: Labelled rows of a language that the model is fitted on, in the mean; twice that is never exceeded.
+#: Labelled texts of a language that the model is fitted on, at most.
 PER_LANGUAGE = 400
-#: Languages in a model; the rarest beyond are left out.
-MOST_LANGUAGES = 200
+#: Languages that a model may have before training refuses (64 kB of centroids each are broadcast); none is left out.
+MOST_LANGUAGES = 2000
 CENTROIDS = 4
 ROUNDS = 12
 #: A text is rejected below this share of the lowest similarity seen for its length.
@@ -121,65 +124,85 @@ def _clusters(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return centres.astype(np.float32), like.max(axis=1)
 
 
-def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
-    """A model from (language, counts)."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1].tobytes()))
-    counts = np.stack([c for _, c in rows])
-    idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1
-    x = unit(counts, idf)
-    names = np.array([n for n, _ in rows], dtype=object)
-    centroids, owners, like = [], [], np.full(len(x), -1.0)
-    for name in sorted(set(names)):
-        made, like[names == name] = _clusters(x[names == name], CENTROIDS)
-        centroids.append(made)
-        owners += [name] * len(made)
-    table = np.concatenate(centroids)
-    of, floors = np.digitize(counts.sum(axis=1), CLASSES), np.zeros(len(CLASSES) + 1)
-    low = 0.0
-    for c in range(len(CLASSES) + 1):  # longer texts are no less similar: a class without rows takes the one before
-        seen = (of == c) & (like > -1)  # a text alone tells nothing of others
-        if seen.any():
-            low = SLACK * float(like[seen].min())
-        floors[c] = low
-    return Model(owners, table, idf, floors)
+def fit_language(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The centroids of a language's rows, and the lowest similarity of each length class (2: none seen)."""
+    counts = counts[np.lexsort(counts.T[::-1])] if len(counts) > 1 else counts  # whatever the order of the rows
+    made, like = _clusters(unit(counts, idf), CENTROIDS)
+    of, lows = np.digitize(counts.sum(axis=1), CLASSES), np.full(len(CLASSES) + 1, 2.0)
+    seen = like > -1  # a text alone tells nothing of others
+    np.minimum.at(lows, of[seen], like[seen])
+    return made, lows
+
+
+def join_languages(fitted: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Model:
+    """The model of (language, centroids, lows), whatever their order."""
+    fitted = sorted(fitted, key=lambda x: x[0])
+    floors, low = [], 0.0
+    for seen in np.min([x[2] for x in fitted], axis=0):  # longer texts are no less similar: a class without rows takes the one before
+        low = SLACK * float(seen) if seen < 2 else low
+        floors.append(low)
+    return Model([name for name, c, _ in fitted for _ in c], np.concatenate([x[1] for x in fitted]), idf, np.array(floors))
 
 
 def sample(docs: DataFrame, *, text: str, lang: str, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """About ``per_language`` different labelled texts of each language, by a hash of the text; all of them where there are fewer."""
+    """(lang, text): the ``per_language`` different texts of each language with the smallest hashes.
+
+    Hashes are drawn from first, by a share that leaves about twice as many as
+    are needed, so that no language is sorted whole.
+    """
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("lang is not null and text is not null")
     hashed = F.xxhash64("text", F.lit(11))
-    texts = rows.groupBy("lang", hashed.alias("h")).agg(F.count("*").alias("n"))
-    sizes = texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, per_language / r["texts"]))]) if sizes else F.lit(None).cast("map<string,double>")
-    draw = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(draw < share[F.col("lang")]).dropDuplicates(["lang", "text"])  # copies are drawn together, and count once
+    texts = materialize(rows.select("lang", hashed.alias("h")).distinct(), "texts")
+    sizes = texts.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.lit(2.0 * per_language) + F.lit(20.0)  # of few texts all are drawn, however the hashes fall
+    drawn = texts.join(sizes, "lang").where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share / F.col("n"))
+    place = W.Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    chosen = drawn.withColumn("place", F.row_number().over(place)).where(F.col("place") <= per_language).select("lang", "h")
+    chosen = materialize(chosen, "chosen")  # so that the join knows how small it is
+    return rows.withColumn("h", hashed).join(chosen, ["lang", "h"], "left_semi").select("lang", "text").dropDuplicates(["lang", "text"])
 
 
 def _count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts as sparse bytes, so that a row stays small on its way to the driver."""
+    """Counts as sparse bytes, so that a row stays small."""
     for batch in batches:
         out = []
         for name, text in zip(batch["lang"], batch["text"], strict=True):
             counts = grams(text)
             if counts is not None:
                 at = np.flatnonzero(counts)
-                out.append((name, at.astype("<u2").tobytes(), counts[at].astype("<u4").tobytes()))
-        yield pd.DataFrame(out, columns=["lang", "at", "n"])
+                out.append((name, at.tolist(), at.astype("<u2").tobytes(), counts[at].astype("<u4").tobytes()))
+        yield pd.DataFrame(out, columns=["lang", "of", "at", "n"])
+
+
+def _fitted(idf: np.ndarray):
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros((len(rows), DIMENSIONS), np.int32)
+        for i, (at, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
+            counts[i, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<u4")
+        made, lows = fit_language(counts, idf)
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "centroids": [made.tobytes()], "lows": [lows.tolist()]})
 
+    return fitted
 
-def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
-    """The model of the labelled rows of ``docs``; None if there are none."""
-    counted = small_batches(sample(docs, text=text, lang=lang, per_language=per_language)).mapInPandas(_count_rows, "lang string, at binary, n binary")
-    rows: list[tuple[str, np.ndarray]] = []
-    seen: dict[str, int] = {}
-    for r in counted.toLocalIterator():  # about per_language x languages rows, of at most DIMENSIONS counts each
-        seen[r["lang"]] = seen.get(r["lang"], 0) + 1
-        if seen[r["lang"]] > 2 * per_language:
-            continue
-        counts = np.zeros(DIMENSIONS, np.int32)
-        counts[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<u4")
-        rows.append((r["lang"], counts))
-    return fit(rows) if rows else None
+
+def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model | None:
+    """The model of the labelled rows of ``docs``; None if there are none.
+
+    More than ``most_languages`` labels raise an error: none is left out silently.
+    """
+    drawn = sample(docs, text=text, lang=lang, per_language=per_language)
+    counted = materialize(small_batches(drawn).mapInPandas(_count_rows, "lang string, of array<int>, at binary, n binary"), "counts")
+    size = counted.agg(F.count("*").alias("n"), F.countDistinct("lang").alias("langs")).first()
+    if not size["n"]:
+        return None
+    if size["langs"] > most_languages:
+        raise ValueError(f"{size['langs']} languages are labelled; most_languages is {most_languages}")
+    frequency = np.zeros(DIMENSIONS, np.int64)
+    for r in counted.select(F.explode("of").alias("at")).groupBy("at").count().collect():  # DIMENSIONS rows at most
+        frequency[r["at"]] = r["count"]
+    idf = np.log((1 + size["n"]) / (1 + frequency)) + 1
+    made = counted.select("lang", "at", "n").groupBy("lang").applyInPandas(_fitted(idf), "lang string, centroids binary, lows array<double>")  # per_language rows a group
+    return join_languages([(r["lang"], np.frombuffer(r["centroids"], np.float32).reshape(-1, DIMENSIONS), np.array(r["lows"])) for r in made.collect()], idf)  # a row a language
 
 
 def _predictor(shared: Broadcast):
@@ -218,14 +241,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def keep_identified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without the texts that are rejected; columns as they were."""
-    model = train(docs.where(~held_out(F.col(doc_id))), text=text, lang=lang)
-    marked = identify(docs, model, text=text, into="__language")
-    return marked.where(~F.col("__language.rejected")).select([F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the texts that are rejected; columns as they were.
+
+    Null texts and texts without a letter go, as does every text if no row has a
+    label to learn from; equal rows fare alike; an empty table stays empty.
+    """
+    mark = fresh(docs, "language")
+    model = train(docs.where(~held_out(F.col(f"`{doc_id}`"))), text=text, lang=lang)
+    marked = identify(docs, model, text=text, into=mark)
+    return marked.where(~F.col(mark)["rejected"]).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def predict_documents(docs: DataFrame) -> DataFrame:
-    """The contract's columns for every row of ``docs``."""
+    """The contract's columns for every row of ``docs``; null ids are learned from and not held out."""
     model = train(docs.where(~held_out(F.col("doc_id"))))
     found = identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score", "language.rejected")

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pytest
 
 from archivolt.llm import language as L
+from archivolt.llm import queries
 
 WORDS = {"en": ["the", "and", "that", "with", "house", "water"], "de": ["der", "und", "nicht", "ein", "haus", "wasser"], "fr": ["le", "et", "que", "avec", "maison", "été"]}
 
@@ -67,9 +69,45 @@ def test_copies_take_no_share_of_the_sample(spark):
 
 
 def test_few_texts_set_no_high_floor():
-    rows = [(lang, L.grams(f"{WORDS[lang][i]} {WORDS[lang][i + 1]} {WORDS[lang][i + 2]} {WORDS[lang][i + 3]}")) for lang in sorted(WORDS) for i in range(2)]
+    rows = {lang: np.stack([L.grams(" ".join(WORDS[lang][i : i + 4])) for i in range(2)]) for lang in sorted(WORDS)}
     other = np.stack([L.grams(" ".join(reversed(WORDS[lang][2:5]))) for lang in sorted(WORDS)])
-    model = L.fit(rows)
+    idf = np.ones(L.DIMENSIONS)
+    model = L.join_languages([(lang, *L.fit_language(c, idf)) for lang, c in rows.items()], idf)
     best, _, rejected = model.predict(other)
     assert [model.languages[b] for b in best] == sorted(WORDS) and not rejected.any()
-    assert (L.fit(rows[:1]).floors == 0).all()
+    assert (L.join_languages([("en", *L.fit_language(rows["en"][:1], idf))], idf).floors == 0).all()
+
+
+def test_the_model_does_not_depend_on_the_order_of_rows(spark):
+    frame = spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string")
+    one = L.train(frame.repartition(1).sortWithinPartitions("doc_id"), per_language=30)
+    two = L.train(frame.repartition(5).sortWithinPartitions(L.F.desc("doc_id")), per_language=30)
+    assert one.languages == two.languages and np.array_equal(one.centroids, two.centroids) and np.array_equal(one.floors, two.floors)
+    drawn = L.sample(frame, text="text", lang="lang", per_language=30).groupBy("lang").count().collect()
+    assert {r["count"] for r in drawn} == {30}
+
+
+def test_many_languages_are_all_learned_or_refused(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 9, f"l{k:03}") for k in range(250)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(set(L.train(frame).languages)) == sorted(r[2] for r in rows)
+    with pytest.raises(ValueError, match="most_languages"):
+        L.train(frame, most_languages=249)
+
+
+def test_clashing_columns_stay(spark):
+    frame = spark.createDataFrame([(*r, "mine") for r in corpus(60)], "doc_id long, text string, lang string, source string, __language string")
+    kept = L.keep_identified(frame)
+    assert kept.columns == frame.columns and {r["__language"] for r in kept.collect()} == {"mine"}
+
+
+def test_query_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = queries.op3_language_id(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(rows)
+    right = [r["lang_pred"] == rows[r["doc_id"]]["lang"] for r in out if r["held_out"] and rows[r["doc_id"]]["lang"] and r["lang_pred"] != "und"]
+    assert len(right) > 20 and sum(right) >= 0.97 * len(right)
+    for r in out:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in rows[r["doc_id"]]["text"] or ""))
