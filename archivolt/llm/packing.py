@@ -7,15 +7,17 @@ solved by multiplicative weights: each step prices the lengths by how little
 they are covered, finds the best configuration by a knapsack dynamic program and
 adds it.  Rounding takes whole copies as long as the counts allow; what is left
 is packed best fit first, on counts as well, so its cost doesn't follow the data.
+Where best fit alone needs fewer sequences than the rounded program, its plan is taken.
 
 The plan gives every length ranges of ranks, each with a configuration and a
 place in it.  A piece finds its range by its rank among the pieces of its length
-and computes its sequence and offset; ranks come from counts per salt, so no
-length is gathered in one task.
+and computes its sequence and offset; the pieces of a frequent length are salted
+and ranked within a salt, so no length is gathered in one task.
 """
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -27,14 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from archivolt.llm.common import materialize, small_batches
+from archivolt.llm.common import fresh, materialize, small_batches
 from archivolt.llm.tokens import PieceTokenizer, tokenizer_path
 
 CAPACITY = 2048
 #: Id that ends every document.
 END_ID = 0
-#: Salts among which the pieces of one length are ranked.
-SALTS = 64
+#: Pieces of one length that a task ranks, about; longer lists get as many salts as that takes.
+RANKED = 200_000
 #: Pricing steps of the multiplicative weights method, their step size, and how fast a worse configuration is left.
 STEPS = 60
 STEP_SIZE = 0.05
@@ -96,7 +98,7 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, steps: in
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[dict[int, int], int]]:
-    """(configuration as length -> copies, times); every count is used up exactly."""
+    """(configuration as length -> copies, times); every count is used up exactly, and no worse than by best fit alone."""
     left = Counter({n: c for n, c in histogram.items() if c})
     if any(not 0 < n <= capacity for n in left):
         raise ValueError("a piece has to be of 1 to capacity tokens")
@@ -117,7 +119,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS
             named = {int(lengths[i]): many for i, many in config}
             take(named, min([round(times), *(left[n] // many for n, many in named.items())]))
     out += best_fit({n: c for n, c in left.items() if c}, capacity)
-    return out
+    plain = best_fit({n: c for n, c in histogram.items() if c}, capacity)
+    return min(out, plain, key=lambda p: sum(times for _, times in p))  # of equal ones the program's
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -191,43 +194,46 @@ def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", token
     )
 
 
-def pack(parts: DataFrame, *, capacity: int = CAPACITY, length: str = "length", salts: int = SALTS, steps: int = STEPS) -> DataFrame:
-    """``parts`` with ``sequence_id`` and ``offset``; read twice, so pass a written table.
-
-    Sequences hold at most ``capacity`` and have no gaps.  Equal rows are packed
-    each on their own; an empty table gives an empty result.
-    """
-    # the salt and the order come from a row's contents, so that a task run again ranks alike
-    simple = [F.col(f"`{c}`") for c, kind in parts.dtypes if not kind.startswith(("map", "variant"))]
-    marked = parts.withColumn("__n", F.col(f"`{length}`").cast("long")).withColumn("__h", F.xxhash64(*simple))
-    salted = marked.withColumn("__salt", F.pmod("__h", F.lit(salts)).cast("int"))
-    counts = salted.groupBy("__n", "__salt").agg(F.count("*").alias("c"))
-    earlier = W.Window.partitionBy("__n").orderBy("__salt").rowsBetween(W.Window.unboundedPreceding, -1)
-    bases = counts.select("__n", "__salt", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("__before"))  # capacity x salts rows at most
-    total = {r["__n"]: r["c"] for r in counts.groupBy("__n").agg(F.sum("c").alias("c")).collect()}  # capacity rows at most
-
-    # for each length the ranges of ranks that a configuration takes, in order
+def _ranges(planned: list[tuple[dict[int, int], int]]) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """For each length the ranges of ranks that a configuration takes, in order: first ranks, and rows of (first sequence, copies, offset)."""
+    lows, rest = defaultdict(lambda: array("q")), defaultdict(lambda: array("q"))
     taken: Counter[int] = Counter()
-    ranges: list[tuple[int, int, int, int, int]] = []
     sequence = 0
-    for config, times in plan(total, capacity, steps):
+    for config, times in planned:
         offset = 0
         for size in sorted(config, reverse=True):
             many = config[size]
-            ranges.append((size, taken[size], sequence, many, offset))
+            lows[size].append(taken[size])
+            rest[size].extend((sequence, many, offset))
             taken[size] += many * times
             offset += many * size
         sequence += times
-    spark = parts.sparkSession
-    by_length: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-    for size, start, first, many, offset in ranges:
-        by_length[size].append((start, first, many, offset))
+    return {n: np.frombuffer(x, np.int64) for n, x in lows.items()}, {n: np.frombuffer(x, np.int64).reshape(-1, 3) for n, x in rest.items()}
+
+
+def pack(parts: DataFrame, *, capacity: int = CAPACITY, length: str = "length", ranked: int = RANKED, steps: int = STEPS) -> DataFrame:
+    """``parts`` with ``sequence_id`` and ``offset``; read three times, so pass a written table.
+
+    Sequences hold at most ``capacity`` and have no gaps.  Equal rows are packed
+    each on their own; an empty table gives an empty result.  Earlier columns
+    ``sequence_id`` and ``offset`` are replaced, all others stay as they were.  A
+    null length, or one that isn't from 1 to ``capacity``, is an error.
+    """
+    n, h, salt, before, rank, at = (fresh(parts, stem) for stem in ("n", "h", "salt", "before", "rank", "at"))
+    # the salt and the order come from a row's contents, so that a task run again ranks alike
+    simple = [F.col(f"`{c}`") for c, kind in parts.dtypes if not kind.startswith(("map", "variant"))]
+    marked = parts.withColumn(n, F.coalesce(F.col(f"`{length}`").cast("long"), F.lit(0))).withColumn(h, F.xxhash64(*simple))
+    total = {r[n]: r["c"] for r in marked.groupBy(n).agg(F.count("*").alias("c")).collect()}  # capacity rows at most
+    planned = plan(total, capacity, steps)
+    many = F.array(*[F.lit(-(-total.get(i, 1) // ranked)) for i in range(capacity + 1)])
+    salted = marked.withColumn(salt, F.pmod(F.col(h), F.element_at(many, F.col(n).cast("int") + 1)).cast("int"))
+    counts = salted.groupBy(n, salt).agg(F.count("*").alias("c"))
+    earlier = W.Window.partitionBy(n).orderBy(salt).rowsBetween(W.Window.unboundedPreceding, -1)
+    bases = counts.select(n, salt, F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias(before))  # capacity + pieces / ranked rows
 
-    lows = {size: np.array([x[0] for x in rows], np.int64) for size, rows in by_length.items()}
-    rest = {size: np.array([x[1:] for x in rows], np.int64) for size, rows in by_length.items()}
     # At most capacity * steps / 2 configurations come from the program and 4 bins a length from the rest; a sequence
     # has at most 63 different lengths (1 + 2 + ... + 63 = 2016).  At 32 bytes each that is 140 MB, whatever the documents.
-    shared = spark.sparkContext.broadcast((lows, rest))
+    shared = parts.sparkSession.sparkContext.broadcast(_ranges(planned))
 
     def place(sizes: pd.Series, ranks: pd.Series) -> pd.DataFrame:
         lows, rest = shared.value
@@ -235,21 +241,25 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY, length: str = "length",
         seq, off = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         for s in np.unique(size):
             of = np.flatnonzero(size == s)
-            at = np.searchsorted(lows[s], rank[of], "right") - 1
-            first, many, offset = rest[s][at].T
-            within = rank[of] - lows[s][at]
-            seq[of], off[of] = first + within // many, offset + within % many * s
+            range_of = np.searchsorted(lows[s], rank[of], "right") - 1
+            first, copies, offset = rest[s][range_of].T
+            within = rank[of] - lows[s][range_of]
+            seq[of], off[of] = first + within // copies, offset + within % copies * s
         return pd.DataFrame({"sequence_id": seq, "offset": off})
 
     udf = F.pandas_udf(place, "sequence_id long, offset long").asNondeterministic()
-    order = W.Window.partitionBy("__n", "__salt").orderBy("__h")
-    ranked = salted.join(F.broadcast(bases), ["__n", "__salt"]).withColumn("__rank", F.row_number().over(order) - 1 + F.col("__before"))
+    order = W.Window.partitionBy(n, salt).orderBy(h)
+    placed = salted.join(bases, [n, salt]).withColumn(rank, F.row_number().over(order) - 1 + F.col(before))
     kept = [F.col(f"`{c}`") for c in parts.columns if c not in ("sequence_id", "offset")]
-    return ranked.select(*kept, udf("__n", "__rank").alias("__at")).select(*kept, "__at.sequence_id", "__at.offset")
+    return placed.select(*kept, udf(n, rank).alias(at)).select(*kept, F.col(at)["sequence_id"].alias("sequence_id"), F.col(at)["offset"].alias("offset"))
 
 
 def pack_documents(docs: DataFrame, **how) -> DataFrame:
-    """The contract's columns: a row per piece with its sequence and its offset there."""
+    """The contract's columns: a row per piece with its sequence and its offset there.
+
+    A null or empty text is one piece, the end id alone; repeated rows are packed
+    each on their own; null ids stay null; an empty table gives an empty result.
+    """
     cut = pieces(docs, **how)
     digest = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(materialize(digest, "pieces"), capacity=how.get("capacity", CAPACITY))

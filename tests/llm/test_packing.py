@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from archivolt.llm import packing as P
+from archivolt.llm import queries
 from archivolt.llm.tokens import PieceTokenizer, tokenizer_path
 
 
@@ -88,5 +89,52 @@ def test_documents(spark):
     assert len(by) <= -(-total // 32) * 1.1 + 1
 
 
+def _check(rows, capacity):
+    by = defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(by)
+
+
+@pytest.mark.parametrize("scale", [300, 60])
+def test_plan_is_never_worse_than_best_fit(scale):
+    histogram = {n: int(2e6 * np.exp(-n / scale)) + 1 for n in range(1, 2049)}
+    made, plain = (sum(times for _, times in p) for p in (P.plan(histogram), P.best_fit(histogram, P.CAPACITY)))
+    assert made <= plain
+    assert used(P.plan(histogram)) == Counter(histogram)
+
+
+def test_salted_lengths_and_clashing_columns(spark):
+    rows = [(i, 7 if i % 3 else i % 20 + 1, "a", 1, 2, "z") for i in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, length long, __n string, __salt int, offset int, __at string")
+    out = P.pack(frame, capacity=32, ranked=50)
+    got = out.collect()
+    assert sorted(out.columns) == sorted([*frame.columns, "sequence_id"])
+    assert {(r["__n"], r["__salt"], r["__at"]) for r in got} == {("a", 1, "z")} and sorted(r["doc_id"] for r in got) == list(range(2000))
+    assert _check(got, 32) <= -(-sum(r[1] for r in rows) // 32) * 1.05 + 1
+
+
+def test_query_against_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    whole = Tokenizer.from_file(tokenizer_path())
+    want = Counter()
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = whole.encode(d["text"] or "", add_special_tokens=False).ids + [0]
+        for k in range(0, len(ids), 2048):
+            part = np.array(ids[k : k + 2048], "<u4")
+            want[(d["doc_id"], k // 2048, k, len(part), zlib.crc32(part.tobytes()))] += 1
+    got = queries.op2_best_fit_packing(spark, sf).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    assert _check(got, 2048) <= -(-sum(k[3] * c for k, c in want.items()) // 2048) + 1
+
+
 def test_empty(spark):
     assert P.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
