@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from archivolt.llm.common import materialize
+from archivolt.llm.common import blocks, cut, let, materialize
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: The role whose texts a model learns from.
@@ -39,8 +39,8 @@ def paths(messages: DataFrame, *, best: int | None = None) -> DataFrame:
 
     ``messages``: tree, id, parent (null: a root), role, text, score.  ``id`` is
     unique in its tree.  A path is named by its leaf.  Paths of a tree rank by
-    mean score (null counts as 0), ties by leaf; ``best`` keeps that many of each
-    tree, None all.  Messages whose parent is missing are roots; those on a cycle,
+    mean score (null counts as 0), ties by leaf, from 1; ``best`` keeps that many of
+    each tree, None all.  Messages whose parent is missing are roots; those on a cycle,
     or below one, have no root and are on no path.  Null trees are one tree; rows
     with a null id can't be named and are on no path.
     """
@@ -73,16 +73,30 @@ def paths(messages: DataFrame, *, best: int | None = None) -> DataFrame:
         jump = chains[k].where("up is not null").select("tree", "id", "up")
         longer = on.join(jump, ["tree", "id"]).select("tree", "path", F.col("up").alias("id"), (F.col("up_by") + 2**k).alias("up_by"))
         on = on.unionByName(materialize(longer, "paths"))  # written: each step reads all before it, so a lazy plan would double
-    top = on.groupBy("tree", "path").agg(F.max("up_by").alias("length"))
-    full = on.join(top, ["tree", "path"]).join(whole, ["tree", "id"])
-    if best is None:
-        ranked = full.withColumn("rank", F.lit(1))
-    else:
-        scores = full.groupBy("tree", "path").agg(F.avg("score").alias("mean"))
-        order = W.Window.partitionBy("tree").orderBy(F.desc("mean"), "path")
-        chosen = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("tree", "path", "rank")
-        ranked = full.join(chosen, ["tree", "path"])
-    return ranked.select("tree.tree", "path", "rank", (F.col("length") - F.col("up_by")).alias("depth"), "id", "role", "text")
+    scored = on.join(whole.select("tree", "id", "score"), ["tree", "id"])
+    chosen = materialize(ranked(scored.groupBy("tree", "path").agg(F.max("up_by").alias("length"), F.avg("score").alias("mean")), best), "ranks")
+    full = on.join(chosen, ["tree", "path"]).join(whole.select("tree", "id", "role", "text"), ["tree", "id"])
+    return full.select("tree.tree", "path", "rank", (F.col("length") - F.col("up_by")).alias("depth"), "id", "role", "text")
+
+
+def ranked(scores: DataFrame, best: int | None, parts: int = 64) -> DataFrame:
+    """(tree, path, length, rank): paths by mean score, then leaf; ``best`` of each tree, or all.
+
+    With ``best``, each of ``parts`` parts of a tree keeps its own best first, so
+    no tree is sorted in one task; without it a tree's ranks are counted part by
+    part, by ranges of scores that a sort of all paths gives.
+    """
+    by_score = [F.desc("mean"), F.col("path")]
+    if best is not None:
+        part = F.pmod(F.xxhash64("path"), F.lit(parts))
+        own = scores.withColumn("part", part).withColumn("rank", F.row_number().over(W.Window.partitionBy("tree", "part").orderBy(*by_score))).where(F.col("rank") <= best)
+        return own.withColumn("rank", F.row_number().over(W.Window.partitionBy("tree").orderBy(*by_score))).where(F.col("rank") <= best).drop("part", "mean")
+    # sorted over all tasks; a task's rows are one range of (tree, score), so a rank is that in the range and what the ranges before it hold of the tree
+    spread = materialize(scores.orderBy("tree", *by_score).withColumn("part", F.spark_partition_id()), "scores")
+    before = W.Window.partitionBy("tree").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
+    counts = spread.groupBy("tree", "part").agg(F.count("*").alias("n")).select("tree", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inner = spread.withColumn("at", F.row_number().over(W.Window.partitionBy("tree", "part").orderBy(*by_score)))
+    return inner.join(counts, ["tree", "part"]).select("tree", "path", "length", (F.col("at") + F.col("before")).alias("rank"))
 
 
 def format_paths(turns: DataFrame, *, learned: str = LEARNED) -> DataFrame:
@@ -112,7 +126,7 @@ def parse(formatted: Column) -> Column:
 
 def masked(formatted: Column, loss: Column) -> Column:
     """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(loss, lambda m: unescape(F.substring(formatted, m["start"] + 1, m["length"]))), "")
+    return let(blocks(formatted), lambda held: F.array_join(F.transform(loss, lambda m: unescape(cut(held, m["start"], m["start"] + m["length"]))), ""))
 
 
 def from_turns(rows: DataFrame) -> DataFrame:
