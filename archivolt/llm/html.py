@@ -7,11 +7,16 @@ comments count as no text.  The text-to-tag ratios of all lines are smoothed wit
 a Gaussian and cut at a threshold, which gives clusters of content; the element
 that holds all clusters is the content region, and every line in it that isn't
 boilerplate is returned, short ones included.
+
+Some boilerplate is told by its element alone, some only by names in class and id.
+A name doesn't count where its element holds most of a page's text and no article
+is outside, so that a wrapper is never dropped for a word in its class.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -32,6 +37,7 @@ _STRIDE = 1 << 16
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style noscript template svg math iframe object canvas audio video".split())
 BOILERPLATE = frozenset("nav footer aside form dialog button select textarea menu".split())
+FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -42,109 +48,194 @@ CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 #: What ends the search for a sibling.
 SCOPE = frozenset("ul ol dl table select article section div main body nav aside footer header".split())
-#: Words of class and id that name what isn't the article.
-_NAMES = re.compile(
-    r"(?:\A|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|cookies?|consent|notices?|gdpr|popup|modal|"
-    r"nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footer|masthead|site-header|page-header|"
-    r"comments?|disqus|replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|widgets?)(?=\Z|[\s_-])",
-    re.IGNORECASE,
+#: Words of class and id that name what isn't the article, as a whole or as the first or last part of a hyphenated name.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion promotions banner banners "
+    "cookie cookies consent notice notices gdpr popup modal nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead "
+    "share sharing social related recommended newsletter subscribe signup login search pagination pager toolbar".split()
 )
+#: The same for what readers add; such elements may be longer than the article.
+READERS = frozenset("comment comments disqus replies respond".split())
+#: Names that count only as a whole, or as the first part.
+WHOLE = frozenset("site-header page-header widget widgets".split())
+#: Parts that turn a name into a remark on its element.
+REMARKS = frozenset("has no is with without not".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert dialog".split())
+_PARTS = re.compile(r"[-_]+")
+#: How an element is told as boilerplate.
+CONTENT, BY_NAME, BY_READERS, BY_ELEMENT = range(4)
+
+
+def named(names: str) -> int:
+    """What the words of a class or id say of their element."""
+    found = CONTENT
+    for name in names.lower().split():
+        parts = _PARTS.split(name)
+        if REMARKS.intersection(parts[:-1]):
+            continue
+        if READERS & {name, parts[0], parts[-1]}:
+            return BY_READERS
+        if NAMES & {name, parts[0], parts[-1]} or WHOLE & {name, parts[0]}:
+            found = BY_NAME
+    return found
 
 
 @dataclass
 class Line:
     text: str
     tags: int
-    path: tuple[int, ...]  # of the elements around it, outermost first
-    dropped: bool
+    element: int  # the innermost around it
 
 
 class Reader(HTMLParser):
-    """Collects lines; feed it a page in pieces and close it."""
+    """Collects lines and elements; feed it a page in pieces and close it.
+
+    Elements are numbered as they open, so an element's descendants are the
+    numbers behind it up to its last one; 0 is the page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.names: list[str] = []
-        self.dropped: list[bool] = []  # of each open element, with those around it
+        self.kinds, self.parents, self.told = [""], [0], [CONTENT]
+        self.stack: list[int] = []  # of open elements
         self.hidden: list[bool] = []
-        self.ids: list[int] = []
-        self.kinds: dict[int, str] = {}
-        self.count = 0
+        self.open: Counter[str] = Counter()
         self.held: list[str] = []
         self.tags = 0
 
-    def _end_line(self) -> None:
+    def end_line(self) -> None:
         text = " ".join("".join(self.held).split())
         if text:
-            self.lines.append(Line(text, self.tags, tuple(self.ids), bool(self.dropped) and self.dropped[-1]))
+            self.lines.append(Line(text, self.tags, self.stack[-1] if self.stack else 0))
             self.tags = 0
         self.held.clear()
 
     def _pop_to(self, depth: int) -> None:
-        if any(n in BLOCK for n in self.names[depth:]):
-            self._end_line()
-        del self.names[depth:], self.dropped[depth:], self.hidden[depth:], self.ids[depth:]
-
-    def _close_implied(self, tag: str) -> None:
-        if tag in CLOSES_P and "p" in self.names:
-            at = len(self.names) - 1 - self.names[::-1].index("p")
-            if not SCOPE & set(self.names[at:]):
-                self._pop_to(at)
-        ends = SIBLINGS.get(tag)
-        if ends:
-            for at in range(len(self.names) - 1, -1, -1):
-                if self.names[at] in ends:
-                    self._pop_to(at)
-                    break
-                if self.names[at] in SCOPE:
-                    break
+        names = [self.kinds[e] for e in self.stack[depth:]]
+        if any(n in BLOCK for n in names):
+            self.end_line()
+        self.open.subtract(names)
+        del self.stack[depth:], self.hidden[depth:]
+
+    def _close_nearest(self, names: set[str] | frozenset[str], scope: frozenset[str]) -> None:
+        """Close the innermost open element of ``names``, if none of ``scope`` is within it."""
+        if not any(self.open[n] for n in names):
+            return
+        for at in range(len(self.stack) - 1, -1, -1):
+            kind = self.kinds[self.stack[at]]
+            if kind in names:
+                return self._pop_to(at)
+            if kind in scope:
+                return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in VOID:
             if tag == "hr":
-                self._end_line()
+                self.end_line()
             elif tag in ("br", "wbr"):
                 self.held.append(" " if tag == "br" else "")
             return
-        self._close_implied(tag)
-        if tag == "body" and "head" in self.names:
-            self._pop_to(self.names.index("head"))
+        if tag in CLOSES_P:
+            self._close_nearest({"p"}, SCOPE)
+        if tag in SIBLINGS:
+            self._close_nearest(SIBLINGS[tag], SCOPE)
+        if tag == "body":
+            self._close_nearest({"head"}, frozenset())
         if tag in BLOCK:
-            self._end_line()
+            self.end_line()
         given = {k: v or "" for k, v in attrs}
-        inner = bool({"article", "main"} & set(self.names))
-        boiler = tag in BOILERPLATE or tag == "header" and not inner or "hidden" in given or given.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog")
-        if not boiler and tag not in ("html", "body", "article", "main"):
-            boiler = bool(_NAMES.search(given.get("class", "")) or _NAMES.search(given.get("id", "")))
-        self.count += 1
-        self.kinds[self.count] = tag
-        self.names.append(tag)
-        self.ids.append(self.count)
-        self.dropped.append(boiler or bool(self.dropped) and self.dropped[-1])
+        inner = self.open["article"] or self.open["main"]
+        told = CONTENT
+        if tag in BOILERPLATE or tag == "header" and not inner or "hidden" in given or given.get("role", "").lower() in ROLES:
+            told = BY_ELEMENT
+        elif tag not in ("html", "body", "article", "main"):
+            told = max(named(given.get("class", "")), named(given.get("id", "")))
+        self.parents.append(self.stack[-1] if self.stack else 0)
+        self.stack.append(len(self.kinds))
+        self.kinds.append(tag)
+        self.told.append(told)
         self.hidden.append(tag in HIDDEN or bool(self.hidden) and self.hidden[-1])
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # "/>" means nothing on an element that isn't void
+        if tag in FOREIGN or any(self.open[f] for f in FOREIGN):
+            self.tags += 1  # "/>" ends foreign elements, and means nothing on others that aren't void
+        else:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag in self.names:
-            self._pop_to(len(self.names) - 1 - self.names[::-1].index(tag))
+        self._close_nearest({tag}, frozenset())
 
     def handle_data(self, data: str) -> None:
         if not (self.hidden and self.hidden[-1]):
             self.held.append(data)
 
 
-def read_lines(html: str) -> tuple[list[Line], dict[int, str]]:
+@dataclass
+class Page:
+    """Lines and elements of a page; ``last[e]`` is the last descendant of e."""
+
+    lines: list[Line]
+    kinds: list[str]
+    parents: list[int]
+    last: list[int]
+    dropped: list[bool]  # elements that are boilerplate or within it
+
+    def sums(self, of_lines: list[int]) -> list[int]:
+        """For each element the sum over the lines in it."""
+        return _sums(self.parents, self.lines, of_lines)
+
+
+def _sums(parents: list[int], lines: list[Line], of_lines: list[int]) -> list[int]:
+    out = [0] * len(parents)
+    for line, n in zip(lines, of_lines, strict=True):
+        out[line.element] += n
+    for e in range(len(parents) - 1, 0, -1):
+        out[parents[e]] += out[e]
+    return out
+
+
+def _inherit(parents: list[int], own: list[bool]) -> list[bool]:
+    """Whether an element or one around it has the mark."""
+    out = list(own)
+    for e in range(1, len(parents)):
+        out[e] = out[e] or out[parents[e]]
+    return out
+
+
+def read_page(html: str) -> Page:
     reader = Reader()
     for at in range(0, len(html), _STRIDE):
         reader.feed(html[at : at + _STRIDE])
     reader.close()
-    reader._end_line()
-    return reader.lines, reader.kinds
+    reader.end_line()
+    lines, kinds, parents = reader.lines, reader.kinds, reader.parents
+    last = list(range(len(kinds)))
+    holds_main = [k == "main" for k in kinds]
+    for e in range(len(kinds) - 1, 0, -1):
+        last[parents[e]] = max(last[parents[e]], last[e])
+        holds_main[parents[e]] = holds_main[parents[e]] or holds_main[e]
+    sure = _inherit(parents, [t == BY_ELEMENT for t in reader.told])
+    size = _sums(parents, lines, [0 if sure[x.element] else len(x.text) for x in lines])
+    # articles that have text; those in one another or among what readers add count for no more
+    readers = _inherit(parents, [t == BY_READERS for t in reader.told])
+    articles = [k in ("article", "main") and size[e] > 0 and not readers[e] and not sure[e] for e, k in enumerate(kinds)]
+    within = list(map(int, articles))
+    for e in range(len(kinds) - 1, 0, -1):
+        within[parents[e]] += within[e]
+
+    def dropped(e: int, told: int) -> bool:
+        if told in (CONTENT, BY_ELEMENT):
+            return told == BY_ELEMENT
+        if told == BY_READERS:
+            return not holds_main[e] and size[e] < size[0]
+        return not holds_main[e] and (2 * size[e] <= size[0] or within[e] < within[0])
+
+    own = [dropped(e, told) for e, told in enumerate(reader.told)]
+    return Page(lines, kinds, parents, last, _inherit(parents, own))
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -154,36 +245,35 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def region(lines: list[Line], kinds: dict[int, str]) -> int | None:
-    """The element that holds all content clusters; None for the whole page."""
-    ratios = np.array([0.0 if x.dropped else len(x.text) / max(1, x.tags) for x in lines])
+def region(page: Page) -> int:
+    """The element that holds all content clusters; 0 for the whole page."""
+    ratios = np.array([0.0 if page.dropped[x.element] else len(x.text) / max(1, x.tags) for x in page.lines])
     even = smooth(ratios)
-    content = np.flatnonzero((even >= THRESHOLD * even.std()) & (ratios > 0))
-    if not len(content):
-        return None
-    shared = lines[content[0]].path
-    for i in content[1:]:
-        path, n = lines[i].path, 0
-        while n < min(len(shared), len(path)) and shared[n] == path[n]:
-            n += 1
-        shared = shared[:n]
+    content = ((even >= THRESHOLD * even.std()) & (ratios > 0)).astype(int).tolist()
+    count = page.sums(content)
+    if not count[0]:
+        return 0
+    shared = max(e for e in range(len(count)) if count[e] == count[0])  # of the nested elements that hold them all the innermost
+    around = [shared]
+    while around[-1]:
+        around.append(page.parents[around[-1]])
     # an article or main element around it is the region, else the nearest section
     for names in (("article",), ("main",), REGION):
-        for i in reversed(shared):
-            if kinds[i] in names:
-                return i
-    return None
+        for e in around:
+            if page.kinds[e] in names:
+                return e
+    return 0
 
 
 def main_text(html: str | None) -> str:
     """The content blocks of a page, one a line; empty if it has none."""
     if not html:
         return ""
-    lines, kinds = read_lines(html)
-    if not lines:
+    page = read_page(html)
+    if not page.lines:
         return ""
-    held = region(lines, kinds)
-    return "\n".join(x.text for x in lines if not x.dropped and (held is None or held in x.path))
+    held = region(page)
+    return "\n".join(x.text for x in page.lines if not page.dropped[x.element] and held <= x.element <= page.last[held])
 
 
 def _texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -38,6 +38,42 @@ def test_pages_split_over_sibling_elements(tag):
     assert html.main_text(page).split("\n") == [line for part in parts for line in part]
 
 
+TEXT = [f"Paragraph {i} with a good many words in it, as articles have." for i in range(6)]
+BODY = "".join(f"<p>{line}</p>" for line in TEXT)
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "elementor-widget-text", "page-with-comments widget", "comments-off", "no-comments", "main search"])
+def test_a_word_in_the_class_of_a_wrapper_keeps_the_article(name):
+    if name == "comments-off":
+        page = f"<body class='{name}'>{BODY}</body>"
+    else:
+        page = f"<body><div class='menu'><a>Home</a></div><div class='{name}'><h1>Head</h1>{BODY}</div><div class='site-footer'>us</div></body>"
+    assert html.main_text(page).split("\n")[-6:] == TEXT
+
+
+def test_every_block_in_a_widget_of_its_own():
+    parts = "".join(f"<div class='elementor-element elementor-widget elementor-widget-text-editor'><p>{line}</p></div>" for line in TEXT)
+    page = f"<body><div class='cookie-banner'>We use cookies.</div>{parts}<div class='post-comments'><p>A reader says more than all of the article. {' '.join(TEXT * 3)}</p></div><div class='related-posts'>Next</div></body>"
+    assert html.main_text(page).split("\n") == TEXT
+
+
+def test_self_closing_foreign_elements():
+    assert html.main_text("<article><p>Hello <svg/> world <svg><path d='x'/><title>no</title></svg>again <math/>x</p></article>") == "Hello world again x"
+    assert html.main_text("<article><p>Hello <b/> world</p><div/><p>again</p></article>") == "Hello world\nagain"
+
+
+def test_deep_nesting_takes_memory_by_the_element():
+    import tracemalloc
+
+    page = "<div>x" * 100_000
+    tracemalloc.start()
+    assert html.main_text(page).count("\n") == 99_999
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert html.main_text("<article><p>" + "<span>x " * 50_000 + "</span>" * 50_000).count("x") == 50_000
+    assert html.main_text("<ul>" + "<li><b>x" * 20_000) != ""
+
+
 def test_empty_null_broken_and_long():
     assert html.main_text(None) == html.main_text("") == html.main_text("<script>x</script>") == ""
     assert html.main_text("plain text only") == "plain text only"
