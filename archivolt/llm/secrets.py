@@ -3,10 +3,16 @@
 For every format of the labelled credentials a prefix tree of their characters is
 built and states are merged where their counts are statistically compatible (the
 Hoeffding test of state-merging grammar inference), which gives a probabilistic
-automaton.  Every candidate string of a text is scored by each automaton: the
-mean log-likelihood of a character against that of a model of ordinary strings.
-A candidate is a maximal run, or a part of one that starts with a format's prefix.
-A candidate whose best format exceeds the threshold is a secret.
+automaton: its first states spell the marks of a format with their variants,
+later ones loop over its random parts and the signs between them.  A character
+that a state hasn't seen has a small chance and leaves the state as it is.
+
+The candidates are all parts of all runs of credential characters.  An automaton
+reads a run once, from every start at a time: of the readings that are in the
+same state only the best goes on, and one that ordinary strings explain better is
+given up.  The gain of a part is its log-likelihood by the format over that by a
+model of ordinary strings, learned too; parts whose best format exceeds the
+threshold are secrets.  Base spans get the best gain of a part of theirs as score.
 
 Learning happens once on the driver from a bounded list of labelled strings; the
 automata, of a bounded number of states, are broadcast, and the scan is one pass
@@ -17,6 +23,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log, sqrt
@@ -40,64 +47,102 @@ BASE = (
     ("access", lambda low: "akia" in low, re.compile(r"AKIA[A-Z0-9]{14,}"), lambda m: True),
     ("hex", lambda low: True, re.compile(r"[0-9a-f]{16,}"), lambda m: True),
 )
-#: Characters of a candidate, at least, and maximal runs of the characters that credentials are made of.
+#: Characters of a candidate, at least, and the runs that candidates are parts of.
 LEAST = 16
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.:=~-]{16,}")
 
 #: How sure a difference has to be to keep two states apart, and the visits below which a state is compatible with any.
 ALPHA, LEAST_VISITS = 0.05, 8
 #: Labelled credentials of a format that are learned from.
 EXAMPLES = 200
+#: A state of the prefix tree reads characters as themselves while so few of them make up all of its visits.
+LITERALS = 6
+#: The chance of a character that a state hasn't seen, over that in ordinary strings.
+UNSEEN = 1e-3
+#: A secret reaches to its last end that has gained so much less than the best one at most: less than one unseen character costs.
+SLACK = 4.0
 #: Gain in log-likelihood over ordinary strings (natural logarithm) that makes a secret.
 THRESHOLD = 10.0
 
-# Published shapes of credentials (prefix, alphabet, length after the prefix).
+# Published shapes of credentials, as parts (choices of words, or an alphabet with the least and the most characters).
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-SHAPES = (
-    ("cloud_key_id", "AKIA", _UPPER + "234567", 16),
-    ("cloud_temporary_id", "ASIA", _UPPER + "234567", 16),
-    ("forge_token", "ghp_", _UPPER + _LOWER + _DIGIT, 36),
-    ("forge_app_token", "ghs_", _UPPER + _LOWER + _DIGIT, 36),
-    ("group_token", "glpat-", _UPPER + _LOWER + _DIGIT + "_-", 20),
-    ("chat_bot_token", "xoxb-", _DIGIT + _LOWER + _UPPER + "-", 50),
-    ("payment_key", "sk_live_", _UPPER + _LOWER + _DIGIT, 24),
-    ("map_key", "AIza", _UPPER + _LOWER + _DIGIT + "_-", 35),
-    ("package_token", "npm_", _UPPER + _LOWER + _DIGIT, 36),
-    ("web_token", "eyJhbGciOi", _UPPER + _LOWER + _DIGIT + "_-", 90),
+_ALNUM, _HEX = _UPPER + _LOWER + _DIGIT, _DIGIT + "abcdef"
+_URL = _ALNUM + "_-"
+SHAPES: tuple[tuple[str, tuple], ...] = (
+    ("cloud_key_id", (("AKIA", "ASIA", "AROA", "AIDA"), (_UPPER + "234567", 16, 16))),
+    ("forge_token", (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), (_ALNUM, 36, 36))),
+    ("forge_scoped_token", (("github_pat_",), (_ALNUM, 22, 22), ("_",), (_ALNUM, 59, 59))),
+    ("group_token", (("glpat-", "gldt-", "glrt-"), (_URL, 20, 20))),
+    ("chat_token", (("xoxb-", "xoxp-", "xoxa-", "xoxr-"), (_DIGIT, 10, 13), ("-",), (_DIGIT, 10, 13), ("-",), (_ALNUM, 24, 32))),
+    ("payment_key", (("sk_", "rk_", "pk_"), ("live_", "test_"), (_ALNUM, 24, 34))),
+    ("map_key", (("AIza",), (_URL, 35, 35))),
+    ("mail_key", (("SG.",), (_URL, 22, 22), (".",), (_URL, 43, 43))),
+    ("package_token", (("npm_",), (_ALNUM, 36, 36))),
+    ("index_token", (("pypi-AgEIcHlwaS5vcmc",), (_URL, 50, 90))),
+    ("shop_token", (("shpat_", "shpca_", "shppa_", "shpss_"), (_HEX, 32, 32))),
+    ("web_token", (("eyJhbGciOi", "eyJ0eXAiOi"), (_URL, 20, 40), (".eyJ",), (_URL, 40, 120), (".",), (_URL, 43, 43))),
+    ("bot_token", ((_DIGIT, 8, 10), (":AA",), (_URL, 33, 33))),
 )
 
 
+def _drawn(draw: random.Random, parts: tuple) -> str:
+    out = []
+    for part in parts:
+        if isinstance(part[-1], int):
+            alphabet, low, high = part
+            out.append("".join(draw.choices(alphabet, k=draw.randint(low, high))))
+        else:
+            out.append(draw.choice(part))
+    return "".join(out)
+
+
 def labelled(examples: int = EXAMPLES, seed: int = 7) -> list[tuple[str, str]]:
     """(format, credential): invented strings of the published shapes; the same on every call."""
     draw = random.Random(seed)
-    return [(name, prefix + "".join(draw.choices(alphabet, k=length))) for name, prefix, alphabet, length in SHAPES for _ in range(examples)]
+    return [(name, _drawn(draw, parts)) for name, parts in SHAPES for _ in range(examples)]
+
+
+def ordinary(examples: int = 2000, seed: int = 8) -> list[str]:
+    """Invented strings that are no secrets: words, names in several styles, paths, versions, digests, dates."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice("bcdfghklmnprstvw") + draw.choice("aeiou") + draw.choice(["", "n", "r", "s", "t"]) for _ in range(draw.randint(1, 3)))
+    kinds = (
+        lambda: draw.choice("_-./").join(word() for _ in range(draw.randint(2, 6))),
+        lambda: "".join(word().title() for _ in range(draw.randint(2, 5))),
+        lambda: "_".join(word().upper() for _ in range(draw.randint(2, 4))),
+        lambda: f"{word()}-{draw.randint(0, 9)}.{draw.randint(0, 30)}.{draw.randint(0, 999)}",
+        lambda: "".join(draw.choices(_HEX, k=draw.choice([32, 40, 64]))),
+        lambda: f"{draw.randint(1990, 2030)}-{draw.randint(1, 12):02}-{draw.randint(1, 28):02}/{word()}{draw.randint(0, 9999)}",
+    )
+    return [draw.choice(kinds)() for _ in range(examples)]
 
 
 # --- grammar inference -----------------------------------------------------------
 
-#: Behind the shared prefix characters are read as classes; others stand for themselves.
+#: Classes of characters, for states that see too many to tell them one by one.
 _CLASS = {**dict.fromkeys(_UPPER, "A"), **dict.fromkeys(_LOWER, "a"), **dict.fromkeys(_DIGIT, "0")}
-_CLASS_SIZE = {"A": 26, "a": 26, "0": 10}
+_CLASSES = frozenset("Aa0")
 
 
 @dataclass
 class Automaton:
-    """``step[state][symbol]`` is (next state, log probability of a character); ``end[state]`` the log probability of ending."""
+    """``step[state][character]`` is (next state, log probability); ``end[state]`` the log probability of ending, None where a credential's marks aren't spelled yet."""
 
     name: str
-    prefix: str
     step: list[dict[str, tuple[int, float]]]
-    end: list[float]
-    accepts: list[bool]  # whether a credential has ended there
+    end: list[float | None]
+    least: int  # characters of the shortest labelled credential
+    lasts: frozenset[str]  # characters that labelled credentials end with, and others of their classes
 
 
 @dataclass
 class _State:
-    """Counts of a state; ``out[symbol]`` is [next state, times taken]."""
+    """Counts of a state; ``out[symbol]`` is [next state, times taken].  A class is a symbol with a sign before it."""
 
     visits: int
     ends: int
     out: dict[str, list[int]]
+    classes: bool = False
 
 
 def _same_share(f1: int, n1: int, f2: int, n2: int) -> bool:
@@ -107,24 +152,36 @@ def _same_share(f1: int, n1: int, f2: int, n2: int) -> bool:
     return abs(f1 / n1 - f2 / n2) < sqrt(0.5 * log(2 / ALPHA)) * (1 / sqrt(n1) + 1 / sqrt(n2))
 
 
-def _prefix_tree(rest: list[list[str]]) -> list[_State]:
+def _prefix_tree(rows: list[str]) -> list[_State]:
+    """Counts of all prefixes; where a state has more than ``LITERALS`` different characters, they and all behind them are read as classes."""
     tree = [_State(0, 0, {})]
-    for symbols in rest:
-        at = 0
-        tree[at].visits += 1
-        for x in symbols:
-            edge = tree[at].out.setdefault(x, [len(tree), 0])
-            if edge[0] == len(tree):
-                tree.append(_State(0, 0, {}))
-            edge[1] += 1
-            at = edge[0]
-            tree[at].visits += 1
-        tree[at].ends += 1
+    waiting = [(0, sorted(rows), 0, False)]
+    while waiting:
+        at, held, depth, classes = waiting.pop()
+        by: dict[str, list[str]] = {}
+        for c in held:
+            if len(c) > depth:
+                by.setdefault(c[depth], []).append(c)
+        tree[at].visits, tree[at].ends = len(held), sum(len(c) == depth for c in held)
+        classes = tree[at].classes = classes or len(by) > LITERALS
+        if classes:
+            merged: dict[str, list[str]] = {}
+            for x, found in by.items():
+                merged.setdefault("\0" + _CLASS[x] if x in _CLASS else x, []).extend(found)
+            by = merged
+        for x, found in sorted(by.items()):
+            tree[at].out[x] = [len(tree), len(found)]
+            waiting.append((len(tree), found, depth + 1, classes))
+            tree.append(_State(0, 0, {}))
     return tree
 
 
 def _compatible(tree: list[_State], a: int, b: int) -> bool:
-    """Whether the subtree of b may be drawn from what a stands for."""
+    """Whether the subtree of b may be drawn from what a stands for; of a state with few visits, whether a knows its characters."""
+    if tree[a].classes != tree[b].classes:
+        return False
+    if tree[b].visits < LEAST_VISITS:
+        return tree[b].out.keys() <= tree[a].out.keys()
     stack = [(a, b)]
     while stack:
         p, q = (tree[i] for i in stack.pop())
@@ -134,7 +191,7 @@ def _compatible(tree: list[_State], a: int, b: int) -> bool:
             u, v = p.out.get(x, (None, 0)), q.out.get(x, (None, 0))
             if not _same_share(u[1], p.visits, v[1], q.visits):
                 return False
-            if u[0] is not None and v[0] is not None:
+            if u[0] is not None and v[0] is not None and tree[v[0]].visits >= LEAST_VISITS:
                 stack.append((u[0], v[0]))
     return True
 
@@ -156,36 +213,42 @@ def _fold(tree: list[_State], a: int, b: int) -> None:
 
 def infer(name: str, credentials: list[str]) -> Automaton:
     """Merge compatible states of the prefix tree, those nearest the root first, into a probabilistic automaton."""
-    prefix = credentials[0]
-    for c in credentials:
-        while not c.startswith(prefix):
-            prefix = prefix[:-1]
-    tree = _prefix_tree([[_CLASS.get(x, x) for x in c[len(prefix) :]] for c in credentials])
-    kept, waiting = [0], [(0, x) for x in sorted(tree[0].out)]
+    tree = _prefix_tree(credentials)
+    kept = [0]
+    waiting = [(0, x) for x in sorted(tree[0].out)]
     while waiting:
         source, x = waiting.pop(0)
         state = tree[source].out[x][0]
         if state in kept:
             continue
-        into = next((k for k in kept if _compatible(tree, k, state)), None)
+        fitting = [k for k in kept if _compatible(tree, k, state)]
+        into = max(fitting, key=lambda k: tree[k].visits, default=None)  # the best known of them
         if into is None:
             kept.append(state)
         else:
             tree[source].out[x][0] = into
             _fold(tree, into, state)
         waiting = [(k, x) for k in kept for x in sorted(tree[k].out) if tree[k].out[x][0] not in kept]
+    # a class stands for those of its characters that the format has: a hexadecimal part isn't one of all letters
+    seen = {x: sorted({c for row in credentials for c in row if _CLASS.get(c) == x}) for x in _CLASSES}
     place = {k: i for i, k in enumerate(kept)}
-    step, end, accepts = [], [], []
+    step, end = [], []
     for k in kept:
         total = tree[k].ends + sum(times for _, times in tree[k].out.values())
-        step.append({x: (place[target], log(times / total) - log(_CLASS_SIZE.get(x, 1))) for x, (target, times) in tree[k].out.items()})
-        end.append(log(max(tree[k].ends, 0.5) / (total + 0.5)))
-        accepts.append(tree[k].ends > 0)
-    return Automaton(name, prefix, step, end, accepts)
+        edges: dict[str, tuple[int, float]] = {}
+        for x, (target, times) in tree[k].out.items():
+            chars = seen[x[1:]] if x[0] == "\0" else [x]
+            for c in chars:
+                edges[c] = (place[target], log(times / total / len(chars)))
+        step.append(edges)
+        end.append(log(max(tree[k].ends, 0.5) / (total + 0.5)) if tree[k].classes or tree[k].ends else None)
+    lasts = {c[-1] for c in credentials}
+    lasts = lasts.union(*(seen[_CLASS[c]] for c in lasts if c in _CLASS))
+    return Automaton(name, step, end, min(map(len, credentials)), frozenset(lasts))
 
 
 def learn(rows: list[tuple[str, str]]) -> list[Automaton]:
-    """An automaton for each format of (format, credential), at most ``EXAMPLES`` of a format."""
+    """An automaton for each format of (format, credential), from ``EXAMPLES`` of a format at most."""
     of: dict[str, list[str]] = {}
     for name, credential in rows:
         if name is not None and credential:
@@ -195,74 +258,81 @@ def learn(rows: list[tuple[str, str]]) -> list[Automaton]:
     return [infer(name, found) for name, found in sorted(of.items())]
 
 
-#: Log probability of a character of ordinary strings: the alphabet of candidates, evenly.
-_ORDINARY = -log(66)
-
-
-def score(candidate: str, automaton: Automaton) -> float:
-    """The log-likelihood by the format against that by ordinary strings; minus infinity where the format can't give the string."""
-    if not candidate.startswith(automaton.prefix):
-        return float("-inf")
-    state, gain = 0, -len(candidate) * _ORDINARY
-    for c in candidate[len(automaton.prefix) :]:
-        got = automaton.step[state].get(_CLASS.get(c, c))
-        if got is None:
-            return float("-inf")
-        state, p = got
-        gain += p
-    return gain + automaton.end[state]
-
-
-def last_end(run: str, start: int, automaton: Automaton, threshold: float) -> tuple[float, int]:
-    """(gain, end) at the last accepting position, LEAST characters or more behind ``start``, that reaches the threshold.
-
-    Merged states carry no length, so between accepting positions the gain only
-    tells common characters from rare ones; the last one covers the credential.
-    """
-    at = start + len(automaton.prefix)
-    state, gain, best = 0, -len(automaton.prefix) * _ORDINARY, (float("-inf"), at)
-    while True:
-        if automaton.accepts[state] and at - start >= LEAST and gain + automaton.end[state] >= threshold:
-            best = (gain + automaton.end[state], at)
-        got = automaton.step[state].get(_CLASS.get(run[at], run[at])) if at < len(run) else None
-        if got is None:
-            return best
-        state, p = got
-        gain += p - _ORDINARY
-        at += 1
-
-
-def inside(run: str, automata: list[Automaton], threshold: float) -> list[tuple[float, int, int, str]]:
-    """(gain, start, end, format) of the credentials within a run, from every occurrence of a learned prefix; of overlapping ones the best."""
-    found = []
-    for a in automata:
-        start = run.find(a.prefix) if a.prefix else -1
-        while start >= 0:
-            gain, end = last_end(run, start, a, threshold)
-            if gain >= threshold:
-                found.append((gain, start, end, a.name))
-            start = run.find(a.prefix, start + 1)
-    kept: list[tuple[float, int, int, str]] = []
-    for x in sorted(found, key=lambda x: (-x[0], x[1], x[3])):
-        if all(x[2] <= k[1] or k[2] <= x[1] for k in kept):
-            kept.append(x)
-    return kept
-
-
-def scan(text: str | None, automata: list[Automaton], threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, score) of the base spans, then of those that the automata add, by start."""
+def ordinary_model(rows: list[str]) -> dict[str, float]:
+    """Log probabilities of the characters of ordinary strings: those of the classes, evenly within each, signs one by one."""
+    counts: dict[str, int] = {}
+    for row in rows:
+        for c in row:
+            x = _CLASS.get(c, c)
+            counts[x] = counts.get(x, 0) + 1
+    total = sum(counts.values()) + 80
+    size = {"A": 26, "a": 26, "0": 10}
+    return {c: log((counts.get(x := _CLASS.get(c, c), 0) + size.get(x, 1)) / total / size.get(x, 1)) for c in _ALNUM + "+/_.=~-:"}
+
+
+class Scanner:
+    """Reads runs with all automata at a time."""
+
+    def __init__(self, automata: list[Automaton], base: dict[str, float] | None = None):
+        self.automata = automata
+        self.base = ordinary_model(ordinary()) if base is None else base
+        self.starts: dict[str, list[tuple[int, int, float]]] = {}  # character -> (automaton, state, gain)
+        for i, a in enumerate(automata):
+            for c, (state, p) in a.step[0].items():
+                self.starts.setdefault(c, []).append((i, state, p - self.base.get(c, 0.0)))
+        self.rare = log(UNSEEN)
+
+    def parts(self, run: str, threshold: float) -> list[tuple[float, int, int, str]]:
+        """(gain, start, end, format) of the parts that reach the threshold; of overlapping ones the best."""
+        alive: dict[tuple[int, int], tuple[float, int]] = {}  # (automaton, state) -> (gain, start)
+        found: dict[tuple[int, int], tuple[float, int]] = {}  # (automaton, start) -> (gain, end)
+        for at, c in enumerate(run):
+            base, after = self.base.get(c, 0.0), {}
+            for (i, state), (gain, start) in alive.items():
+                got = self.automata[i].step[state].get(c)
+                state, gain = (got[0], gain + got[1] - base) if got else (state, gain + self.rare)
+                if gain > 0 and ((i, state) not in after or after[i, state][0] < gain):
+                    after[i, state] = (gain, start)
+            for i, state, gain in self.starts.get(c, ()):
+                if gain > 0 and ((i, state) not in after or after[i, state][0] < gain):
+                    after[i, state] = (gain, at)
+            alive = after
+            for (i, state), (gain, start) in alive.items():
+                a = self.automata[i]
+                ending, n = a.end[state], at + 1 - start
+                best = found.get((i, start), (0.0, 0))[0]
+                if ending is not None and c in a.lasts and n >= max(a.least, LEAST) and gain + ending >= threshold and gain >= best - SLACK:
+                    found[i, start] = (max(best, gain), at + 1)
+        kept: list[tuple[float, int, int, str]] = []
+        taken: list[tuple[int, int]] = []  # of kept, sorted
+        for gain, start, end, name in sorted(((g, s, e, self.automata[i].name) for (i, s), (g, e) in found.items()), key=lambda x: (-x[0], x[1], x[3])):
+            place = bisect_left(taken, (start, end))
+            if (place == len(taken) or taken[place][0] >= end) and (not place or taken[place - 1][1] <= start):
+                taken.insert(place, (start, end))
+                kept.append((gain, start, end, name))
+        return kept
+
+
+def _confidence(gain: float) -> float:
+    return round(1 - 1 / (1 + max(gain, 0.0)), 6)
+
+
+def scan(text: str | None, scanner: Scanner, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
+    """(kind, start, end, score) of the base spans and of those that the automata add, by start."""
     if not text:
         return []
     low = text.lower()
-    found = [(rank, kind, m.start(), m.end(), 1.0) for rank, (kind, may, rx, valid) in enumerate(BASE) if may(low) for m in rx.finditer(text) if valid(m)]
+    base = [(rank, kind, m.start(), m.end()) for rank, (kind, may, rx, valid) in enumerate(BASE) if may(low) for m in rx.finditer(text) if valid(m)]
+    added = []
     for m in CANDIDATE.finditer(text):
-        part = m.group()
-        gain, name = max(((score(part, a), a.name) for a in automata), default=(float("-inf"), ""))
-        if gain >= threshold:
-            found.append((len(BASE), name, m.start(), m.end(), round(1 - 1 / (1 + gain), 6)))
-            continue
-        for gain, start, end, name in inside(part, automata, threshold):  # the run holds more than a credential
-            found.append((len(BASE), name, m.start() + start, m.start() + end, round(1 - 1 / (1 + gain), 6)))
+        added += [(m.start() + start, m.start() + end, gain, name) for gain, start, end, name in scanner.parts(m.group(), threshold)]
+    added.sort()
+    starts = [x[0] for x in added]
+    found = []
+    for rank, kind, start, end in base:  # the gain of the best part within
+        within = added[bisect_left(starts, start) : bisect_left(starts, end)]
+        found.append((rank, kind, start, end, _confidence(max((gain for _, stop, gain, _ in within if stop <= end), default=0.0))))
+    found += [(len(BASE), name, start, end, _confidence(gain)) for start, end, gain, name in added]
     found.sort(key=lambda s: (s[2], s[0], s[1]))
     return [s[1:] for s in found]
 
@@ -272,9 +342,10 @@ def find_secrets(docs: DataFrame, automata: list[Automaton] | None = None, *, te
 
     Positions are code points, ends exclusive.  Null and empty texts have no
     spans; kinds are searched apart and may overlap; equal rows are judged alike.
-    Without ``automata`` those of the published shapes are learned.
+    A base span that holds no part of a learned format has score 0.  Without
+    ``automata`` those of the published shapes are learned.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(learn(labelled()) if automata is None else automata)
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(learn(labelled()) if automata is None else automata))
 
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         learned = shared.value
