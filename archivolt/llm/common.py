@@ -21,32 +21,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a temporary one made.
+    Only on one machine, and where the session names none, a temporary one is
+    made; on a cluster executors would write where nobody reads.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="archivolt-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+#: The paths that this process has written and not yet removed.
+_WRITTEN: list[str] = []
+
+
+def written(df: DataFrame, name: str, instead_of: str | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` once to the shared folder; the table read back, and its path.
 
     The lineage ends at the files, so a lost executor costs a re-read and not a
-    recomputation, and a table used several times is computed once.
+    recomputation.  ``instead_of`` is removed afterwards: a table that nothing
+    reads any more.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    if instead_of is not None:
+        _remove(spark, instead_of)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``written`` for tables that results read lazily; they stay until ``clear``."""
+    return written(df, name)[0]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN.remove(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this process has written; results that read them have to be consumed before."""
+    for path in list(_WRITTEN):
+        _remove(spark, path)
 
 
 def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
     """Bound what a Python worker holds at once.
 
     Documents can be very long, so an Arrow batch is limited by rows as well as
-    by Spark's own byte limit.  The setting is read when the plan runs.
+    by Spark's own byte limit.  Spark reads the setting when the plan runs, so it
+    stays set for the session; later queries only get smaller batches by it.
     """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) != rows:

@@ -3,7 +3,8 @@
 Each round links all neighbours of a node to the smallest of them (large star),
 then all smaller neighbours to the smallest (small star), until nothing moves.
 Rounds are joins and minimum aggregations over edges; no component is gathered
-in a task, and each round is written to the shared folder to cut the lineage.
+in a task, and each round is written to the shared folder, in place of the one
+before it, to cut the lineage.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.llm.common import materialize
+from archivolt.llm.common import written
 
 
 def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
@@ -25,7 +26,7 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    now, state = materialize(now, "edges"), None
+    (now, path), state = written(now, "edges"), None
     for _ in range(most_rounds):
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if (mark["n"], mark["h"]) == state or not mark["n"]:
@@ -37,5 +38,5 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         large = large.where(F.col("a") != F.col("b")).distinct()
         small_m = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_m, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(small.unionByName(small_m.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        now, path = written(small.unionByName(small_m.select("a", F.col("m").alias("b"))).distinct(), "edges", instead_of=path)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from archivolt.llm import queries
+from archivolt.llm import common, queries
 from archivolt.llm import simhash as S
 from archivolt.llm.components import components
 
@@ -110,6 +110,17 @@ def test_chain_of_components(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100}
 
 
+def test_written_tables_are_replaced_and_removed(spark):
+    from pathlib import Path
+
+    common.clear(spark)
+    components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).collect()
+    folder = Path(common.scratch_dir(spark))
+    assert len(list(folder.glob("edges-*"))) == 1
+    common.clear(spark)
+    assert not list(folder.glob("edges-*"))
+
+
 def test_empty(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
