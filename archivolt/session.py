@@ -28,9 +28,11 @@ def local_session(name: str = "archivolt", cores: int | str = "*", shuffle: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only on one machine, where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="archivolt-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
