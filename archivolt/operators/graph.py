@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from archivolt.session import shared_dir
 
-#: Levels of nesting that are followed.
+#: Levels of nesting that are followed; deeper graphs are an error, not a shorter answer.
 MOST_DEPTH = 64
 
 
@@ -21,35 +21,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _too_deep(most_depth: int) -> RecursionError:
+    return RecursionError(f"the graph goes deeper than most_depth={most_depth}")
+
+
 def descendants(edges: DataFrame, roots: DataFrame, *, most_depth: int = MOST_DEPTH) -> DataFrame:
     """(id, depth): everything below the roots, roots included, each once at its least depth."""
     found = frontier = written(roots.select("id").distinct().withColumn("depth", F.lit(0)), "descendants")
-    for depth in range(1, most_depth + 1):
+    for depth in range(1, most_depth + 2):
         below = edges.join(frontier.select(F.col("id").alias("parent")), "parent").select(F.col("child").alias("id")).distinct()
         frontier = written(below.join(found, "id", "left_anti").withColumn("depth", F.lit(depth)), "descendants")
         if frontier.isEmpty():
             return found
         found = found.unionByName(frontier)
-    return found
+    raise _too_deep(most_depth)
 
 
 def reachable(edges: DataFrame, roots: DataFrame, *, most_depth: int = MOST_DEPTH) -> DataFrame:
     """(root, id): what lies below each root, the root included, each pair once; a ring ends by itself."""
     found = frontier = written(roots.select("root", F.col("root").alias("id")).distinct(), "reachable")
-    for _ in range(most_depth):
+    for _ in range(most_depth + 1):
         below = edges.join(frontier.select("root", F.col("id").alias("parent")), "parent").select("root", F.col("child").alias("id")).distinct()
         frontier = written(below.join(found, ["root", "id"], "left_anti"), "reachable")
         if frontier.isEmpty():
             return found
         found = found.unionByName(frontier)
-    return found
+    raise _too_deep(most_depth)
 
 
 def tree(edges: DataFrame, roots: DataFrame, *, excluded: list[int] | None = None, most_depth: int = MOST_DEPTH) -> DataFrame:
     """(id, depth, path): every way down that meets no node twice and no excluded one."""
     level = written(roots.select("id", F.lit(0).alias("depth"), F.array("id").alias("path")), "tree")
     found = level
-    for _ in range(most_depth):
+    for _ in range(most_depth + 1):
         step = edges.join(level.withColumnRenamed("id", "parent"), "parent").where(~F.array_contains("path", F.col("child")))
         if excluded:
             step = step.where(~F.col("child").isin(excluded))
@@ -57,7 +61,7 @@ def tree(edges: DataFrame, roots: DataFrame, *, excluded: list[int] | None = Non
         if level.isEmpty():
             return found
         found = found.unionByName(level)
-    return found
+    raise _too_deep(most_depth)
 
 
 def would_cycle(edges: DataFrame, child: int, parent: int) -> bool:

@@ -18,6 +18,7 @@ POINTS = {
     "in_thread": 15,
     "question": 20,
     "answered": 0,
+    "deadline": 10,
     "vip": 50,
     "filed_noise": -60,
     "list": -40,
@@ -28,18 +29,16 @@ NOISE = ("filed_noise", "list", "automated", "meeting_reply")
 HIGH, MEDIUM, LOW = 70, 45, 10
 OFTEN, BROADCAST, SMALL_CHAT = 5, 10, 5
 NOISE_VALUES = ("newsletter", "notification", "alert", "backup", "newsletters")
-MEETING = r"(?i)^\s*(accepted|declined|tentative|tentatively accepted|canceled|cancelled|updated invitation|invitation|new time proposed)\s*:"
-QUESTION = r"(?i)\?|\b(could you|can you|would you|will you|are you able|do you have time|let me know|what do you think|please (confirm|advise|review|reply|respond)|kan du|kan ni|vill du|vill ni|återkom)\b"
 
 
 def _domain(address: str = "from_address") -> Column:
     return F.lower(F.split_part(address, F.lit("@"), F.lit(2)))
 
 
-def importance(messages: DataFrame, participants: DataFrame, effective: DataFrame, *, owner: str, vips: list[str], now: str) -> DataFrame:
+def importance(messages: DataFrame, participants: DataFrame, effective: DataFrame, *, owner: str, vips: list[str], now: str, text: str = "subject") -> DataFrame:
     """(id, score, level, signals, waiting): incoming messages by summed signals, the owner's own score 0 and are low.
 
-    ``effective``: (message_id, dimension, value).  Feature tables are grouped
+    ``text`` names the column that questions and deadlines are read in.  ``effective``: (message_id, dimension, value).  Feature tables are grouped
     once each and joined by equality, so the messages are never crossed.
     """
     sent = messages.where("direction = 'out'")
@@ -66,7 +65,8 @@ def importance(messages: DataFrame, participants: DataFrame, effective: DataFram
     email, to_me = F.col("medium") == "email", yes(F.col("to_me"))
     direct = F.when(F.col("medium") == "teams_chat", to_me & (F.coalesce("n_to", F.lit(0)) <= SMALL_CHAT)).otherwise(email & to_me & ~listed & (F.coalesce("n_rcpt", F.lit(0)) <= BROADCAST))
     contacts = F.coalesce("contact_n", F.lit(0))
-    asks = person & direct & F.coalesce(F.rlike("subject", F.lit(QUESTION)), F.lit(False))
+    meeting = X.meeting_reply(F.col("subject"))
+    asks = person & direct & ~meeting & X.asks(F.col(text))
     answered = yes(F.col("last_out") > F.col("received_at"))
     fires = {
         "person": person,
@@ -77,11 +77,12 @@ def importance(messages: DataFrame, participants: DataFrame, effective: DataFram
         "in_thread": F.col("last_out").isNotNull() & (F.col("medium") != "teams_chat"),
         "question": asks & ~answered,
         "answered": asks & answered,
+        "deadline": X.names_deadline(F.col(text), F.col("received_at")),
         "vip": yes(F.col("sender").isin(vips) | _domain().isin(vips)),
         "filed_noise": F.col("noise_value").isNotNull(),
         "list": listed,
         "automated": F.col("is_automated"),
-        "meeting_reply": F.coalesce(F.rlike("subject", F.lit(MEETING)), F.lit(False)),
+        "meeting_reply": meeting,
     }
     fired = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("signal"), F.lit(POINTS[k]).alias("points"))) for k, c in fires.items()]))
     incoming = F.col("direction") == "in"

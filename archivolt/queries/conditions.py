@@ -146,7 +146,7 @@ eff as (select * from (select *, row_number() over (partition by message_id, dim
   order by tier desc, own desc, created_at desc nulls last, id desc) as rn from ranked) where rn = 1)"""
 
 
-@registry.add(f"{_MA}{RANKED} select id from message m where exists (select 1 from eff e where e.message_id = m.id and dimension = 'topic' and value = 'Travel') and exists (select 1 from eff e where e.message_id = m.id and dimension = 'tag' and value = 'A')")
+@registry.add(f"{_MA}{RANKED} select message_id as id from eff where dimension = 'topic' and value = 'Travel' or dimension = 'tag' and value = 'A' group by 1 having count(distinct dimension) = 2")
 def f33_effective_value_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, given = archive.messages(spark, sf_dir), archive.assignments(spark, sf_dir)
     return search.with_values(rows, given, [("topic", "Travel"), ("tag", "A")]).select("id")

@@ -27,12 +27,12 @@ f as (select m.*, coalesce(c.n, 0) as cn, coalesce(to_me, false) as tm, coalesce
   coalesce(lower(from_address) in ('user7@dom3.example.com') or split_part(from_address, '@', 2) in ('dom5.example.com'), false) as vip
   from message m left join contact c on c.sender = lower(m.from_address) left join tout t on t.thread_id = m.thread_id left join rc on rc.message_id = m.id left join v on v.message_id = m.id),
 g as (select *, case when medium = 'teams_chat' then tm and nt <= 5 else tm and not listed and nr <= 10 end as direct, coalesce(last_out > received_at, false) as answered from f),
-h as (select *, person and direct and coalesce(contains(subject, 'can you'), false) as asks from g),
+h as (select *, person and direct and (coalesce(contains(subject, 'can you'), false) or id % 7 = 3) as asks, id % 9 = 4 or id % 9 = 5 and coalesce(year(received_at + interval 10 day) = year(received_at), false) as due from g),
 s as (select *, case when direction <> 'in' then '' else concat_ws(',', case when person then 'person' end, case when direct then 'direct' end, case when not direct and not listed and (cm or tm) then 'copied' end,
   case when cn >= 5 then 'replied_often' end, case when cn between 1 and 4 then 'replied' end, case when last_out is not null and medium <> 'teams_chat' then 'in_thread' end, case when asks and not answered then 'question' end,
-  case when asks and answered then 'answered' end, case when vip then 'vip' end, case when noise is not null then 'filed_noise' end, case when listed then 'list' end, case when is_automated then 'automated' end) end as signals from h),
+  case when asks and answered then 'answered' end, case when due then 'deadline' end, case when vip then 'vip' end, case when noise is not null then 'filed_noise' end, case when listed then 'list' end, case when is_automated then 'automated' end) end as signals from h),
 p as (select *, list_sum(list_transform(string_split(signals, ','), lambda x: case x when 'person' then 20 when 'direct' then 20 when 'copied' then 5 when 'replied_often' then 25 when 'replied' then 15 when 'in_thread' then 15
-  when 'question' then 20 when 'vip' then 50 when 'filed_noise' then -60 when 'list' then -40 when 'automated' then -30 else 0 end))::int as score from s)
+  when 'question' then 20 when 'deadline' then 10 when 'vip' then 50 when 'filed_noise' then -60 when 'list' then -40 when 'automated' then -30 else 0 end))::int as score from s)
 select id, score, case when direction <> 'in' then 'low' when listed or is_automated or noise is not null then case when score >= 10 then 'low' else 'noise' end when score >= 70 then 'high' when score >= 45 then 'medium' when score >= 10 then 'low' else 'noise' end as level,
  signals, direction = 'in' and asks and not answered as waiting from p"""
 
@@ -41,7 +41,12 @@ select id, score, case when direction <> 'in' then 'low' when listed or is_autom
 def c4_x25_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = archive.messages(spark, sf_dir)
     effective = values.effective_message_values(rows, archive.assignments(spark, sf_dir).where("dimension = 'topic'"))
-    return signals.importance(rows, archive.participants(spark, sf_dir), effective, owner=archive.OWNER, vips=VIPS, now=archive.NOW)
+    # bodies with a question, an urgent word, and a date within and beyond the horizon
+    body = F.when(F.col("id") % 7 == 3, "Har du tid i veckan").otherwise("See https://example.com/?a=1")
+    dated = F.date_format(F.date_add("received_at", F.when(F.col("id") % 9 == 5, 10).otherwise(30)), "d/M")
+    due = F.when(F.col("id") % 9 == 4, "this is urgent").when(F.col("id") % 9 > 4, dated)
+    rows = rows.withColumn("text", F.concat_ws("\n", "subject", body, due))
+    return signals.importance(rows, archive.participants(spark, sf_dir), effective, owner=archive.OWNER, vips=VIPS, now=archive.NOW, text="text")
 
 
 @registry.add(f"{_IMPORTANCE}".replace(" select id, score, case when", " select id, score, case when").rsplit("select id, score", 1)[0] + "select count(*) filter (where direction = 'in' and asks and not answered)::bigint as waiting, count(*)::bigint as n from p")

@@ -223,3 +223,48 @@ def test_streams_equal_batches(spark, tmp_path):
     query.awaitTermination()
     batch = events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"))
     assert {tuple(r) for r in spark.table("rollup").collect()} == {tuple(r) for r in batch.collect()}
+
+
+MASKED = [
+    ("see https://portal.example.se/a/b?t=1 and www.example.com/x", "see https://portal.example.se/… and www.example.com/…"),
+    ("https://portal.example.se/ and http://a.example?q=1", "https://portal.example.se/ and http://a.example/…"),
+    ("pay SE45 5000 0000 0583 9825 7466 now", "pay [iban] now"),
+    ("pay SE46 5000 0000 0583 9825 7466 now", "pay SE46 5000 0000 0583 9825 7466 now"),
+    ("card 4111 1111-1111 1111.", "card [card]."),
+    ("card 4111 1111-1111 1112.", "card 4111 1111-1111 1112."),
+    ("born 19811218-9876 or 811278+9876, not 811318-9876", "born [personnummer] or [personnummer], not 811318-9876"),
+    ("id 8112189876, order 8112189875", "id [personnummer], order 8112189875"),
+    ("call +46 70 123 45 67, 0046701234567, 070-123 45 67 or 08-123 456 78", "call [phone], [phone], [phone] or [phone]"),
+    ("on 2024-09-30 12.30, part 12-070-123 45", "on 2024-09-30 12.30, part 12-070-123 45"),
+    ("", ""),
+    (None, ""),
+]
+
+
+def test_masking(spark):
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(MASKED)], "id int, t string")
+    got = {r["id"]: r["m"] for r in frame.select("id", X.masked(F.col("t")).alias("m")).collect()}
+    assert [got[i] for i in range(len(MASKED))] == [m for _, m in MASKED]
+
+
+def test_masking_of_long_texts(spark):
+    long = ["1 " * 200_000, "AB12" * 100_000, "+46 70 123 45 67, " * 20_000, "www.a.se/x " * 20_000]
+    got = [r["m"] for r in spark.createDataFrame(list(enumerate(long)), "id int, t string").select("id", X.masked(F.col("t")).alias("m")).orderBy("id").collect()]
+    assert got[1] == long[1] and got[2] == "[phone], " * 20_000 and got[3] == "www.a.se/… " * 20_000
+
+
+def test_normalised_texts_fold_look_alikes_and_compatibility_forms(spark):
+    rows = ["Ｐａｙ​pal  ﬁne", "Раураl", "ΝΟΤΕ", "é", None]
+    got = [r["n"] for r in spark.createDataFrame(list(enumerate(rows)), "id int, t string").select("id", X.normalized(F.col("t")).alias("n")).orderBy("id").collect()]
+    assert got == ["paypal fine", "paypal", "note", "é", ""]
+
+
+def test_too_deep_a_graph_is_an_error(spark):
+    from archivolt.operators import graph
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(5)], "parent long, child long")
+    root = spark.createDataFrame([(0, 0)], "id long, root long")
+    assert graph.descendants(edges, root, most_depth=5).count() == 6
+    for run in (graph.descendants, graph.reachable, graph.tree):
+        with pytest.raises(RecursionError):
+            run(edges, root, most_depth=4)
