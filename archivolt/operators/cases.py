@@ -15,6 +15,8 @@ from archivolt.operators import values as V
 PERSON = ("person", "person_via_system", "list")
 #: Fixed value: templates of fewer messages are asked one by one.
 TEMPLATE = 3
+#: Parts of a group that are drawn from apart, and ids of a range that are numbered in a task.
+PARTS, SPAN = 64, 100_000
 
 
 def with_origin(messages: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -24,24 +26,24 @@ def with_origin(messages: DataFrame, assignments: DataFrame) -> DataFrame:
     return rows.withColumn("machine", F.coalesce(~F.col("origin").isin(*PERSON), "is_automated", F.lit(False)))
 
 
-def _time(at: str = "received_at") -> Column:
-    """A sort key that puts missing times first."""
-    return F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(2**62)))
+def _time(at: str = "received_at", late: bool = False) -> Column:
+    """A sort key that puts missing times first, or last."""
+    return F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(2**62 if late else -(2**62)))
 
 
-def middles(rows: DataFrame, key: str) -> DataFrame:
-    """(key, id): the row at place (n + 1) / 2 of each key by time and id.
+def middles(rows: DataFrame, key: str, *, late: bool = False) -> DataFrame:
+    """(key, id): the row at place (n + 1) / 2 of each key by time (missing times first, or late) and id.
 
     Counts per day find the day that holds the middle, and only that day's rows
     are ranked, so a key with most of the archive isn't sorted in one task.
     """
-    day = F.coalesce(F.unix_date(F.col("received_at").cast("date")), F.lit(-(2**31)))
+    day = F.coalesce(F.unix_date(F.col("received_at").cast("date")), F.lit(2**31 - 1 if late else -(2**31)))
     daily = rows.groupBy(key, day.alias("__day")).agg(F.count("*").alias("__n"))
     upto = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, 0)
     placed = daily.withColumn("__to", F.sum("__n").over(upto)).withColumn("__want", F.floor((F.sum("__n").over(Window.partitionBy(key)) + 1) / 2))
     hit = placed.where("__to - __n < __want and __want <= __to").select(key, "__day", (F.col("__want") - F.col("__to") + F.col("__n")).alias("__place"))
     ranked = rows.withColumn("__day", day).join(hit, [key, "__day"])
-    ranked = ranked.withColumn("__rank", F.row_number().over(Window.partitionBy(key, "__day").orderBy(_time(), "id")))
+    ranked = ranked.withColumn("__rank", F.row_number().over(Window.partitionBy(key, "__day").orderBy(_time(late=late), "id")))
     return ranked.where("__rank = __place").select(key, "id")
 
 
@@ -136,9 +138,23 @@ def answer_key(pool: DataFrame, claims: list[str], shares: dict[str, dict[str, f
         rows = free.unionByName(first.select("r.*"))
     sizes = {r["group"]: r["n"] for r in rows.groupBy("group").agg(F.count("*").alias("n")).collect()}  # as many rows as groups
     wanted = quotas(sizes, shares, n)
-    # a group gives at most its quota of the n: the first of each in the order, not a sorted group
-    drawn = [rows.where(F.col("group") == g).orderBy("__order", "id").limit(k).select("id", "group") for g, k in wanted.items() if k]
-    return reduce(DataFrame.unionByName, drawn) if drawn else rows.select("id", "group").limit(0)
+    # a group gives at most its quota of the n: each part of a group its own first, then the first of those
+    quota = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])[F.col("group")] if wanted else F.lit(0)
+    parted = rows.select("id", "group", "__order", F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("__part"))
+    for keys in (("group", "__part"), ("group",)):
+        place = Window.partitionBy(*keys).orderBy("__order", "id")
+        parted = parted.withColumn("__rn", F.row_number().over(place)).where(F.col("__rn") <= quota)
+    return parted.select("id", "group")
+
+
+def numbered(rows: DataFrame, key: str, into: str) -> DataFrame:
+    """``rows`` with their place by an integer key that is unique, from 1: counts per range of keys, then places within a range."""
+    spans = rows.withColumn("__span", F.floor(F.col(key) / SPAN))
+    counts = spans.groupBy("__span").agg(F.count("*").alias("__n"))
+    earlier = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("__span", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))  # a row per range
+    place = F.row_number().over(Window.partitionBy("__span").orderBy(key)) + F.col("__before")
+    return spans.join(bases, "__span").withColumn(into, place).drop("__span", "__before")
 
 
 def check_sample(labels: DataFrame, labeller: str, owner: str, n: int) -> DataFrame:

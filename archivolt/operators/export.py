@@ -81,3 +81,35 @@ def nearest_first(rows: DataFrame, anchors: DataFrame, key: str, at: str, id_: s
     spent = F.coalesce(F.sum(F.length("__cut")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     held = near.withColumn("__spent", spent).where((F.col("__spent") < characters) & (F.length("__cut") > 0))
     return held.select("anchor", F.col(id_).alias("id"), F.substring("__cut", F.lit(1), (F.lit(characters) - F.col("__spent")).cast("int")).alias("text"))
+
+
+def thread_records(rows: DataFrame, key: str, order: str, role: str) -> DataFrame:
+    """(key, turns, roles): a record per thread, the roles in order."""
+    made = rows.groupBy(key).agg(F.count("*").alias("turns"), F.sort_array(F.collect_list(F.struct(order, role))).alias("r"))
+    return made.select(key, "turns", F.array_join(F.transform("r", lambda x: x[role]), ",").alias("roles"))
+
+
+def put(originals: DataFrame, vault: str) -> int:
+    """Keep originals (raw) under their digest, each content once; what is there is never written again.  The number of new ones."""
+    found = originals.select(F.sha2("raw", 256).alias("sha256"), "raw").groupBy("sha256").agg(F.any_value("raw").alias("raw"))
+    known = held(found.sparkSession, vault)
+    fresh = found if known is None else found.join(known.select("sha256"), "sha256", "left_anti")
+    before = 0 if known is None else known.count()
+    fresh.withColumn("lane", F.substring("sha256", 1, 2)).write.mode("append").partitionBy("lane").parquet(vault)
+    return held(found.sparkSession, vault).count() - before
+
+
+def held(spark: SparkSession, vault: str) -> DataFrame | None:
+    """What the vault holds (sha256, raw, lane); None before the first original."""
+    try:
+        return spark.read.schema("sha256 string, raw binary, lane string").parquet(vault)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return None
+
+
+def get(wanted: DataFrame, vault: str) -> DataFrame:
+    """(sha256, raw) of the digests that are held; only their lanes are read."""
+    lanes = wanted.withColumn("lane", F.substring("sha256", 1, 2))
+    return held(wanted.sparkSession, vault).join(lanes, ["lane", "sha256"], "left_semi").select("sha256", "raw")

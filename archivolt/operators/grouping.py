@@ -85,3 +85,9 @@ def unread(messages: DataFrame, done: DataFrame, extractor: str, version: int, *
     """The messages that an extractor hasn't read in this version or a later one."""
     seen = done.where((F.col("extractor") == extractor) & (F.col("version") >= version)).select(F.col("message_id").alias(key))
     return messages.join(seen, key, "left_anti")
+
+
+def capped(rows: DataFrame, window: list, order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each window."""
+    place = Window.partitionBy(*window).orderBy(*order)
+    return rows.withColumn("__rn", F.row_number().over(place)).where(F.col("__rn") <= most).drop("__rn")

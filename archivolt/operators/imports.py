@@ -132,3 +132,8 @@ def size_batches(rows: DataFrame, key: str, most: int, size: str, most_size: int
     runs = F.sum(F.when(large, 0).otherwise(F.col(size))).over(upto.rowsBetween(Window.unboundedPreceding, 0))
     alone = F.sum(large.cast("int")).over(upto.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("batch", F.concat_ws(":", block, F.when(large, F.concat(F.lit("x"), alone)).otherwise(F.floor((runs - 1) / half))))
+
+
+def cursors(rows: DataFrame, scope: str, id_: str) -> DataFrame:
+    """(scope, last_id, n): how far each scope has been read, and how much of it."""
+    return rows.groupBy(scope).agg(F.max(id_).alias("last_id"), F.count("*").alias("n"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from archivolt.operators import graph
+
 # The thresholds of a decision.
 ONE_MIN, ONE_MARGIN, MANY_MIN = 0.70, 0.15, 0.5
 EPSILON = 1e-9
@@ -150,3 +152,20 @@ def boundary(scores: Column, side_of: dict[str, str], least: float = BOUNDARY_LE
     first, second = F.element_at(ranked, 1), F.coalesce(F.get(ranked, F.lit(1))["p"], F.lit(0.0))
     p = -first["p"]
     return F.struct(first["s"].alias("side"), p.alias("probability"), F.round(p + second, 6).alias("margin"), (p >= least - EPSILON).alias("decided"))
+
+
+def confused(answers: DataFrame, *, most: int = 6) -> DataFrame:
+    """(field, values, items): values of a field that are taken for one another, as classes.
+
+    ``answers``: field, guess, gold.  The ``most`` frequent confusions of a field
+    link its values; ties go by guess, then gold; ``items`` counts the answers of
+    those links.
+    """
+    wrong = answers.where("guess <> gold").groupBy("field", "guess", "gold").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("field").orderBy(F.desc("n"), "guess", "gold")
+    top = wrong.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
+    named = lambda c: F.concat_ws("\u0001", "field", c)
+    root = graph.connected(top.select(named("guess").alias("a"), named("gold").alias("b")))
+    linked = top.join(root, named("guess") == root["id"])
+    values = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("guess", "gold")))))
+    return linked.groupBy("field", "root").agg(values.alias("values"), F.sum("n").alias("items")).drop("root")

@@ -87,6 +87,11 @@ def with_values(messages: DataFrame, assignments: DataFrame, pairs: list[tuple[s
     return messages.join(held.select(F.col("message_id").alias("id")), "id", "left_semi")
 
 
+def important(messages: DataFrame, levels: DataFrame) -> DataFrame:
+    """The messages whose level of importance (id, level) is high or medium."""
+    return messages.join(levels.where(F.col("level").isin("high", "medium")).select("id"), "id", "left_semi")
+
+
 def with_places(messages: DataFrame, locations: DataFrame, participants: DataFrame) -> DataFrame:
     """``messages`` with arrays of present folders and labels, and of recipients."""
     places = locations.where("present").groupBy("message_id").agg(F.collect_set(F.coalesce("folder_path", "folder")).alias("folders"), F.collect_set("label").alias("labels"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from archivolt.functions import text as X
+from archivolt.operators.cases import middles
 
 # Points, thresholds and levels of importance.
 POINTS = {
@@ -108,15 +108,17 @@ def patterns(messages: DataFrame) -> DataFrame:
     ``samples`` are the first, middle and last message in time.
     """
     rows = messages.where("medium = 'email'").withColumn("skeleton", X.skeleton(F.col("subject"))).withColumn("pattern_key", X.pattern_key(F.col("from_address"), F.col("subject")))
-    key = Window.partitionBy("pattern_key")
-    placed = rows.withColumn("__rn", F.row_number().over(key.orderBy(F.asc_nulls_last("received_at"), "id"))).withColumn("__n", F.count("*").over(key))
-    picked = F.when(F.col("__rn").isin(1) | (F.col("__rn") == F.col("__n")) | (F.col("__rn") == F.floor((F.col("__n") + 1) / 2)), F.struct("__rn", "id"))
-    return placed.groupBy("pattern_key", "skeleton").agg(
+    at = F.struct(F.col("received_at").isNull().alias("late"), "received_at", "id")
+    made = rows.groupBy("pattern_key", "skeleton").agg(
         F.count("*").alias("messages"),
         F.count_distinct("thread_id").alias("threads"),
         F.sort_array(F.collect_set("account")).alias("accounts"),
-        F.transform(F.sort_array(F.collect_list(picked)), lambda s: s["id"]).alias("samples"),
+        F.min_by("id", at).alias("first"),
+        F.max_by("id", at).alias("last"),
     )
+    held = made.join(middles(rows, "pattern_key", late=True).withColumnRenamed("id", "middle"), "pattern_key")
+    samples = F.array_distinct(F.array("first", "middle", "last"))
+    return held.select("pattern_key", "skeleton", "messages", "threads", "accounts", samples.alias("samples"))
 
 
 def profiles(messages: DataFrame, participants: DataFrame) -> DataFrame:

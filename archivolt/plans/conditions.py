@@ -14,7 +14,8 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -207,6 +208,30 @@ def in_words(condition: dict) -> str:
     return said + (f", or without it {in_words(condition['else'])}" if "else" in condition else "")
 
 
+def _patterns(conditions: list) -> list[str]:
+    """The patterns of all leaves."""
+    out: list[str] = []
+    for c in conditions:
+        if isinstance(c, dict) and "any" in c:
+            out += [p for part in c["any"] for p in _patterns(part if isinstance(part, list) else [part])]
+        elif isinstance(c, dict) and c.get("op") == "matches":
+            out.append(str(c.get("value")))
+    return out
+
+
+def problem(rows: DataFrame, conditions: list, fields: Mapping[str, Field] | None = None) -> str | None:
+    """Why the conditions can't be used on ``rows``, or None: they are compiled, each pattern is tried, and the selection is run once on a single row."""
+    spark = rows.sparkSession
+    try:
+        chosen = rule_column(conditions, fields)
+        for pattern in _patterns(conditions):
+            spark.range(1).select(F.rlike(F.concat(F.lit(""), F.col("id").cast("string")), F.lit(java_regex(pattern)))).collect()
+        rows.limit(1).where(chosen).collect()
+    except (ConditionError, TypeError, PySparkException) as e:
+        return str(e).split("\n")[0]
+    return None
+
+
 def first_match(rules: list[tuple[str, Column]], otherwise: Column | None = None) -> Column:
     """The value of the first condition that holds."""
     out = None

@@ -22,16 +22,14 @@ def k2_w11_budgeted_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("select conv_id, count(*)::bigint as turns, string_agg(role, ',' order by turn) as roles from conversations group by 1")
 def c13_k3_thread_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = F.sort_array(F.collect_list(F.struct("turn", "role")))
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.count("*").alias("turns"), made.alias("r"))
-    return rows.select("conv_id", "turns", F.array_join(F.transform("r", lambda x: x["role"]), ",").alias("roles"))
+    return export.thread_records(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn", "role")
 
 
 @registry.add(
-    "with q as (select vec_id as query, embedding as e from embeddings where vec_id % 50 = 0), p as (select query, vec_id, list_cosine_similarity(q.e::double[], v.embedding::double[]) as s from q join embeddings v on v.vec_id <> q.query),"
+    "with q as (select vec_id as query, embedding as e from embeddings where vec_id % 20 = 0), p as (select query, vec_id, list_cosine_similarity(q.e::double[], v.embedding::double[]) as s from q join embeddings v on v.vec_id <> q.query),"
     " r as (select *, row_number() over (partition by query order by round(s, 9) desc, vec_id) as rank from p) select query, vec_id, rank::bigint as rank from r where rank <= 5"
 )
 def v1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated query vectors, in blocks, against all vectors."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return vectors.nearest(rows.where("vec_id % 50 = 0"), rows, k=5).withColumn("rank", F.col("rank").cast("long"))
+    return vectors.nearest(rows.where("vec_id % 20 = 0"), rows, k=5).withColumn("rank", F.col("rank").cast("long"))

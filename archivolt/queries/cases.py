@@ -92,14 +92,11 @@ def c49_check_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.check_sample(_labels(spark, sf_dir), "second", "owner", 20)
 
 
-_SAMPLE = f"{_LABELS}, s as (select item, row_number() over (order by item)::int as rank from (select distinct item from l where labeller = 'second' and field <> 'note') where item % 10 = 1)"
+_SAMPLE = f"{_LABELS}, s as (select item, row_number() over (order by item)::int as rank from (select distinct item from l where labeller = 'second' and field <> 'note'))"
 
 
 def _sample(labels: DataFrame) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    held = labels.where("labeller = 'second' and field <> 'note' and item % 10 = 1").select("item").distinct()
-    return held.withColumn("rank", F.row_number().over(Window.orderBy("item")))
+    return K.numbered(labels.where("labeller = 'second' and field <> 'note'").select("item").distinct(), "item", "rank")
 
 
 @registry.add(f"{_SAMPLE} select item, rank, coalesce(n, 0)::bigint as answered, coalesce(n, 0) = 2 as checked from s left join (select item, count(distinct field) as n from l where labeller = 'owner' and field in ('topic', 'origin') group by 1) using (item)")
@@ -135,16 +132,14 @@ def c50_run_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.add(
-    f"{_RULED}, it as (select id as item, row_number() over (order by id) as position from message where id % 10 = 1), it2 as (select item, ((position - 1) // 25 + 1)::bigint as round from it),"
-    " g as (select id as item, unnest(['topic', 'origin']) as field, unnest(['1-URGENT', 'person']) as value, case when id % 6 = 0 then 'unsure' else 'set' end as status, unnest([true, id % 157 <> 0]) as given from message where id % 10 = 1),"
+    f"{_RULED}, it as (select id as item, row_number() over (order by id) as position from message), it2 as (select item, ((position - 1) // 25 + 1)::bigint as round from it),"
+    " g as (select id as item, unnest(['topic', 'origin']) as field, unnest(['1-URGENT', 'person']) as value, case when id % 6 = 0 then 'unsure' else 'set' end as status, unnest([true, id % 157 <> 0]) as given from message),"
     " ok as (select round from it2 join (select item, count(*) filter (where given) as n from g group by 1) using (item) group by 1 having min(n) = 2)"
     " select round, g.field, count(*)::bigint as compared, count(*) filter (where g.value = rp.value)::bigint as agreed from g join it2 using (item) join rp on rp.message_id = g.item and rp.dimension = g.field where given and g.status = 'set' and round in (select round from ok) group by 1, 2"
 )
 def c50_revealed_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
     rows, given = _given(spark, sf_dir)
-    items = rows.where("id % 10 = 1").select(F.col("id").alias("item")).withColumn("position", F.row_number().over(Window.orderBy("item")))
+    items = K.numbered(rows.select(F.col("id").alias("item")), "item", "position")
     answers = F.explode(F.array(F.struct(F.lit("topic").alias("field"), F.lit("1-URGENT").alias("value")), F.struct(F.lit("origin").alias("field"), F.lit("person").alias("value")))).alias("a")
     gold = items.select("item", answers).select("item", "a.*", F.when(F.col("item") % 6 == 0, "unsure").otherwise("set").alias("status")).where("field = 'topic' or item % 157 <> 0")
     return K.revealed(gold, K.rule_predictions(rows, given, ["topic", "origin"]), items, ["topic", "origin"])

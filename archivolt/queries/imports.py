@@ -41,14 +41,14 @@ def s21_taxonomy_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.add(
-    "with l as (select o_custkey as item, o_orderstatus as topic, case when o_orderkey % 9 = 0 then '' else o_orderpriority end as origin, o_orderkey % 5 = 0 as lacks, o_orderkey % 18 = 0 as unsure, o_orderkey % 31 = 0 as more from orders where o_orderkey % 3 = 0),"
+    "with l as (select o_custkey as item, o_orderstatus as topic, case when o_orderkey % 9 = 0 then '' else o_orderpriority end as origin, o_orderkey % 5 = 0 as lacks, o_orderkey % 18 = 0 as unsure, o_orderkey % 31 = 0 as more from orders),"
     " p as (select item, null as field, 'unknown item' as problem from l where item % 11 = 0 union all select item, null, 'answered twice' from l group by 1 having count(*) > 1 union all select item, 'topic', 'missing' from l where lacks"
     " union all select item, 'colour', 'unknown field' from l where more union all select item, 'origin', 'no value' from l where origin = '' and not unsure union all select item, 'topic', 'not allowed' from l where not lacks and topic = 'P'"
     " union all select item, 'origin', 'not allowed' from l where origin like '5%') select distinct * from p"
 )
 def s22_label_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems of an import; any row refuses the whole file."""
-    rows = _orders(spark, sf_dir).where("o_orderkey % 3 = 0")
+    rows = _orders(spark, sf_dir)
     label = lambda name, value: F.create_map(F.lit(name), value)
     none = F.create_map().cast("map<string,string>")
     labels = F.map_concat(
@@ -140,17 +140,23 @@ def k1_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.union_all(counted)
 
 
-@registry.add("select o_orderkey, o_orderstatus from orders where o_orderkey % 9 = 0")
+@registry.add("select o_orderkey, o_orderstatus from orders")
 def k4_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A compressed backup and what it restores to."""
     folder = f"{shared_dir(spark)}/backup-{uuid.uuid4().hex}"
-    rows = _orders(spark, sf_dir).where("o_orderkey % 9 = 0").select("o_orderkey", "o_orderstatus")
+    rows = _orders(spark, sf_dir).select("o_orderkey", "o_orderstatus")
     export.backup({"orders": rows}, folder, "20240101")
     return spark.read.schema(rows.schema).json(f"{folder}/20240101/orders")
 
 
 @registry.add("select sha256(text) as sha256, count(*)::bigint as copies, length(text)::bigint as chars from documents where text is not null group by 1, 3")
 def k5_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Originals stored once under their digest."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select(F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("chars"))
-    return rows.groupBy("sha256").agg(F.count("*").alias("copies"), F.any_value("chars").alias("chars"))
+    """Originals put into a vault twice, and read back by their digests."""
+    vault = f"{shared_dir(spark)}/vault-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select(F.encode("text", "UTF-8").alias("raw"))
+    export.put(rows, vault)
+    if export.put(rows, vault):
+        raise RuntimeError("the vault took an original twice")
+    copies = rows.groupBy(F.sha2("raw", 256).alias("sha256")).agg(F.count("*").alias("copies"))
+    back = export.get(copies.select("sha256"), vault).where(F.sha2("raw", 256) == F.col("sha256"))
+    return copies.join(back, "sha256").select("sha256", "copies", F.length(F.decode("raw", "UTF-8")).cast("long").alias("chars"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from archivolt.operators import export, imports, merge
+from archivolt.operators import export, grouping, imports, merge
 from archivolt.registry import Registry
 from archivolt.session import shared_dir
 from archivolt.sources import calendar, chat, mail, notes
@@ -17,19 +17,20 @@ from archivolt.streaming import jobs
 registry = Registry()
 
 
-@registry.add("select o_orderkey from orders where o_orderkey <= 12000 and o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R') and o_orderkey % 50 <> 0")
+@registry.add("select o_orderkey from orders where o_orderkey <= (select max(l_orderkey) from lineitem where l_returnflag = 'R') and o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R') and o_orderkey % 50 <> 0")
 def s10_catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids up to the cursor that are neither held nor known to fail."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
     held = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     failed = orders.where("o_orderkey % 50 = 0")
-    return orders.where("o_orderkey <= 12000").join(held, "o_orderkey", "left_anti").join(failed, "o_orderkey", "left_anti")
+    cursor = held.agg(F.max("o_orderkey").alias("n")).first()["n"] or 0
+    return orders.where(F.col("o_orderkey") <= cursor).join(held, "o_orderkey", "left_anti").join(failed, "o_orderkey", "left_anti")
 
 
 @registry.add("select account, max(id)::bigint as last_id, count(*)::bigint as n from (select concat('acc', (o_orderkey % 3)::varchar) as account, o_orderkey as id from orders) group by 1")
 def s7_c56_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("acc"), (F.col("o_orderkey") % 3).cast("string")).alias("account"), F.col("o_orderkey").alias("id"))
-    return rows.groupBy("account").agg(F.max("id").alias("last_id"), F.count("*").alias("n"))
+    return imports.cursors(rows, "account", "id")
 
 
 @registry.add("select event_id, event_type from events")
@@ -148,8 +149,8 @@ def t4_dirty_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("select event_id from (select *, row_number() over (partition by user_id, date_trunc('day', ts) order by ts, event_id) as rn from events) where rn <= 3")
 def t3_capped_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three events of a user's day."""
-    order = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("rn", F.row_number().over(order)).where("rn <= 3").select("event_id")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return grouping.capped(rows, ["user_id", F.to_date("ts")], ["ts", "event_id"], 3).select("event_id")
 
 
 @registry.add("select true as within, sum(floor(o_totalprice)::bigint)::bigint as size from orders")

@@ -289,10 +289,10 @@ def g3_c45_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.add(
-    "with recursive ed as (select distinct least(l_suppkey, l_partkey % 97) as a, greatest(l_suppkey, l_partkey % 97) as b from lineitem where l_orderkey % 400 = 0), n as (select a as x from ed union select b from ed),"
-    " r(x, y) as (select x, x from n union select r.x, case when ed.a = r.y then ed.b else ed.a end from r join ed on ed.a = r.y or ed.b = r.y) select x as id, min(y) as root from r group by 1"
+    "with recursive ed as (select l_orderkey as a, l_orderkey // 8 * 8 + l_suppkey % 8 as b from lineitem), sym as (select a, b from ed union select b, a from ed), n as (select distinct a as x from sym),"
+    " r(x, y) as (select x, x from n union select r.x, sym.b from r join sym on sym.a = r.y) select x as id, min(y) as root from r group by 1"
 )
 def g5_thread_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References between messages as threads: connected components."""
-    rows = _t(spark, sf_dir, "lineitem").where("l_orderkey % 400 = 0")
-    return graph.connected(rows.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 97).alias("b")))
+    rows = _t(spark, sf_dir, "lineitem")
+    return graph.connected(rows.select(F.col("l_orderkey").alias("a"), F.expr("l_orderkey div 8 * 8 + l_suppkey % 8").alias("b")))

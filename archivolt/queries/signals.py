@@ -17,7 +17,7 @@ _M = archive.ctes("message")
 _MAP = archive.ctes("message", "assignment", "participant")
 VIPS = ["user7@dom3.example.com", "dom5.example.com"]
 
-_IMPORTANCE = f"""{_MAP}{RANKED},
+IMPORTANCE = f"""{_MAP}{RANKED},
 contact as (select lower(address) as sender, count(distinct p.message_id) as n from participant p join message o on o.id = p.message_id where o.direction = 'out' and o.received_at >= timestamp '2001-08-02' - interval 2 year group by 1),
 tout as (select thread_id, max(received_at) as last_out from message where direction = 'out' and thread_id is not null group by 1),
 rc as (select message_id, bool_or(role = 'to' and address = '{archive.OWNER}') as to_me, bool_or(role <> 'to' and address = '{archive.OWNER}') as cc_me, count(*) filter (where role = 'to') as n_to, count(*) filter (where role in ('to', 'cc')) as n_rcpt from participant group by 1),
@@ -37,7 +37,7 @@ select id, score, case when direction <> 'in' then 'low' when listed or is_autom
  signals, direction = 'in' and asks and not answered as waiting from p"""
 
 
-@registry.add(_IMPORTANCE)
+@registry.add(IMPORTANCE)
 def c4_x25_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = archive.messages(spark, sf_dir)
     effective = values.effective_message_values(rows, archive.assignments(spark, sf_dir).where("dimension = 'topic'"))
@@ -49,7 +49,7 @@ def c4_x25_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.importance(rows, archive.participants(spark, sf_dir), effective, owner=archive.OWNER, vips=VIPS, now=archive.NOW, text="text")
 
 
-@registry.add(f"{_IMPORTANCE}".replace(" select id, score, case when", " select id, score, case when").rsplit("select id, score", 1)[0] + "select count(*) filter (where direction = 'in' and asks and not answered)::bigint as waiting, count(*)::bigint as n from p")
+@registry.add(f"{IMPORTANCE}".replace(" select id, score, case when", " select id, score, case when").rsplit("select id, score", 1)[0] + "select count(*) filter (where direction = 'in' and asks and not answered)::bigint as waiting, count(*)::bigint as n from p")
 def c5_waiting_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c4_x25_importance(spark, sf_dir).agg(F.count_if("waiting").alias("waiting"), F.count("*").alias("n"))
 

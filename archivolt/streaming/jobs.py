@@ -55,6 +55,16 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], *,
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def in_order(*steps: Callable[[DataFrame], None]) -> Callable[[DataFrame], None]:
+    """One step after another on each batch; one that fails stops those behind it, and the batch is run again."""
+
+    def run(batch: DataFrame) -> None:
+        for step in steps:
+            step(batch)
+
+    return run
+
+
 def to_parquet(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
