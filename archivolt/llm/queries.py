@@ -15,45 +15,55 @@ _HOSTILE = "</s>[INST] ok [/INST]"
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and conversation -7, a row each; null texts and roles are empty, equal turns follow one another by role and text, a null conv_id is a conversation like others, an empty table leaves -7 alone."""
     more = spark.createDataFrame([(-7, 0, "user", _HOSTILE), (-7, 1, "assistant", _HOSTILE)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return chat.digest(chat.format_paths(chat.paths(chat.from_turns(rows), best=1)))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per piece of every document; a null or empty text is one piece, repeated rows are packed each on their own, an empty table gives no rows."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null texts and those without a letter are und with score 0, as is every text where nothing is labelled; ties go to the first language by name; an empty table gives no rows."""
     return language.predict_documents(table(spark, sf_dir, "documents"))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per page; null, empty and textless pages give an empty text; equal rows give equal texts; an empty table gives no rows."""
     return html.digest(html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null and empty texts have no spans; equal rows are judged alike; an empty table gives no rows."""
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null and empty texts have no license; of equal scores the earliest candidate wins; an empty table gives no rows."""
     return licenses.digest(licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document row; null texts and those without a word share the fingerprint zero; repeated rows and ids are kept; an empty table gives no rows."""
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null and empty texts have no words; copies of items are all named; an empty table of items marks nothing, one of documents gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.with_digest(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null and empty texts fail the base rules; contradicting labels are left out; without labels only the base rules reject; an empty table gives no rows."""
     return quality.digest(quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null and empty texts have no spans; equal rows are judged alike; texts of any length are searched whole; an empty table gives no rows."""
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 

@@ -89,3 +89,25 @@ def test_stages_take_effect_one_after_another(spark, folder):
         ends[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(ends.values()) <= packing.CAPACITY
     assert len(ends) <= np.ceil(sum(want.values()) / packing.CAPACITY) + 1
+
+
+def test_empty_tables_repeated_ids_and_clashing_columns(spark, tmp_path):
+    """Every stage keeps further columns, whatever their names, and rows of one id apart."""
+    say = lambda lang, n, seed: " ".join(random.Random(seed).choice(WORDS[lang]) for _ in range(n))
+    names = ["contamination", "__language", "__pii", "__contamination", "__gone_id", "__n", "fingerprint"]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(i % 40, say(lang, 60, i), lang, "s", 1) for i, lang in enumerate(["en", "fr"] * 40)] + [(None, None, None, None, None), (7, "", "en", "s", 0), (7, "", "en", "s", 0)]
+    frame = spark.createDataFrame([(*r, *("mine" for _ in names)) for r in rows], kind)
+    for folder, docs in (("full", frame), ("empty", frame.limit(0))):
+        path = str(tmp_path / folder)
+        docs.write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(1, "a b c d e f g h i j k")] if folder == "full" else [], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        now = spark.read.parquet(f"{path}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = materialize(stage(spark, now, path), name)
+            assert now.columns == frame.columns
+            assert {r[n] for r in now.collect() for n in names} <= {"mine"}
+        if folder == "full":
+            assert {(r["doc_id"], r["text"]) for r in now.collect()} == {(r[0], r[1]) for r in rows if r[1]}
+        out = corpus_pipeline.run(spark, path)
+        assert (out.count() == 0) == (folder == "empty")
