@@ -1,8 +1,9 @@
 """The corpus pipeline: five operators over ``documents``, one after another.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it
-kept.  All but the last return the columns of the documents; the last returns
-the places of their pieces in training sequences.
+kept.  All but the last return the columns of the documents, whatever further
+columns these have; the last returns the places of their pieces in training
+sequences.  Equal rows fare alike, and every stage leaves an empty table empty.
 """
 
 from __future__ import annotations
@@ -22,27 +23,27 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language model rejects go."""
+    """Documents that the language model rejects go, those of null texts and without a letter among them."""
     return language.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays."""
+    """Of each group of near copies the document of the smallest id stays; rows with a null id stay."""
     return simhash.keep_one(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; documents that are little else go."""
+    """Benchmark passages are cut out; documents that are little else go; null and empty texts stay as they are."""
     return _recounted(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by the name of its kind."""
+    """Personal data is replaced by the name of its kind; null and empty texts stay as they are."""
     return _recounted(pii.redact(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document with its training sequence and offset."""
+    """A row per piece of a document with its training sequence and offset; a null or empty text is one piece."""
     return packing.pack_documents(docs)
 
 
