@@ -95,7 +95,7 @@ def put(originals: DataFrame, vault: str) -> int:
     known = held(found.sparkSession, vault)
     fresh = found if known is None else found.join(known.select("sha256"), "sha256", "left_anti")
     before = 0 if known is None else known.count()
-    fresh.withColumn("lane", F.substring("sha256", 1, 2)).write.mode("append").partitionBy("lane").parquet(vault)
+    fresh.repartitionByRange("sha256").withColumn("lane", F.substring("sha256", 1, 2)).write.mode("append").partitionBy("lane").parquet(vault)
     return held(found.sparkSession, vault).count() - before
 
 
