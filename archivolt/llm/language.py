@@ -153,7 +153,8 @@ def sample(docs: DataFrame, *, text: str, lang: str, per_language: int = PER_LAN
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("lang is not null and text is not null")
     hashed = F.xxhash64("text", F.lit(11))
     texts = materialize(rows.select("lang", hashed.alias("h")).distinct(), "texts")
-    sizes = texts.groupBy("lang").agg(F.count("*").alias("n"))
+    # written, so that its known size lets the draw come before the shuffle by language
+    sizes = materialize(texts.groupBy("lang").agg(F.count("*").alias("n")), "sizes")
     share = F.lit(2.0 * per_language) + F.lit(20.0)  # of few texts all are drawn, however the hashes fall
     drawn = texts.join(sizes, "lang").where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share / F.col("n"))
     place = W.Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
