@@ -123,6 +123,37 @@ def mine_phrases(samples: DataFrame, *, n: int = 3, least: int = 5, most_share:
     return kept.withColumn("top_share", F.col("__top") / F.col("support")).where(F.col("top_share") <= most_share).drop("__plain", "__top")
 
 
+def held_back(id_: Column, share: float = 0.3) -> Column:
+    """Whether a row is kept for measuring: so large a share, by a digest of its id."""
+    return F.conv(F.substring(F.sha2(id_.cast("string"), 256), 1, 8), 16, 10).cast("long") < F.lit(int(share * 2**32))
+
+
+def rule_candidates(samples: DataFrame, *, n: int = 3, least: int = 5, most_share: float = 0.8, most: int = 20) -> DataFrame:
+    """(place, gram, support, gain, held_attacks, held_ordinary): phrases chosen one by one by the target samples that they newly cover.
+
+    Phrases are mined in the samples that aren't held back.  A round takes the
+    phrase of the largest gain (ties: the shorter, then by letters) and leaves out
+    the samples it covers; it ends at ``most`` phrases or below ``least`` new ones.
+    The chosen phrases are then counted in the held-back samples.
+    """
+    held = held_back(F.col("id"))
+    pool = written(mine_phrases(samples.where(~held), n=n, least=least, most_share=most_share).select("gram", "support"), "pool")
+    words = samples.select("id", "target", X.tokens(F.col("text")).alias("w")).where(F.size("w") >= n)
+    grams = words.select("id", "target", held.alias("held"), F.explode(X.shingles(F.col("w"), n)).alias("gram"))
+    left = written(grams.where("target and not held").select("id", "gram").join(pool.select("gram"), "gram", "left_semi"), "covers")
+    chosen = []
+    while len(chosen) < most:
+        best = left.groupBy("gram").agg(F.count("*").alias("gain")).orderBy(F.desc("gain"), F.length("gram"), "gram").first()
+        if best is None or best["gain"] < least:
+            break
+        chosen.append((len(chosen) + 1, best["gram"], best["gain"]))
+        left = written(left.join(left.where(F.col("gram") == best["gram"]).select("id"), "id", "left_anti"), "covers")
+    named = samples.sparkSession.createDataFrame(chosen, "place int, gram string, gain long")
+    seen = grams.where("held").join(named.select("gram"), "gram", "left_semi").groupBy("gram").agg(F.count_if("target").alias("attacks"), F.count_if(~F.col("target")).alias("ordinary"))
+    told = named.join(pool, "gram").join(seen, "gram", "left")
+    return told.select("place", "gram", "support", "gain", F.coalesce("attacks", F.lit(0)).alias("held_attacks"), F.coalesce("ordinary", F.lit(0)).alias("held_ordinary"))
+
+
 def screening_report(results: DataFrame, by: list[str]) -> DataFrame:
     """(by, attacks, caught, ordinary, alarms) of results (attack, flagged)."""
     return results.groupBy(*by).agg(

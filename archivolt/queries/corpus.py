@@ -36,6 +36,13 @@ def c43_mined_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.mine_phrases(rows.select("id", "source", (F.col("toxic") == 1).alias("target"), "text"), least=2)
 
 
+@registry.add()
+def c43_rule_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases by greedy cover, with their hits on held-back samples; rounds are beyond SQL, so a test compares with a plain version."""
+    rows = _docs(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", "id"), "id")
+    return K.rule_candidates(rows.select("id", "source", (F.col("toxic") == 1).alias("target"), "text"), least=2)
+
+
 @registry.add("select source, lang, count(*) filter (where toxic = 1)::bigint as attacks, count(*) filter (where toxic = 1 and quality = 0)::bigint as caught, count(*) filter (where toxic = 0)::bigint as ordinary, count(*) filter (where toxic = 0 and quality = 0)::bigint as alarms from documents join labels using (doc_id) group by 1, 2")
 def c44_screening_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", "id"), "id")

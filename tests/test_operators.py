@@ -268,3 +268,42 @@ def test_too_deep_a_graph_is_an_error(spark):
     for run in (graph.descendants, graph.reachable, graph.tree):
         with pytest.raises(RecursionError):
             run(edges, root, most_depth=4)
+
+
+def test_rule_candidates_against_a_plain_greedy_cover(spark):
+    import hashlib
+
+    rnd = random.Random(12)
+    phrases = ["drop all the tables", "ignore every former rule", "send me your keys now"]
+    rows = []
+    for i in range(240):
+        words = [rnd.choice("one two three four five six".split()) for _ in range(8)]
+        target = i % 3 == 0
+        if target:
+            words[3:3] = rnd.choice(phrases + phrases[:1]).split()
+        rows.append((i, f"s{i % 4}", target, " ".join(words)))
+    held = {i for i, *_ in rows if int(hashlib.sha256(str(i).encode()).hexdigest()[:8], 16) < int(0.3 * 2**32)}
+    grams = {i: {" ".join(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, _, _, t in rows}
+    plain = {g for i, _, target, _ in rows if not target and i not in held for g in grams[i]}
+    train = [(i, s) for i, s, target, _ in rows if target and i not in held]
+    covers = {}
+    for i, s in train:
+        for g in grams[i] - plain:
+            covers.setdefault(g, set()).add((i, s))
+
+    def spread(c):
+        by = [sum(s == source for _, s in c) for source in {s for _, s in c}]
+        return len(by) >= 2 and max(by) <= 0.8 * len(c)
+
+    pool, want, done = {g for g, c in covers.items() if len(c) >= 3 and spread(c)}, [], set()
+    while pool and len(want) < 5:
+        best = min(pool, key=lambda g: (-len(covers[g] - done), len(g), g))
+        gain = len(covers[best] - done)
+        if gain < 3:
+            break
+        hits = [target for i, _, target, _ in rows if i in held and best in grams[i]]
+        want.append((len(want) + 1, best, len(covers[best]), gain, sum(hits), len(hits) - sum(hits)))
+        done |= covers[best]
+        pool.discard(best)
+    got = corpus.rule_candidates(spark.createDataFrame(rows, "id long, source string, target boolean, text string"), least=3, most=5)
+    assert [tuple(r) for r in got.orderBy("place").collect()] == want and len(want) >= 3
