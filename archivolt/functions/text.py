@@ -45,7 +45,8 @@ ZERO_COUNTS = r"\b(fail(ed|ures?)?|errors?|warn(ings?)?|fel|varningar)\s*[:=]\s*
 
 def skeleton(subject: Column) -> Column:
     """Up to three words of a subject: prefixes gone, tokens with a digit are ``#``, a run of them one ``#``."""
-    prefix = rf"^(?:\s*(?:{'|'.join(REPLY_PREFIXES)})\s*(?:\[[0-9]+\]|\([0-9]+\))?\s*:)+"
+    # possessive, as all repeated groups here: others take a stack frame a round, and a subject may repeat a prefix without end
+    prefix = rf"^(?:\s*+(?:{'|'.join(REPLY_PREFIXES)})\s*+(?:\[[0-9]+\]|\([0-9]+\))?\s*+:)++"
     bare = F.regexp_replace(F.lower(F.coalesce(subject, F.lit(""))), prefix, "")
     shaped = lambda w: F.when(F.rlike(w, F.lit("[0-9]")), "#").otherwise(F.regexp_replace(w, r"[^\p{L}\p{N}#]+", ""))
     words = F.filter(F.transform(F.split(bare, r"\s+"), shaped), lambda w: w != "")
@@ -65,24 +66,24 @@ def skeleton_regex(key: str) -> str:
     """
     mark = r"[^\p{L}\p{N}#\s]"
     prefix = rf"(?:\s*(?:{'|'.join(REPLY_PREFIXES)})\s*(?:\[[0-9]+\]|\([0-9]+\))?\s*:)*+"
-    between = rf"\s+(?:{mark}+\s+)*"
+    between = rf"\s+(?:{mark}+\s+)*+"
     number = rf"(?:\S*[0-9]\S*|{mark}*#{mark}*)"
     words = [w for w in key.split(" ") if w]
     if not words:
-        return rf"(?iu)^{prefix}(?:{mark}|\s)*$"
+        return rf"(?iu)^{prefix}[^\p{{L}}\p{{N}}#]*$"
 
     def part(word: str) -> str:
         if word == "#":
             return f"{number}(?:{between}{number})*+"
         return f"{mark}*" + "".join(f"{re.escape(c)}{mark}*" for c in word)
 
-    end = r"(?=\s|$)" if len(words) >= 3 else rf"(?:\s+{mark}+)*\s*$"
-    return rf"(?iu)^{prefix}\s*(?:{mark}+\s+)*{between.join(map(part, words))}{end}"
+    end = r"(?=\s|$)" if len(words) >= 3 else rf"(?:\s+{mark}+)*+\s*$"
+    return rf"(?iu)^{prefix}\s*(?:{mark}+\s+)*+{between.join(map(part, words))}{end}"
 
 
 def system_key(subject: Column) -> Column:
     """Which system a shared sender's subject comes from: a leading tag, a trailing status word, or the first word."""
-    text = F.trim(F.regexp_replace(F.coalesce(subject, F.lit("")), rf"(?i)^\s*((?:{'|'.join(SYSTEM_PREFIXES)})\s*:\s*)+", ""))
+    text = F.trim(F.regexp_replace(F.coalesce(subject, F.lit("")), rf"(?i)^\s*+(?:(?:{'|'.join(SYSTEM_PREFIXES)})\s*+:\s*+)++", ""))
     tag = F.regexp_extract(text, r"^(\[[^\]]*\])", 1)
     glued = F.regexp_extract(text, r"^\[[^\]]*\](\w+)", 1)
     status = rf"(?i)(?:^|\s)({'|'.join(TRAILING_STATUS)})(!*)\s*$"

@@ -64,6 +64,18 @@ def s11_s14_mime_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("sha256", "message_id", "subject", "from_name", "from_address", people.alias("recipients"), F.size("refs").alias("refs"), "body")
 
 
+@registry.add("select concat('<', o_orderkey, '@x>') as message_id, concat(o_orderstatus, chr(10)) as body, o_orderkey % 5 = 0 as retried from orders")
+def s15_retried_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Originals whose fetch failed at first: quarantined, and parsed once their content is there."""
+    text = F.concat(F.lit("Message-ID: <"), "o_orderkey", F.lit("@x>\n\n"), "o_orderstatus", F.lit("\n"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.sha2(text, 256).alias("sha256"), F.lit("m").alias("path"), F.encode(text, "UTF-8").alias("raw"))
+    rows = rows.repartition(spark.sparkContext.defaultParallelism, "sha256")
+    first = rows.withColumn("raw", F.when(F.col("o_orderkey") % 5 > 0, F.col("raw")))
+    good, bad = mail.split_quarantine(mail.parsed(first.drop("o_orderkey")))
+    again = mail.retried(bad, rows.drop("o_orderkey"))
+    return good.select("message_id", "body", F.lit(False).alias("retried")).unionByName(again.select("message_id", "body", F.lit(True).alias("retried")))
+
+
 @registry.add(
     "with v as (select user_id::varchar as key, row_number() over (partition by user_id order by ts, event_id) as n, count(*) over (partition by user_id) as total, event_id, event_type from events)"
     " select key, max(total)::bigint as versions, arg_max(event_type, n) filter (where n % 4 > 0) as text, bool_or(n % 4 = 0) filter (where n = total) as deleted from v group by 1"
@@ -87,13 +99,17 @@ def s5_s12_chat_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add(
     "select o_orderkey::varchar as uid, concat('Order, ', o_orderpriority) as summary, strftime(o_orderdate, '%Y-%m-%d') as day, o_orderkey % 2 = 0 as all_day, case when o_orderstatus = 'P' then 'cancelled' when o_orderkey % 3 = 0 then 'free' else 'busy' end as show_as from orders"
+    " union all select concat('n', o_orderkey), 'new', strftime(o_orderdate + interval 1 day, '%Y-%m-%d'), false, 'busy' from orders"
 )
 def s6_calendar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calendar texts of one event each."""
+    """Calendar texts of two events each, one of them in two versions."""
     day = F.date_format("o_orderdate", "yyyyMMdd")
     start = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("DTSTART;VALUE=DATE:"), day)).otherwise(F.concat(F.lit("DTSTART:"), day, F.lit("T101500Z")))
     flags = F.concat(F.when(F.col("o_orderstatus") == "P", "STATUS:CANCELLED\r\n").otherwise(""), F.when(F.col("o_orderkey") % 3 == 0, "TRANSP:TRANSPARENT\r\n").otherwise(""))
     text = F.concat(F.lit("BEGIN:VEVENT\r\nUID:"), "o_orderkey", F.lit("\r\nSUMMARY:Order\\, \r\n "), "o_orderpriority", F.lit("\r\n"), start, F.lit("\r\n"), flags, F.lit("END:VEVENT\r\n"))
+    at = F.concat(F.lit("DTSTART;TZID=Europe/Stockholm:"), F.date_format(F.date_add("o_orderdate", 1), "yyyyMMdd"), F.lit("T120000\r\n"))
+    other = [F.concat(F.lit("BEGIN:VEVENT\r\nUID:n"), F.col("o_orderkey"), F.lit(f"\r\nSUMMARY:{said}\r\nSEQUENCE:{version}\r\n"), at, F.lit("END:VEVENT\r\n")) for said, version in (("new", 2), ("old", 1))]
+    text = F.concat(F.lit("BEGIN:VCALENDAR\r\n"), text, *other, F.lit("END:VCALENDAR\r\n"))
     made = calendar.entries(spark.read.parquet(f"{sf_dir}/orders.parquet").select(text.alias("text")))
     return made.select("uid", "summary", F.date_format("starts_at", "yyyy-MM-dd").alias("day"), "all_day", "show_as")
 

@@ -73,12 +73,12 @@ def parse(raw: bytes) -> dict:
 
 
 def parsed(raws: DataFrame) -> DataFrame:
-    """``scan``'s rows parsed; rows with ``error`` belong in quarantine."""
+    """``scan``'s rows parsed; rows with ``error`` belong in quarantine, those without content among them."""
     names = [c.split()[0] for c in "sha256 path message_id in_reply_to refs subject from_name from_address recipients sent_at body html attachments error".split()]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [{"sha256": s, "path": p, **parse(bytes(r))} for s, p, r in zip(batch["sha256"], batch["path"], batch["raw"], strict=True)]
+            rows = [{"sha256": s, "path": p, **(parse(bytes(r)) if r is not None else {"error": "no content"})} for s, p, r in zip(batch["sha256"], batch["path"], batch["raw"], strict=True)]
             frame = pd.DataFrame(rows, columns=names)
             frame["sent_at"] = pd.to_datetime(frame["sent_at"], utc=True)
             yield frame.astype({n: object for n in names if n != "sent_at"}).where(lambda f: f.notna(), None) if len(frame) else frame

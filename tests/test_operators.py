@@ -307,3 +307,11 @@ def test_rule_candidates_against_a_plain_greedy_cover(spark):
         pool.discard(best)
     got = corpus.rule_candidates(spark.createDataFrame(rows, "id long, source string, target boolean, text string"), least=3, most=5)
     assert [tuple(r) for r in got.orderBy("place").collect()] == want and len(want) >= 3
+
+
+def test_subjects_that_repeat_a_prefix_without_end(spark):
+    long = ["Re: " * 50_000 + "Invoice 7", "SV:" * 50_000, "- " * 50_000 + "x", "!" * 200_000]
+    rows = spark.createDataFrame(list(enumerate(long)), "id int, s string")
+    got = rows.select("id", X.skeleton(F.col("s")).alias("k"), X.system_key(F.col("s")).alias("y"), *[F.rlike("s", F.lit(X.skeleton_regex(k))).alias(f"m{i}") for i, k in enumerate(("invoice #", "", "x"))]).orderBy("id").collect()
+    assert [r["k"] for r in got] == ["invoice #", "", "x", ""]
+    assert [(r["m0"], r["m1"], r["m2"]) for r in got] == [(True, False, False), (False, True, False), (False, False, True), (False, True, False)]
