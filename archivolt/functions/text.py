@@ -178,19 +178,25 @@ LOOK_ALIKE = "аеорсухіјѕԁԛԝАВЕКМНОРСТХІЈЅοаνρτχ
 LATIN = "aeopcyxijsdqwABEKMHOPCTXIJSoavptxkiABEZHIKMNOPTYX"
 
 
-def compatible(text: Column) -> Column:
-    """The compatibility form (NFKC); ASCII texts pass as they are."""
+_UNSEEN, _LOOKS = re.compile(HIDDEN), str.maketrans(LOOK_ALIKE, LATIN)
 
-    def composed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
-    return F.pandas_udf(composed, "string").asNondeterministic()(text)
+def _normal(text: str) -> str:
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", _UNSEEN.sub("", text)).translate(_LOOKS)
+    return " ".join(text.lower().split())
 
 
 def normalized(text: Column) -> Column:
-    """Hidden characters gone, compatibility forms, look-alikes Latin, lower case, white space runs one blank, trimmed."""
-    shown = F.regexp_replace(F.coalesce(text, F.lit("")), HIDDEN, "")
-    return F.trim(F.regexp_replace(F.lower(F.translate(compatible(shown), LOOK_ALIKE, LATIN)), r"(?U)\s+", " "))
+    """Hidden characters gone, compatibility forms (NFKC), look-alikes Latin, lower case, white space runs one blank, trimmed; null is empty.
+
+    Spark has no function for compatibility forms, so this runs in Arrow batches.
+    """
+
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.map(_normal)
+
+    return F.pandas_udf(normal, "string").asNondeterministic()(F.coalesce(text, F.lit("")))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
