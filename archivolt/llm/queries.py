@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from archivolt.llm import chat, decontaminate, html, language, licenses, packing, pii, quality, secrets, simhash
+from archivolt.llm import chat, decontaminate, divergence, html, language, licenses, packing, pieces, pii, quality, repair, secrets, simhash
 from archivolt.llm.common import table
 
 
@@ -67,6 +68,23 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per original conv_id, damaged first; null roles and texts are one space, a null conv_id is a conversation like others, repeated rows are duplicates; conversations left without rows have zeros; an empty table gives no rows."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.digest(rows, *repair.repair(repair.damage(rows)))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; a null text is an empty one, which has the end id alone; equal rows have equal ids; an empty table gives no rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return pieces.digest(pieces.decode(pieces.encode(docs)))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of both parts for every (lang, source) group; nulls are empty strings, repeated rows are documents of their own, ties rank by item; an empty table gives no rows."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_chat_formatting,
@@ -79,10 +97,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_benchmark_decontamination,
         op9_quality_rules,
         op10_personal_data,
+        op11_conversation_repair,
+        op12_sentencepiece,
+        op13_source_divergence,
     ]
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express on whole tables."""
-    return {"op6_license_scans": licenses.oracle_sql()}
+    return {"op6_license_scans": licenses.oracle_sql(), "op13_source_divergence": divergence.oracle_sql()}
