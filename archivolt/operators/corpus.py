@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from archivolt.functions import text as X
 from archivolt.operators.graph import connected, written
 
 # Words of a shingle, and the Jaccard similarity of near copies as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
-#: Texts that frequent shingles are counted in, and how many of those are told apart; neither changes a result.
-SAMPLED, FREQUENT = 10_000, 100_000
+#: Texts that frequent shingles are counted in, how many of those are told apart, unjoined texts that make a shingle
+#: crowded, bits of a set's parities, remembered words; none of them changes a result.
+SAMPLED, FREQUENT, CROWDED, PARITIES, REMEMBERED = 10_000, 100_000, 64, 512, 400_000
 
 
 def exact_copies(samples: DataFrame) -> DataFrame:
@@ -24,11 +28,35 @@ def exact_copies(samples: DataFrame) -> DataFrame:
     return keyed.join(first, "__key").withColumn("dup_of", F.when(F.col("__first") < F.col("id"), F.col("__first"))).drop("__key", "__first")
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """The bits of 64-bit numbers mixed, one to one."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return h ^ (h >> np.uint64(33))
+
+
+class _Words(dict):
+    """A 64-bit hash by word, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_WORDS = _Words()
+
+
 def _shingles(text: str) -> np.ndarray:
-    """The 64-bit hashes of a normalised text's word shingles, each once, in order."""
+    """The 64-bit hashes of a normalised text's word shingles, each once, in order; fewer words are one shingle."""
     words = text.split(" ")
-    grams = {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), np.uint64, len(grams)).view(np.int64))
+    hashed = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    size = min(SHINGLE, len(words))
+    made = np.full(len(words) - size + 1, size, np.uint64)
+    for i in range(size):
+        made = made * np.uint64(0x9E3779B97F4A7C15) + hashed[i : i + len(made)]
+    return np.unique(_mixed(made).view(np.int64))
 
 
 def shingle_hashes(norm: Column) -> Column:
@@ -40,73 +68,144 @@ def shingle_hashes(norm: Column) -> Column:
     return F.pandas_udf(hashed, "array<long>").asNondeterministic()(norm)
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """(h, id, n): of each set of n hashes those of which two sets within the threshold share one.
+def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about SAMPLED texts share, and in how many: at most FREQUENT, ordered by hash."""
+    share = min(1.0, SAMPLED / max(1, texts.count()))
+    drawn = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    counts = drawn.select(F.explode(shingle_hashes(X.normalized(F.col("text")))).alias("h")).groupBy("h").count().where("count > 2")
+    found = counts.orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas().sort_values("h")
+    return found["h"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
+
+
+def _in_order(h: np.ndarray, keys: np.ndarray, counts: np.ndarray, late: np.ndarray | None = None) -> np.ndarray:
+    """Hashes by how frequent they are, the ``late`` ones behind all others: one order of all hashes."""
+    weight = np.zeros(len(h), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        weight = np.where(keys[at] == h, counts[at], 0)
+    return h[np.lexsort((h, weight, np.isin(h, late)) if late is not None else (h, weight))]
 
-    In one order of all hashes, sets that share SIMILAR of the larger meet in
-    the first n - ceil(SIMILAR n) + 1.  That holds in any order; frequent ones,
-    told by a sample of sets, come last, so that a common passage brings few together.
-    """
-    share = min(1.0, SAMPLED / max(1, sets.count()))
-    drawn = sets.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select(F.explode("sh").alias("h"))
-    frequent = drawn.groupBy("h").count().where("count > 3").orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas().sort_values("h")
-    # at most FREQUENT pairs of 64-bit numbers
-    shared = sets.sparkSession.sparkContext.broadcast((frequent["h"].to_numpy(np.int64), frequent["count"].to_numpy(np.int64)))
 
-    def first(found: pd.Series) -> pd.Series:
-        keys, counts = shared.value
+def _prefix(n: int) -> int:
+    """Of two sets that share SIMILAR of their union, these first ones of either, in one order, have a hash in common."""
+    return n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1
 
-        def of(h: np.ndarray) -> np.ndarray:
-            h = np.asarray(h, np.int64)
-            weight = np.zeros(len(h), np.int64)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                weight = np.where(keys[at] == h, counts[at], 0)
-            n = len(h)
-            return h[np.lexsort((h, weight))[: n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1]]
 
-        return pd.Series([of(h) for h in found], index=found.index, dtype=object)
+def _parities(h: np.ndarray) -> bytes:
+    """A bit for each of PARITIES residues: whether an odd number of hashes falls there.  Two sets differ in no fewer hashes than bits."""
+    return np.packbits(np.bincount((_mixed(h.view(np.uint64)) % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1).tobytes()
 
-    kept = F.pandas_udf(first, "array<long>").asNondeterministic()(F.col("sh"))
-    return sets.select("id", F.size("sh").alias("n"), kept.alias("p")).select(F.explode("p").alias("h"), "id", "n")
 
+def _outline(shared) -> Column:
+    """Of a normalised text: its digest, the size of its set, the set's prefix, and its parities."""
 
-def _fits(n: str, m: str) -> Column:
-    """Whether sets of these sizes can be similar."""
-    return (F.least(n, m) * SIMILAR[1]) >= (F.greatest(n, m) * SIMILAR[0])
+    def outlined(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            h = _shingles(t)
+            rows.append((hashlib.sha256(t.encode()).digest(), len(h), _in_order(h, *shared.value)[: _prefix(len(h))], _parities(h)))
+        return pd.DataFrame(rows, columns=["key", "n", "p", "bits"])
 
+    return F.pandas_udf(outlined, "struct<key:binary,n:int,p:array<long>,bits:binary>").asNondeterministic()
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those whose whole sets reach the threshold."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sh").alias("y")), "b")
-    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("s"))
-    return common.where(F.col("c") * SIMILAR[1] >= (F.col("s") - F.col("c")) * SIMILAR[0]).select("a", "b")
+
+def _differ(x: Column, y: Column) -> Column:
+    """Bits in which two hexadecimal-coded rows of parities differ."""
+    word = lambda c, i: F.conv(F.substring(c, 16 * i + 1, 16), 16, -10).cast("long")
+    return sum((F.bit_count(word(x, i).bitwiseXOR(word(y, i))) for i in range(PARITIES // 64)), F.lit(0))
+
+
+def _may(n: str, m: str, i: str, j: str) -> Column:
+    """Whether sets of n and m hashes that meet in places i and j of theirs can be similar: by their sizes, and by what can be common before and behind."""
+    n, m, i, j = map(F.col, (n, m, i, j))
+    most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
+    return (F.least(n, m) * SIMILAR[1] >= F.greatest(n, m) * SIMILAR[0]) & (most * (SIMILAR[0] + SIMILAR[1]) >= (n + m) * SIMILAR[0])
+
+
+def _similar(pairs: DataFrame, outlines: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those whose whole sets reach the threshold; parities sort most out before texts are read."""
+    side = lambda name: outlines.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.hex("bits").alias(f"{name}_bits"))
+    known = pairs.join(side("a"), "a").join(side("b"), "b")
+    # apart <= (1 - s) / (1 + s) of both sizes together
+    near = (_differ(F.col("a_bits"), F.col("b_bits")) * (SIMILAR[0] + SIMILAR[1])) <= (F.col("a_n") + F.col("b_n")) * (SIMILAR[1] - SIMILAR[0])
+    left = written(known.where(near).select("a", "b"), "candidates")
+    text = lambda name, c: texts.select(F.col("id").alias(name), F.col("text").alias(c))
+    both = left.join(text("a", "x"), "a").join(text("b", "y"), "b")
+
+    def reach(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(s: str, t: str) -> bool:
+            s, t = _shingles(s), _shingles(t)
+            common = len(np.intersect1d(s, t, assume_unique=True))
+            return common * SIMILAR[1] >= (len(s) + len(t) - common) * SIMILAR[0]
+
+        return pd.Series([one(s, t) for s, t in zip(x, y)], index=x.index, dtype=bool)
+
+    return both.where(F.pandas_udf(reach, "boolean").asNondeterministic()(X.normalized(F.col("x")), X.normalized(F.col("y")))).select("a", "b")
 
 
 def near_copies(samples: DataFrame) -> DataFrame:
     """(id, dup_of): texts that links of Jaccard SIMILAR or more over word shingles join to an earlier one; the earliest such one.
 
-    Equal normalised texts are one class.  Candidates are exact (``_prefixes``):
-    first every class with the earliest that shares a hash of it, which joins
-    most copies by a row each; then all other pairs whose ends aren't joined yet.
+    Equal normalised texts are one class; null and empty texts are equal; an id is
+    unique.  Candidates share a hash of their prefixes, with sizes and places that
+    allow the threshold, so none is lost.  First every class meets the earliest that
+    shares a hash of it, which joins most copies by a row each; then all others
+    meet whose ends aren't joined yet.  A passage of many texts would
+    bring all of these together: hashes that more than CROWDED unjoined classes
+    share go to the end of the order, and only the texts they stand in get new
+    prefixes, until no such hash is left.
     """
-    keyed = samples.select("id", X.normalized(F.col("text")).alias("norm")).withColumn("key", F.sha2("norm", 256))
-    member = written(keyed.select("id", "key"), "members")
-    classes = keyed.groupBy("key").agg(F.min("id").alias("id"), F.any_value("norm").alias("norm"))
-    sets = written(classes.select("id", shingle_hashes(F.col("norm")).alias("sh")), "sets")  # read by every step
-    prefixes = written(_prefixes(sets), "prefixes")
-    heads = prefixes.groupBy("h").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("k")).where("k > 1").select("h", "head.*").toDF("h", "a", "m")
-    first = prefixes.join(heads, "h").where((F.col("a") < F.col("id")) & _fits("n", "m")).select("a", F.col("id").alias("b")).distinct()
-    links = written(_similar(first, sets), "links")
+    texts = samples.select("id", "text")
+    keys, counts = _frequent(texts)
+    shared = samples.sparkSession.sparkContext.broadcast((keys, counts))  # at most FREQUENT pairs of 64-bit numbers
+    outline = texts.select("id", _outline(shared)(X.normalized(F.col("text"))).alias("o")).select("id", "o.*")
+    whole = written(outline, "outlines")
+    classes = whole.groupBy("key").agg(F.min("id").alias("id"))
+    outlines = whole.join(classes.select("id"), "id", "left_semi")
+    every = outlines.select(F.posexplode("p").alias("i", "h"), "id", "n")
+    met = every.withColumn("k", F.count("*").over(W.Window.partitionBy("h"))).where("k > 1").drop("k")
+    prefixes = written(met, "prefixes")
+
+    heads = prefixes.groupBy("h").agg(F.min(F.struct("id", "n", "i")).alias("head")).select("h", "head.*").toDF("h", "a", "m", "j")
+    first = prefixes.join(heads, "h").where((F.col("a") < F.col("id")) & _may("n", "m", "i", "j")).select("a", F.col("id").alias("b")).distinct()
+    links = written(_similar(first, outlines, texts), "links")
     root = connected(links)
-    rooted = prefixes.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("h")
-    rest = written(rooted.join(mixed, "h"), "rest")
-    other = rest.select("h", F.col("id").alias("a"), F.col("n").alias("m"), F.col("root").alias("top"))
-    pairs = rest.join(other, "h").where((F.col("a") < F.col("id")) & (F.col("root") != F.col("top")) & _fits("n", "m")).select("a", F.col("id").alias("b")).distinct()
-    root = connected(links.unionByName(_similar(pairs, sets)))
-    named = member.groupBy("key").agg(F.min("id").alias("class")).join(root.withColumnRenamed("id", "class"), "class", "left").select("key", F.coalesce("root", "class").alias("dup_of"))
-    return member.join(named, "key").where("dup_of < id").select("id", "dup_of")
+
+    late = None
+    while True:
+        rooted = prefixes.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        meeting = rooted.groupBy("h", "root").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("roots")).where("roots > 1")
+        crowded = meeting.where(F.col("roots") > CROWDED).select("h")
+        if late is not None:
+            crowded = crowded.join(late, "h", "left_anti")
+        crowded = written(crowded, "crowded")
+        if crowded.isEmpty():
+            break
+        late = crowded if late is None else written(late.unionByName(crowded), "late")
+        touched = written(prefixes.join(crowded, "h", "left_semi").select("id").distinct(), "touched")
+        again = written(_later(texts.join(touched, "id", "left_semi"), late, shared), "again")
+        others = every.join(touched, "id", "left_anti").join(again.select("h").distinct(), "h", "left_semi")
+        rest = prefixes.join(touched, "id", "left_anti").unionByName(others).distinct()
+        prefixes = written(rest.unionByName(again), "prefixes")
+    mine = written(rooted.join(meeting.select("h"), "h"), "meeting")
+    other = mine.select("h", F.col("id").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("top"))
+    pairs = mine.join(other, "h").where((F.col("a") < F.col("id")) & (F.col("root") != F.col("top")) & _may("n", "m", "i", "j")).select("a", F.col("id").alias("b")).distinct()
+    root = connected(links.unionByName(_similar(pairs, outlines, texts)))
+    named = classes.join(root, "id", "left").select("key", F.coalesce("root", "id").alias("dup_of"))
+    return whole.select("id", "key").join(named, "key").where("dup_of < id").select("id", "dup_of")
+
+
+def _later(texts: DataFrame, late: DataFrame, shared) -> DataFrame:
+    """(i, h, id, n): prefixes of texts in the order that puts the ``late`` hashes last."""
+    sets = texts.select("id", shingle_hashes(X.normalized(F.col("text"))).alias("sh"))
+    among = sets.select("id", F.explode("sh").alias("h")).join(late, "h", "left_semi").groupBy("id").agg(F.collect_list("h").alias("late"))
+
+    def first(found: pd.Series, behind: pd.Series) -> pd.Series:
+        out = [_in_order(h, *shared.value, b)[: _prefix(len(h))] for h, b in zip((np.asarray(x, np.int64) for x in found), (np.asarray(x if x is not None else [], np.int64) for x in behind))]
+        return pd.Series(out, index=found.index, dtype=object)
+
+    known = sets.join(among, "id", "left").select("id", F.size("sh").alias("n"), F.pandas_udf(first, "array<long>").asNondeterministic()("sh", "late").alias("p"))
+    return known.select(F.posexplode("p").alias("i", "h"), "id", "n")
 
 
 def mine_phrases(samples: DataFrame, *, n: int = 3, least: int = 5, most_share: float = 0.8) -> DataFrame:
