@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,8 +16,8 @@ from archivolt.operators import values as V
 PERSON = ("person", "person_via_system", "list")
 #: Fixed value: templates of fewer messages are asked one by one.
 TEMPLATE = 3
-#: Parts of a group that are drawn from apart, and ids of a range that are numbered in a task.
-PARTS, SPAN = 64, 100_000
+#: Ids of a range that are numbered in a task.
+SPAN = 100_000
 
 
 def with_origin(messages: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -98,53 +99,103 @@ def coverage(messages: DataFrame, assignments: DataFrame) -> DataFrame:
 # --- answer keys ---------------------------------------------------------------------
 
 
-def quotas(sizes: dict[str, int], shares: dict[str, dict[str, float]], n: int) -> dict[str, int]:
-    """Items per group: n by the shares of strata and groups; what a group lacks goes to its stratum, then anywhere."""
+def dealt(shares: dict[str, dict[str, float]], n: int, take: Callable[[str], bool]) -> dict[str, int]:
+    """Items per group when ``take(group)`` draws one or tells that none is left.
+
+    Each group draws its part of n in the order of ``shares``; what it lacks is
+    drawn by turns from the others of its stratum, then from any.
+    """
     strata = sampling.split_by_share({s: sum(groups.values()) for s, groups in shares.items()}, n)
     home = {g: s for s, groups in shares.items() for g in groups}
     want: dict[str, int] = {}
     for s, groups in shares.items():
         want |= sampling.split_by_share(groups, strata[s])
-    got = {g: min(k, sizes.get(g, 0)) for g, k in want.items()}
+    got = dict.fromkeys(want, 0)
+    for g in want:
+        while got[g] < want[g] and take(g):
+            got[g] += 1
     for same in (True, False):
         for g in want:
-            short = want[g] - got[g]
-            givers = [o for o in want if o != g and (not same or home[o] == home[g]) and sizes.get(o, 0) > got[o]]
-            while short > 0 and givers:
-                for o in list(givers):
-                    if not short:
-                        break
-                    got[o] += 1
-                    want[o] += 1
-                    want[g] -= 1
-                    short -= 1
-                    if got[o] == sizes[o]:
-                        givers.remove(o)
+            givers, turn = [o for o in want if o != g and (not same or home[o] == home[g])], 0
+            while want[g] > got[g] and givers:
+                o = givers[turn % len(givers)]
+                if not take(o):
+                    givers.remove(o)
+                    continue
+                got[o], want[o], want[g], turn = got[o] + 1, want[o] + 1, want[g] - 1, turn + 1
     return got
 
 
-def answer_key(pool: DataFrame, claims: list[str], shares: dict[str, dict[str, float]], n: int) -> DataFrame:
-    """(id, group): about n candidates, spread over the groups; no two share a claim (a thread, a template).
-
-    ``pool`` has id, group and the claims, null where there is nothing to claim.
-    The order of the draw is a digest of the id.  Of the candidates with the same
-    claim the first in that order stands; counts per group set the quotas.
+def quotas(sizes: dict[str, int], shares: dict[str, dict[str, float]], n: int) -> dict[str, int]:
+    """Items per group where all of a group's items are free."""
+    left = dict(sizes)
+
+    def take(g: str) -> bool:
+        left[g] = left.get(g, 0) - 1
+        return left[g] >= 0
+
+    return dealt(shares, n, take)
+
+
+class _Draw:
+    """Groups' candidates in order of draw, page by page; only pages of about as many rows as are wanted leave the executors."""
+
+    def __init__(self, pool: DataFrame, claims: list[str], groups: list[str], page: int):
+        self.rows = pool.withColumn("__order", F.md5(F.col("id").cast("string"))).select("id", "group", "__order", *[F.col(c).alias(f"__c{i}") for i, c in enumerate(claims)])
+        self.claims, self.page = [f"__c{i}" for i in range(len(claims))], page
+        self.used: dict[str, set] = {c: set() for c in ("id", *self.claims)}
+        first = Window.partitionBy("group").orderBy("__order", "id")
+        found = self.rows.where(F.col("group").isin(groups)).withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= page).orderBy("__rn").collect()
+        self.held = {g: [r for r in found if r["group"] == g] for g in groups}
+        self.last = {g: rows[-1] if len(rows) == page else None for g, rows in self.held.items()}  # None: nothing follows
+        self.drawn: list[tuple] = []
+
+    def _turn(self, g: str) -> None:
+        """The next page: candidates that share no claim with what is drawn, so that each page gives one at least."""
+        last = self.last[g]
+        behind = F.struct("__order", "id") > F.struct(F.lit(last["__order"]).alias("__order"), F.lit(last["id"]).alias("id"))
+        rows = self.rows.where((F.col("group") == g) & behind)
+        for column, seen in self.used.items():  # as many values as are drawn
+            if seen:
+                rows = rows.where(F.col(column).isNull() | ~F.col(column).isin(sorted(seen)))
+        self.held[g] = rows.orderBy("__order", "id").limit(self.page).collect()
+        self.last[g] = self.held[g][-1] if len(self.held[g]) == self.page else None
+
+    def take(self, g: str) -> bool:
+        """Draw the group's next free candidate; False when none is left."""
+        while True:
+            while self.held[g]:
+                row = self.held[g].pop(0)
+                mine = {c: row[c] for c in self.used if row[c] is not None}
+                if not any(v in self.used[c] for c, v in mine.items()):
+                    self._claim(row, mine)
+                    return True
+            if self.last[g] is None:
+                return False
+            self._turn(g)
+
+    def _claim(self, row, mine: dict) -> None:
+        for c, v in mine.items():
+            self.used[c].add(v)
+        self.drawn.append((row["id"], row["group"], len(self.drawn) + 1))
+
+
+def answer_key(pool: DataFrame, claims: list[str], shares: dict[str, dict[str, float]], n: int, *, page: int | None = None) -> DataFrame:
+    """(id, group, position): n candidates, spread over the groups, drawn one after another.
+
+    ``pool`` has id (unique in its group), group and the claims, null where there is
+    nothing to claim.  A
+    candidate that is drawn claims its id, thread, template, and so on; one that
+    shares a claim with an earlier *drawn* one is passed over, while one that was
+    itself passed over claims nothing.  The order within a group is a digest of the
+    id, ties by id.  What a group lacks the others give (``dealt``); with too few
+    free candidates the key is shorter.  Rows with a null id are in no group.
     """
-    rows = pool.withColumn("__order", F.md5(F.col("id").cast("string")))
-    for claim in claims:
-        # a null claims nothing: those rows aren't gathered
-        free = rows.where(F.col(claim).isNull())
-        first = rows.where(F.col(claim).isNotNull()).groupBy(claim).agg(F.min_by(F.struct(*rows.columns), F.struct("__order", "id")).alias("r"))
-        rows = free.unionByName(first.select("r.*"))
-    sizes = {r["group"]: r["n"] for r in rows.groupBy("group").agg(F.count("*").alias("n")).collect()}  # as many rows as groups
-    wanted = quotas(sizes, shares, n)
-    # a group gives at most its quota of the n: each part of a group its own first, then the first of those
-    quota = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])[F.col("group")] if wanted else F.lit(0)
-    parted = rows.select("id", "group", "__order", F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("__part"))
-    for keys in (("group", "__part"), ("group",)):
-        place = Window.partitionBy(*keys).orderBy("__order", "id")
-        parted = parted.withColumn("__rn", F.row_number().over(place)).where(F.col("__rn") <= quota)
-    return parted.select("id", "group")
+    groups = [g for part in shares.values() for g in part]
+    draw = _Draw(pool.where("id is not null"), claims, groups, page or max(16, 2 * n // max(1, len(groups))))
+    dealt(shares, n, draw.take)
+    kind = pool.schema["id"].dataType.simpleString()
+    return pool.sparkSession.createDataFrame(draw.drawn, f"id {kind}, group string, position int")
 
 
 def numbered(rows: DataFrame, key: str, into: str) -> DataFrame:

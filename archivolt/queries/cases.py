@@ -52,16 +52,31 @@ def c20_case_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARES = {"machine": {"bulk": 2.0, "plain": 1.0}, "person": {"recent": 2.0, "older": 1.0}, "chat": {"window": 2.0}}
 
 
+_DRAWN_GROUPS = ("bulk", "plain", "recent", "older", "window")
+_QUOTA = {"bulk": 16, "plain": 8, "recent": 16, "older": 8, "window": 16}
+
+
 @registry.add(
-    f"{_MA}, p as (select id, case when medium <> 'email' then 'window' when is_automated and from_name is null then 'bulk' when is_automated then 'plain' when received_at >= timestamp '1998-01-01' then 'recent' else 'older' end as grp,"
-    f" thread_id, {_PATTERN} as pattern, md5(id::varchar) as o from message where direction = 'in'),"
-    " t as (select * from p where thread_id is null union all select * from p where thread_id is not null qualify row_number() over (partition by thread_id order by o, id) = 1),"
-    " u as (select * from t qualify row_number() over (partition by pattern order by o, id) = 1),"
-    " q as (select unnest(['bulk', 'plain', 'recent', 'older', 'window']) as grp, unnest([4, 2, 4, 2, 4]) as k),"
-    " r as (select *, row_number() over (partition by grp order by o, id) as rn, count(*) over (partition by grp) as size from u)"
-    ' select id, r.grp as "group" from r join q using (grp) where rn <= k'
+    f"{_MA.replace('with ', 'with recursive ', 1)}, p as (select id, case when medium <> 'email' then 'window' when is_automated and from_name is null then 'bulk' when is_automated then 'plain' when received_at >= timestamp '1998-01-01' then 'recent' else 'older' end as grp,"
+    f" case when medium = 'email' then thread_id end as thread_id, {_PATTERN} as pattern, md5(id::varchar) as o from message where direction = 'in'),"
+    f" f as (select * from p qualify row_number() over (partition by grp order by o, id) <= 150),"
+    f" c as (select row_number() over (order by list_position({list(_DRAWN_GROUPS)}, grp), o, id) as i, id, grp, list_filter([concat('t', thread_id), case when pattern is not null then concat('p', pattern) end], lambda x: x is not null and x <> 't') as claims from f),"
+    f" q as (select unnest({list(_QUOTA)}) as grp, unnest({list(_QUOTA.values())}) as k),"
+    " r(i, id, grp, drawn, used, n) as ("
+    "  select 0::bigint, null::bigint, null::varchar, false, []::varchar[], 0"
+    "  union all select c.i, c.id, c.grp,"
+    "   (case when c.grp = r.grp then r.n else 0 end) < q.k and not list_has_any(r.used, c.claims),"
+    "   case when (case when c.grp = r.grp then r.n else 0 end) < q.k and not list_has_any(r.used, c.claims) then list_concat(r.used, c.claims) else r.used end,"
+    "   (case when c.grp = r.grp then r.n else 0 end) + case when (case when c.grp = r.grp then r.n else 0 end) < q.k and not list_has_any(r.used, c.claims) then 1 else 0 end"
+    "  from r join c on c.i = r.i + 1 join q on q.grp = c.grp)"
+    ' select id, grp as "group", (row_number() over (order by i))::int as position from r where drawn'
 )
 def c26_answer_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer key of 64 messages; each claims its thread (a chat only itself) and its pattern when it is drawn.
+
+    The statement walks the candidates in order, one after another; it reads the
+    first 150 of each group, more than the draw ever passes there.
+    """
     group = (
         F.when(F.col("medium") != "email", "window")
         .when(F.col("is_automated") & F.col("from_name").isNull(), "bulk")
@@ -69,8 +84,9 @@ def c26_answer_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("received_at") >= F.lit("1998-01-01").cast("timestamp_ntz"), "recent")
         .otherwise("older")
     )
-    pool = archive.messages(spark, sf_dir).where("direction = 'in'").select("id", group.alias("group"), "thread_id", F.expr(_PATTERN).alias("pattern"))
-    return K.answer_key(pool, ["thread_id", "pattern"], SHARES, 16)
+    thread = F.when(F.col("medium") == "email", F.col("thread_id"))
+    pool = archive.messages(spark, sf_dir).where("direction = 'in'").select("id", group.alias("group"), thread.alias("thread_id"), F.expr(_PATTERN).alias("pattern"))
+    return K.answer_key(pool, ["thread_id", "pattern"], SHARES, 64)
 
 
 _LABELS = (
