@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from archivolt.queries import analytics, cases, conditions, corpus, fulltext, further, grouping, groups, imports, ingest, model, relational, selections, signals, texts, values
+from archivolt.queries import analytics, cases, conditions, corpus, fulltext, further, grouping, groups, imports, ingest, model, relational, selections, signals, structure, texts, values
 from archivolt.registry import Query, Registry
 
-_GROUPS: tuple[Registry, ...] = tuple(m.registry for m in (conditions, values, relational, grouping, groups, texts, signals, model, cases, corpus, analytics, ingest, imports, selections, further, fulltext))
+_GROUPS: tuple[Registry, ...] = tuple(m.registry for m in (conditions, values, relational, grouping, groups, texts, signals, model, cases, corpus, analytics, ingest, imports, selections, further, fulltext, structure))
 
 
 def queries() -> dict[str, Query]:

@@ -17,7 +17,7 @@ def features(messages: DataFrame, assignments: DataFrame, locations: DataFrame,
     return rows.withColumn("age", F.datediff(F.lit(now).cast("timestamp"), "received_at"))
 
 
-def _vocabulary(rows: DataFrame, named: dict | None) -> Vocabulary:
+def vocabulary(rows: DataFrame, named: dict | None) -> Vocabulary:
     """The columns of ``rows`` as fields, by type."""
     of = {"string": "scalars", "boolean": "booleans", "array<string>": "arrays"}
     kinds: dict[str, dict] = {"scalars": {}, "booleans": {}, "numbers": {}, "arrays": {}}
@@ -28,13 +28,13 @@ def _vocabulary(rows: DataFrame, named: dict | None) -> Vocabulary:
 
 def place(rows: DataFrame, targets: list[tuple[str, dict]], *, otherwise: str = "To sort", named: dict | None = None) -> DataFrame:
     """``rows`` with ``place``: the first target whose condition holds, in one projection."""
-    words = _vocabulary(rows, named)
+    words = vocabulary(rows, named)
     return rows.withColumn("place", first_match([(name, placement_column(c, words)) for name, c in targets], F.lit(otherwise)))
 
 
 def why(rows: DataFrame, targets: list[tuple[str, dict]]) -> DataFrame:
     """``rows`` with ``reasons``: every target whose condition holds, in order."""
-    words = _vocabulary(rows, None)
+    words = vocabulary(rows, None)
     held = [F.when(placement_column(c, words), F.lit(name)) for name, c in targets]
     return rows.withColumn("reasons", F.array_compact(F.array(*held)))
 
