@@ -1,16 +1,19 @@
 """Main text of web pages from a stream of parser events.
 
 The standard library's parser turns a page into lines: a line is the text of one
-block, with the number of tags seen while it was read and the elements around it.
-Lines inside menus, headers, footers, sidebars, notices, adverts, forms and
-comments count as no text.  The text-to-tag ratios of all lines are smoothed with
-a Gaussian and cut at a threshold, which gives clusters of content; the element
-that holds all clusters is the content region, and every line in it that isn't
-boilerplate is returned, short ones included.
-
-Some boilerplate is told by its element alone, some only by names in class and id.
-A name doesn't count where its element holds most of a page's text and no article
-is outside, so that a wrapper is never dropped for a word in its class.
+block, with the number of tags seen while it was read, how much of it is links,
+and the elements around it.  The ratios of text that is no link to tags are
+smoothed with a Gaussian and cut at a threshold, which gives clusters of lines.  The
+best cluster and those of like ratio are the content.  The innermost article or main
+element around them is the region, and all of its lines are returned, short ones
+included; without such an element only those parts of the nearest section are
+that hold content, with the headings right before them, and no lists of links.
+
+Lines inside menus, headers, footers, sidebars, notices, adverts, forms and comments
+count as no text.  Some of that is told by its element alone, some only by names in
+class and id.  A name doesn't count where its element holds most of a page's text and no
+article is outside, so that a wrapper is never dropped for a word in its class; one
+that may as well name a part of an article counts only where no cluster is.
 """
 
 from __future__ import annotations
@@ -28,8 +31,13 @@ from pyspark.sql import functions as F
 
 from archivolt.llm.common import small_batches
 
-#: The width of the Gaussian, in lines, and the threshold as a share of the ratios' standard deviation.
-SIGMA, THRESHOLD = 1.0, 0.5
+#: The width of the Gaussian, in lines, the threshold as a share of the ratios' standard deviation, and the ratio of a
+#: cluster that is content too, as a share of the best one's.
+SIGMA, THRESHOLD, ALIKE = 1.0, 0.5, 0.2
+#: The share of the usual ratio below which a line at the edge of the content has to be a sentence.
+FAINT = 0.5
+#: Of a list of links: its lines at least, and how much of its text is links.
+LINKS, LINKED = 3, 0.8
 #: Characters that are fed to the parser at a time.
 _STRIDE = 1 << 16
 
@@ -54,6 +62,10 @@ NAMES = frozenset(
     "cookie cookies consent notice notices gdpr popup modal nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead "
     "share sharing social related recommended newsletter subscribe signup login search pagination pager toolbar".split()
 )
+#: Of those the ones that may name a part of an article as well.
+LOOSE = frozenset("social share sharing related recommended signup login search pagination pager toolbar breadcrumb breadcrumbs".split())
+ENDS = tuple(".!?…:;\"'”’»)")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: The same for what readers add; such elements may be longer than the article.
 READERS = frozenset("comment comments disqus replies respond".split())
 #: Names that count only as a whole, or as the first part.
@@ -63,7 +75,7 @@ REMARKS = frozenset("has no is with without not".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog".split())
 _PARTS = re.compile(r"[-_]+")
 #: How an element is told as boilerplate.
-CONTENT, BY_NAME, BY_READERS, BY_ELEMENT = range(4)
+CONTENT, BY_LOOSE, BY_NAME, BY_READERS, BY_ELEMENT = range(5)
 
 
 def named(names: str) -> int:
@@ -75,8 +87,11 @@ def named(names: str) -> int:
             continue
         if READERS & {name, parts[0], parts[-1]}:
             return BY_READERS
-        if NAMES & {name, parts[0], parts[-1]} or WHOLE & {name, parts[0]}:
+        told = NAMES & {name, parts[0], parts[-1]}
+        if told - LOOSE or WHOLE & {name, parts[0]}:
             found = BY_NAME
+        elif told:
+            found = max(found, BY_LOOSE)
     return found
 
 
@@ -85,6 +100,11 @@ class Line:
     text: str
     tags: int
     element: int  # the innermost around it
+    linked: int  # characters of it in links
+
+    @property
+    def ratio(self) -> float:
+        return max(0, len(self.text) - self.linked) / max(1, self.tags)
 
 
 class Reader(HTMLParser):
@@ -102,13 +122,14 @@ class Reader(HTMLParser):
         self.hidden: list[bool] = []
         self.open: Counter[str] = Counter()
         self.held: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.held).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.stack[-1] if self.stack else 0))
+            self.lines.append(Line(text, self.tags, self.stack[-1] if self.stack else 0, min(self.linked, len(text))))
             self.tags = 0
+        self.linked = 0
         self.held.clear()
 
     def _pop_to(self, depth: int) -> None:
@@ -172,6 +193,15 @@ class Reader(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not (self.hidden and self.hidden[-1]):
             self.held.append(data)
+            if self.open["a"]:
+                self.linked += len(" ".join(data.split()))
+
+    def finish(self) -> None:
+        """End the page; a tag or comment that it leaves open is markup, not text."""
+        if re.match("<[!?/a-zA-Z]", self.rawdata):
+            self.rawdata = ""
+        self.close()
+        self.end_line()
 
 
 @dataclass
@@ -210,8 +240,7 @@ def read_page(html: str) -> Page:
     reader = Reader()
     for at in range(0, len(html), _STRIDE):
         reader.feed(html[at : at + _STRIDE])
-    reader.close()
-    reader.end_line()
+    reader.finish()
     lines, kinds, parents = reader.lines, reader.kinds, reader.parents
     last = list(range(len(kinds)))
     holds_main = [k == "main" for k in kinds]
@@ -234,8 +263,16 @@ def read_page(html: str) -> Page:
             return not holds_main[e] and size[e] < size[0]
         return not holds_main[e] and (2 * size[e] <= size[0] or within[e] < within[0])
 
-    own = [dropped(e, told) for e, told in enumerate(reader.told)]
-    return Page(lines, kinds, parents, last, _inherit(parents, own))
+    own = [told != BY_LOOSE and dropped(e, told) for e, told in enumerate(reader.told)]
+    loose = [e for e, told in enumerate(reader.told) if told == BY_LOOSE and dropped(e, told)]
+    page = Page(lines, kinds, parents, last, _inherit(parents, own))
+    if loose:
+        held = page.sums(content_lines(page))
+        inside = _inherit(parents, [k in ("article", "main") for k in kinds])
+        for e in loose:  # a name that an article's part may have too decides only where no cluster is
+            own[e] = not (inside[e] and held[e])
+        page.dropped = _inherit(parents, own)
+    return page
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -245,11 +282,27 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def region(page: Page) -> int:
-    """The element that holds all content clusters; 0 for the whole page."""
-    ratios = np.array([0.0 if page.dropped[x.element] else len(x.text) / max(1, x.tags) for x in page.lines])
+def content_lines(page: Page) -> list[int]:
+    """For each line 1 where it is of a content cluster: the one with most text, and those of like ratio."""
+    ratios = np.array([0.0 if page.dropped[x.element] else x.ratio for x in page.lines])
     even = smooth(ratios)
-    content = ((even >= THRESHOLD * even.std()) & (ratios > 0)).astype(int).tolist()
+    held = (even >= THRESHOLD * even.std()) & (ratios > 0)
+    if not held.any():
+        return [0] * len(ratios)
+    starts = np.flatnonzero(held & ~np.concatenate([[False], held[:-1]]))
+    ends = np.flatnonzero(held & ~np.concatenate([held[1:], [False]])) + 1
+    text = np.array([len(x.text) - x.linked for x in page.lines])
+    clusters = [(int(text[a:b].sum()), float(even[a:b].mean()), a, b) for a, b in zip(starts, ends)]
+    best = max(clusters)
+    out = np.zeros(len(ratios), int)
+    for _, mean, a, b in clusters:
+        if mean >= ALIKE * best[1]:
+            out[a:b] = 1
+    return (out * held).tolist()
+
+
+def region(page: Page, content: list[int]) -> int:
+    """The element around all content lines: an article or main element, else the nearest section; 0 for the whole page."""
     count = page.sums(content)
     if not count[0]:
         return 0
@@ -257,7 +310,6 @@ def region(page: Page) -> int:
     around = [shared]
     while around[-1]:
         around.append(page.parents[around[-1]])
-    # an article or main element around it is the region, else the nearest section
     for names in (("article",), ("main",), REGION):
         for e in around:
             if page.kinds[e] in names:
@@ -265,6 +317,51 @@ def region(page: Page) -> int:
     return 0
 
 
+def _parts(page: Page, held: int, content: list[int]) -> list[bool]:
+    """Of a region that no element names as the article: the lines of parts with content, of headings right before them, of no list of links."""
+    count, links = page.sums(content), page.sums([x.linked for x in page.lines])
+    size, rows = page.sums([len(x.text) for x in page.lines]), page.sums([1] * len(page.lines))
+    menu = _inherit(page.parents, [e != held and not count[e] and rows[e] >= LINKS and links[e] >= LINKED * size[e] for e in range(len(count))])
+
+    # the child of the region that a line is in, or the line itself; elements are numbered as they open, so one walk down does
+    part = [0] * len(page.parents)
+    for e in range(held + 1, page.last[held] + 1):
+        part[e] = e if page.parents[e] == held else part[page.parents[e]]
+    inner = [i for i, x in enumerate(page.lines) if held <= x.element <= page.last[held]]
+    groups: list[list[int]] = []  # neighbouring lines of one part
+    for i in inner:
+        own = part[page.lines[i].element]
+        if groups and own and part[page.lines[groups[-1][0]].element] == own:
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+    good = [any(content[i] for i in g) for g in groups]
+    first, last = good.index(True), len(good) - 1 - good[::-1].index(True)
+    heading = lambda g: all(_under(page, page.lines[i].element, HEADINGS) for i in g)
+    usual = float(np.mean([x.ratio for x, is_content in zip(page.lines, content) if is_content]))
+    # the neighbours of content are smoothed into it; at the edges such a line stays only if it is a sentence
+    faint = lambda g: all(page.lines[i].ratio < FAINT * usual and not page.lines[i].text.endswith(ENDS) for i in g)
+    while last > first and faint(groups[last]):
+        last -= 1
+    while first < last and faint(groups[first]) and not heading(groups[first]):
+        first += 1
+    while first and heading(groups[first - 1]):
+        first -= 1
+    out = [False] * len(page.lines)
+    for g in groups[first : last + 1]:
+        for i in g:
+            out[i] = not menu[page.lines[i].element]
+    return out
+
+
+def _under(page: Page, e: int, names: frozenset[str]) -> bool:
+    while e:
+        if page.kinds[e] in names:
+            return True
+        e = page.parents[e]
+    return False
+
+
 def main_text(html: str | None) -> str:
     """The content blocks of a page, one a line; empty if it has none."""
     if not html:
@@ -272,8 +369,12 @@ def main_text(html: str | None) -> str:
     page = read_page(html)
     if not page.lines:
         return ""
-    held = region(page)
-    return "\n".join(x.text for x in page.lines if not page.dropped[x.element] and held <= x.element <= page.last[held])
+    content = content_lines(page)
+    held = region(page, content)
+    kept = [held <= x.element <= page.last[held] for x in page.lines]
+    if any(content) and page.kinds[held] not in ("article", "main"):
+        kept = _parts(page, held, content)
+    return "\n".join(x.text for x, keep in zip(page.lines, kept) if keep and not page.dropped[x.element])
 
 
 def _texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -57,6 +57,49 @@ def test_every_block_in_a_widget_of_its_own():
     assert html.main_text(page).split("\n") == TEXT
 
 
+LINK_LIST = "<ul>" + "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(8)) + "</ul>"
+
+
+@pytest.mark.parametrize("menu", [LINK_LIST, LINK_LIST.replace("ul>", "div>").replace("li>", "div>")])
+@pytest.mark.parametrize("foot", ["<div>Privacy Terms Contact</div>", "<p>Privacy</p><p>Terms</p><p>Contact</p>", "<ul><li>Privacy<li>Terms</ul>", "<table><tr><td>About<td>Jobs</table>"])
+@pytest.mark.parametrize("wrap", ["{}", "<div>{}</div>"])
+def test_menus_and_footers_of_plain_markup_go(menu, foot, wrap):
+    """No element or name tells them: the clusters do."""
+    page = f"<body>{menu}{wrap.format('<h1>Head</h1>' + BODY)}{foot}</body>"
+    assert html.main_text(page).split("\n") == ["Head", *TEXT]
+
+
+def test_clusters_decide(monkeypatch):
+    page = f"<body>{LINK_LIST}<h1>Head</h1>{BODY}<div>Privacy Terms Contact</div></body>"
+    with_clusters = html.main_text(page)
+    monkeypatch.setattr(html, "content_lines", lambda page: [0] * len(page.lines))
+    assert "Link 3" in html.main_text(page) and "Link 3" not in with_clusters
+
+
+def test_lists_of_links_between_paragraphs_and_sentences_at_the_end():
+    half = "".join(f"<p>{line}</p>" for line in TEXT[:3]), "".join(f"<p>{line}</p>" for line in TEXT[3:])
+    assert html.main_text(f"<body>{half[0]}{LINK_LIST}{half[1]}<p>That is all.</p></body>").split("\n") == [*TEXT, "That is all."]
+    assert "Link 3" in html.main_text(f"<article>{half[0]}{LINK_LIST}{half[1]}</article>")  # an article's own list of links is its text
+
+
+def test_the_best_cluster_of_two_articles():
+    short = "<div><span>a</span> <span>few</span> <i>words</i> <b>x</b></div>" * 12
+    assert html.main_text(f"<body><article>{short}</article><article>{BODY * 3}</article></body>").split("\n") == TEXT * 3
+
+
+@pytest.mark.parametrize("part", ["<section id='social'>{}</section>", "<div class='login-guide'>{}</div>", "<div class='search'>{}</div>"])
+@pytest.mark.parametrize("around", ["article", "main"])
+def test_a_part_of_an_article_keeps_its_text_whatever_its_name(part, around):
+    assert html.main_text(f"<{around}>{BODY}{part.format(BODY)}</{around}>").split("\n") == TEXT * 2
+    assert html.main_text(f"<{around}>{BODY}{part.format('<a>Share</a>')}</{around}>").split("\n") == TEXT
+
+
+@pytest.mark.parametrize("open_end", ["<!-- " + "a comment that never ends " * 5000, "<a href='" + "y" * 500, "<p class", "</di", "<!DOCTYPE x"])
+def test_markup_left_open_at_the_end_is_no_text(open_end):
+    assert html.main_text(BODY + open_end).split("\n") == TEXT
+    assert html.main_text(BODY + "<p>a < b and c <3").split("\n")[-1] == "a < b and c <3"
+
+
 def test_self_closing_foreign_elements():
     assert html.main_text("<article><p>Hello <svg/> world <svg><path d='x'/><title>no</title></svg>again <math/>x</p></article>") == "Hello world again x"
     assert html.main_text("<article><p>Hello <b/> world</p><div/><p>again</p></article>") == "Hello world\nagain"
