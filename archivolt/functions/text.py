@@ -81,8 +81,8 @@ def skeleton_regex(key: str) -> str:
     return rf"(?iu)^{prefix}\s*(?:{mark}+\s+)*+{between.join(map(part, words))}{end}"
 
 
-def system_key(subject: Column) -> Column:
-    """Which system a shared sender's subject comes from: a leading tag, a trailing status word, or the first word."""
+def _system(subject: Column) -> tuple[Column, Column]:
+    """(key, told): which system a subject comes from, and whether a tag or a status word tells it."""
     text = F.trim(F.regexp_replace(F.coalesce(subject, F.lit("")), rf"(?i)^\s*+(?:(?:{'|'.join(SYSTEM_PREFIXES)})\s*+:\s*+)++", ""))
     tag = F.regexp_extract(text, r"^(\[[^\]]*\])", 1)
     glued = F.regexp_extract(text, r"^\[[^\]]*\](\w+)", 1)
@@ -90,11 +90,24 @@ def system_key(subject: Column) -> Column:
     word, marks = F.regexp_extract(text, status, 1), F.regexp_extract(text, status, 2)
     before = F.trim(F.regexp_replace(text, status, ""))
     first = F.coalesce(F.get(F.filter(F.split(text, r"\s+"), lambda w: w != ""), F.lit(0)), F.lit("(no subject)"))
-    return (
-        F.when(tag != "", F.concat(F.regexp_replace(tag, "[0-9]{4,}", "#"), glued))
-        .when((word != "") & (before != ""), F.concat(F.lit("… "), F.initcap(word), marks))
-        .otherwise(F.regexp_replace(first, "[0-9]", "#"))
-    )
+    ends = (word != "") & (before != "")
+    key = F.when(tag != "", F.concat(F.regexp_replace(tag, "[0-9]{4,}", "#"), glued)).when(ends, F.concat(F.lit("… "), F.initcap(word), marks)).otherwise(F.regexp_replace(first, "[0-9]", "#"))
+    return key, (tag != "") | ends
+
+
+def system_key(subject: Column) -> Column:
+    """Which system a shared sender's subject comes from: a leading tag, a trailing status word, or the first word."""
+    return _system(subject)[0]
+
+
+def system_told(subject: Column) -> Column:
+    """Whether a tag or a status word tells the system, rather than a first word."""
+    return _system(subject)[1]
+
+
+def without_prefixes(subject: Column) -> Column:
+    """A subject without its reply and forward prefixes."""
+    return F.trim(F.regexp_replace(F.coalesce(subject, F.lit("")), rf"(?i)^\s*+(?:(?:{'|'.join(SYSTEM_PREFIXES)})\s*+:\s*+)++", ""))
 
 
 def event_status(subject: Column, body: Column, default: str = "info") -> Column:

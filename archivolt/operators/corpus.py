@@ -152,8 +152,8 @@ def near_copies(samples: DataFrame) -> DataFrame:
     shares a hash of it, which joins most copies by a row each; then all others
     meet whose ends aren't joined yet.  A passage of many texts would
     bring all of these together: hashes that more than CROWDED unjoined classes
-    share go to the end of the order, and only the texts they stand in get new
-    prefixes, until no such hash is left.
+    share go to the end of the order, with all that are as frequent in the same texts,
+    and only texts that have such in their prefixes get new ones, until none is left.
     """
     texts = samples.select("id", "text")
     keys, counts = _frequent(texts)
@@ -181,11 +181,15 @@ def near_copies(samples: DataFrame) -> DataFrame:
         crowded = written(crowded, "crowded")
         if crowded.isEmpty():
             break
-        late = crowded if late is None else written(late.unionByName(crowded), "late")
-        touched = written(prefixes.join(crowded, "h", "left_semi").select("id").distinct(), "touched")
+        # a passage is many hashes: all that are as frequent in the texts that meet move at once, and with them every text that has one in its prefix
+        met = prefixes.join(crowded, "h", "left_semi").select("id").distinct()
+        hashes = texts.join(met, "id", "left_semi").select(F.explode(shingle_hashes(X.normalized(F.col("text")))).alias("h"))
+        frequent = hashes.groupBy("h").count().where(F.col("count") > CROWDED).select("h")
+        late = written(frequent if late is None else frequent.unionByName(late).distinct(), "late")
+        touched = written(every.join(late, "h", "left_semi").select("id").distinct(), "touched")
         again = written(_later(texts.join(touched, "id", "left_semi"), late, shared), "again")
-        others = every.join(touched, "id", "left_anti").join(again.select("h").distinct(), "h", "left_semi")
-        rest = prefixes.join(touched, "id", "left_anti").unionByName(others).distinct()
+        others = every.join(touched, "id", "left_anti")
+        rest = others.join(prefixes.select("h").unionByName(again.select("h")).distinct(), "h", "left_semi")
         prefixes = written(rest.unionByName(again), "prefixes")
     mine = written(rooted.join(meeting.select("h"), "h"), "meeting")
     other = mine.select("h", F.col("id").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("top"))

@@ -99,3 +99,58 @@ def connected(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         if not changed:
             return root
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, root) after new edges (a, b): what ``connected`` over all edges so far would give.
+
+    Only the new edges are walked: their ends are replaced by the roots they have
+    already, the small graph between roots is connected, and labels follow the root
+    they merged into.  The earlier edges aren't read again.
+    """
+    both = edges.where("a is not null and b is not null").select("a", "b")
+    known = labels.select("id", "root")
+    ends = both.select(F.col("a").alias("id")).unionByName(both.select(F.col("b").alias("id"))).distinct()
+    rooted = written(ends.join(known, "id", "left").withColumn("root", F.coalesce("root", "id")), "ends")
+    of = lambda c: rooted.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+    between = both.join(of("a"), "a").join(of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+    merged = connected(between).select(F.col("id").alias("root"), F.col("root").alias("into"))
+    new = rooted.join(known.select("id"), "id", "left_anti")
+    return known.unionByName(new).join(merged, "root", "left").select("id", F.coalesce("into", "root").alias("root"))
+
+
+def threads_on_arrival(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """(id, thread) of arriving messages, as if they came one by one.
+
+    A message with a provider's thread joins the first of its account with the same;
+    another the thread of the earliest received message it refers to among those that came
+    before it; else it begins a thread, named by its id.  ``batch``: id, account, message_id,
+    provider, refs (an array), received_at, arrived (unique).  ``stored``: the same without refs,
+    and thread.  Ties in time go to the earlier arrival, missing times come last;
+    threads are followed to their beginning in as many rounds as a chain has doublings.
+    """
+    columns = ["id", "account", "message_id", "provider", "received_at", "arrived"]
+    new = written(batch.select(*columns, "refs"), "arrivals")
+    pool = new.select(*columns, F.lit(None).cast(stored.schema["thread"].dataType).alias("thread")).unionByName(stored.select(*columns, "thread"))
+
+    given = new.where("provider is not null")
+    first = pool.where("provider is not null").groupBy("account", "provider").agg(F.min_by(F.struct("id", "thread"), "arrived").alias("head"))
+    by_provider = given.join(first, ["account", "provider"]).select("id", F.col("head.id").alias("parent"), F.col("head.thread").alias("thread"))
+
+    asked = new.where("provider is null").select("id", "account", "arrived", F.explode(F.array_distinct("refs")).alias("message_id"))
+    place = F.struct(F.col("received_at").isNull().alias("late"), "received_at", "before")
+    earlier = pool.select("account", "message_id", "received_at", F.col("arrived").alias("before"), F.struct("id", "thread").alias("found"))
+    best = asked.join(earlier, ["account", "message_id"]).where("before < arrived").groupBy("id").agg(F.min_by("found", place).alias("found"))
+    by_reference = best.select("id", F.col("found.id").alias("parent"), F.col("found.thread").alias("thread"))
+
+    linked = by_provider.unionByName(by_reference)
+    alone = new.join(linked.select("id"), "id", "left_anti").select("id", F.col("id").alias("parent"), F.lit(None).cast(stored.schema["thread"].dataType).alias("thread"))
+    # a message whose thread is stored is done; others point at one of this batch, and at last at one that begins its thread
+    walk = written(linked.unionByName(alone), "walk")
+    while True:
+        above = walk.select(F.col("id").alias("parent"), F.col("parent").alias("further"), F.col("thread").alias("found"))
+        step = walk.join(above, "parent", "left").select("id", F.coalesce("further", "parent").alias("parent"), F.coalesce("thread", "found").alias("thread"), (F.col("thread").isNull() & (F.col("found").isNotNull() | (F.col("further") != F.col("parent")))).alias("moved"))
+        walk = written(step, "walk")
+        if walk.where("moved").isEmpty():
+            return walk.select("id", F.coalesce("thread", "parent").alias("thread"))
+        walk = walk.drop("moved")

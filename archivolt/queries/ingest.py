@@ -169,6 +169,28 @@ def t3_capped_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.capped(rows, ["user_id", F.to_date("ts")], ["ts", "event_id"], 3).select("event_id")
 
 
+_PARTS = (
+    "with s as (select *, case when lag(ts) over w is null or epoch_ms(ts) - epoch_ms(lag(ts) over w) > 7200000 then 1 else 0 end as st from events window w as (partition by user_id order by ts, event_id)),"
+    " n as (select *, sum(st) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from s)"
+)
+
+
+@registry.add(
+    f"{_PARTS} select event_id, user_id, first_value(event_id) over w::varchar as window, ((row_number() over w - 1) // 3)::bigint as part from n window w as (partition by user_id, k order by ts, event_id)"
+)
+def t3_windows_in_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of two hours in parts of at most three events, from a stream that is drained three times as ten days arrive."""
+    base = f"{shared_dir(spark)}/capped-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    third = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
+    for arrived in range(3):
+        events.where(third == arrived).write.mode("append").parquet(f"{base}/in")
+        stream = jobs.event_stream(spark, f"{base}/in", events.schema, files=1_000_000)
+        windows = jobs.capped_windows(stream, key="user_id", at="ts", id_="event_id", gap=7200, cap=3)
+        jobs.to_parquet(windows, f"{base}/out", f"{base}/run").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 @registry.add("select true as within, sum(floor(o_totalprice)::bigint)::bigint as size from orders")
 def s9_size_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether every batch keeps to both bounds, and that none of the size is lost."""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from archivolt.streaming.states import capped_windows, silences  # noqa: F401
 
 
 def event_stream(spark: SparkSession, folder: str, schema: str, *, files: int | None = 16, size: str | None = None) -> DataFrame:
@@ -67,34 +67,3 @@ def in_order(*steps: Callable[[DataFrame], None]) -> Callable[[DataFrame], None]
 
 def to_parquet(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-
-
-def silences(checkins: DataFrame, *, every: int, grace: int, key: str = "service", at: str = "ts", late: str = "0 seconds") -> DataFrame:
-    """(key, last, status): a service that keeps silent is late a grace after its next check-in was due, down two graces after.
-
-    Timers run on the watermark, so a replay tells the same.  The state is one
-    time per service; a service that is down loses it until it checks in again.
-    """
-    step, rest = every * 1000, grace * 1000
-
-    def watch(name: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mark = state.getCurrentWatermarkMs()
-        if not state.hasTimedOut:
-            seen = [int(x.timestamp() * 1000) for batch in rows for x in batch[at]]
-            last, told = state.get if state.exists else (0, False)
-            newest = max([last, *seen])
-            state.update((newest, told and newest == last))
-            state.setTimeoutTimestamp(max(newest + step + rest, mark + 1))
-            return
-        last, told = state.get
-        down = mark >= last + step + 2 * rest
-        if down:
-            state.remove()
-        else:
-            state.update((last, True))
-            state.setTimeoutTimestamp(max(last + step + 2 * rest, mark + 1))
-        if down or not told:
-            yield pd.DataFrame({key: [name[0]], "last": [pd.Timestamp(last, unit="ms")], "status": ["down" if down else "late"]})
-
-    rows = checkins.select(key, at).withWatermark(at, late)
-    return rows.groupBy(key).applyInPandasWithState(watch, f"{key} string, last timestamp, status string", "last long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
