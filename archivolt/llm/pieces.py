@@ -8,15 +8,17 @@ Characters that are no piece become the bytes of their UTF-8.
 
 A merge never spans two characters that stand side by side in no piece, so a
 text is cut there first, and the ids of a cut are remembered: texts repeat their
-words.  What is remembered is bounded.  Every Arrow batch is then encoded and
-decoded by the library as well, and a difference is an error.
+words.  What is remembered is bounded.  Every Arrow batch is then encoded by the
+library as well, and a difference is an error.  Decoding is the library's.
 
 Only models are taken whose text normalisation is the identity (spaces apart).
 """
 
 from __future__ import annotations
 
-import heapq
+import re
+import struct
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,10 @@ from archivolt.llm.common import small_batches
 
 #: How the vocabulary writes a space.
 SPACE = "▁"
-#: What decoding writes for the unknown piece, and for a byte that is no part of a character.
-UNKNOWN, STRAY = " ⁇ ", "�"
-#: Remembered cuts before they are forgotten (some 60 MB), and the longest cut that is remembered.
-MOST, LONGEST = 400_000, 48
+#: Remembered words or cuts before the older half is forgotten (some 150 MB), and the longest that is remembered.
+MOST, LONGEST = 1_200_000, 48
+#: Letters with signs behind them.
+_ENDED = re.compile(r"([^\W\d_]+)([^\w]{1,8})\Z")
 #: Characters whose treatment by the library tells whether a model changes texts.
 _PROBE = "AÅﬁＡé　​\t\n\r  x"
 
@@ -42,11 +44,32 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+class _Memory:
+    """Bytes by string, in two generations: what is asked again while the newer one fills up stays."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, key: str) -> bytes | None:
+        """An entry of the older generation moves to the newer one; the caller has looked there already."""
+        found = self.old.get(key)
+        if found is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(self.new) >= MOST // 2:
+            self.old = dict(self.new)
+            self.new.clear()  # emptied in place: callers hold it
+        self.new[key] = value
+
+
 _CACHES: dict[str, PieceModel] = {}
 
 
 class PieceModel:
-    """``encode(text)``: ids as little-endian 32-bit numbers in bytes; ``decode(ids)``: the text."""
+    """``encode(text)``: ids as little-endian 32-bit numbers in bytes."""
 
     def __new__(cls, path: str) -> PieceModel:
         if path not in _CACHES:  # Python workers live on from task to task
@@ -65,50 +88,46 @@ class PieceModel:
         self.end = np.array([sp.eos_id()], "<i4").tobytes()
         self.ids: dict[str, int] = {}  # pieces that merges may make
         self.bytes = [sp.unk_id()] * 256
-        self.written = [b""] * size  # what decoding writes; nothing for control pieces
-        self.is_byte = np.zeros(size, bool)
-        self.is_control = np.array([sp.is_control(i) for i in range(size)])
         scores = np.zeros(size)
         for i in range(size):
             piece, scores[i] = sp.id_to_piece(i), sp.get_score(i)
             if sp.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
-                self.written[i], self.is_byte[i] = bytes([int(piece[3:5], 16)]), True
-            elif sp.is_unknown(i):
-                self.written[i] = UNKNOWN.encode()
             elif sp.is_unused(i):
                 raise ValueError(f"{path} has unused pieces")
-            elif not self.is_control[i]:
+            elif not (sp.is_control(i) or sp.is_unknown(i)):
                 self.ids[piece] = i
-                self.written[i] = piece.replace(SPACE, " ").encode()
-        self.unknown = sp.unk_id()
-        self.spaced = np.array([w.startswith(b" ") for w in self.written]) & ~self.is_byte
-        self.spaced[self.unknown] = False
         # the place of every score among all, best first: equal scores share a place
         self.place = dict(enumerate(np.unique(-scores, return_inverse=True)[1].tolist()))
         self.beside = {a + b for piece in self.ids for a, b in zip(piece, piece[1:])}
         self.pairs = self._pairs()
-        self.known: dict[str, bytes] = {}
-        self.whole: dict[str, bytes] = {}
+        self.cuts, self.words = _Memory(), _Memory()
 
-    def _pairs(self) -> dict[tuple[str, str], tuple[int, str]]:
-        """(place, merged) of every two symbols that may merge: both are pieces or single characters."""
+    def _pairs(self) -> dict[str, dict[str, tuple[int, str]]]:
+        """By left, then right symbol: (place, merged) of every two that may merge; both are pieces or single characters."""
         symbol = lambda s: len(s) == 1 or s in self.ids
-        return {(p[:k], p[k:]): (self.place[i], p) for p, i in self.ids.items() for k in range(1, len(p)) if symbol(p[:k]) and symbol(p[k:])}
+        found: dict[str, dict[str, tuple[int, str]]] = {}
+        for p, i in self.ids.items():
+            for k in range(1, len(p)):
+                if symbol(p[:k]) and symbol(p[k:]):
+                    found.setdefault(p[:k], {})[p[k:]] = (self.place[i], p)
+        return found
 
     def merged(self, cut: str) -> list[str]:
         """The symbols of a cut when no more pairs can merge."""
         symbols: list[str | None] = list(cut)
-        last, pairs = len(symbols), self.pairs
+        last, pairs, nothing = len(symbols), self.pairs, {}
         after, before = list(range(1, last + 1)), list(range(-1, last - 1))
-        agenda = []
-        for i in range(last - 1):
-            found = pairs.get((symbols[i], symbols[i + 1]))
+        agenda, left = [], symbols[0]
+        for i in range(1, last):
+            right = symbols[i]
+            found = pairs.get(left, nothing).get(right)
             if found is not None:
-                agenda.append((found[0], i, found[1]))
-        heapq.heapify(agenda)
+                agenda.append((found[0], i - 1, found[1]))
+            left = right
+        heapify(agenda)
         while agenda:
-            _, i, made = heapq.heappop(agenda)
+            _, i, made = heappop(agenda)
             left = symbols[i]
             if left is None or (j := after[i]) == last or left + symbols[j] != made:
                 continue  # one of the two has merged with another symbol since
@@ -116,45 +135,60 @@ class PieceModel:
             k = after[i] = after[j]
             if k < last:
                 before[k] = i
-                found = pairs.get((made, symbols[k]))
+                found = pairs.get(made, nothing).get(symbols[k])
                 if found is not None:
-                    heapq.heappush(agenda, (found[0], i, found[1]))
-            if (h := before[i]) >= 0:
-                found = pairs.get((symbols[h], made))
+                    heappush(agenda, (found[0], i, found[1]))
+            h = before[i]
+            if h >= 0:
+                found = pairs.get(symbols[h], nothing).get(made)
                 if found is not None:
-                    heapq.heappush(agenda, (found[0], h, found[1]))
+                    heappush(agenda, (found[0], h, found[1]))
         return [s for s in symbols if s is not None]
 
-    def _of(self, symbol: str) -> list[int]:
-        found = self.ids.get(symbol)
-        return [found] if found is not None else [self.bytes[b] for b in symbol.encode()]
+    def _made(self, cut: str) -> bytes:
+        out: list[int] = []
+        ids = self.ids
+        for symbol in self.merged(cut):
+            found = ids.get(symbol)
+            if found is None:
+                out += [self.bytes[b] for b in symbol.encode()]
+            else:
+                out.append(found)
+        return struct.pack(f"<{len(out)}i", *out)
 
     def _cut(self, cut: str) -> bytes:
-        found = self.known.get(cut)
+        """A cut's ids; one that starts with a space sign is remembered as the word behind it."""
+        memory, key = (self.words, cut[1:]) if cut[0] == SPACE else (self.cuts, cut)
+        found = memory.new.get(key) or memory.find(key)
         if found is None:
-            found = np.array([i for s in self.merged(cut) for i in self._of(s)], "<i4").tobytes()
+            found = self._made(cut)
             if len(cut) <= LONGEST:
-                if len(self.known) >= MOST:
-                    self.known.clear()
-                self.known[cut] = found
+                memory.keep(key, found)
         return found
 
     def _run(self, run: str) -> bytes:
         """A run that starts with a space sign: cut where no piece has both characters."""
         beside, start, out = self.beside, 0, []
-        for i in range(1, len(run)):
-            if run[i - 1 : i + 1] not in beside:
+        for i, pair in enumerate(map(str.__add__, run, run[1:]), 1):
+            if pair not in beside:
                 out.append(self._cut(run[start:i]))
                 start = i
         out.append(self._cut(run[start:]))
         return b"".join(out)
 
     def _word(self, word: str) -> bytes:
-        found = self._run(SPACE + word)
-        if len(word) <= LONGEST:
-            if len(self.whole) >= MOST:
-                self.whole.clear()
-            self.whole[word] = found
+        """A word that isn't in the newer memory; one of letters alone is hardly ever cut, so it is merged as it is."""
+        if word.isalpha():
+            return self._cut(SPACE + word)
+        found = self.words.find(word)
+        if found is None:
+            ended = _ENDED.match(word)
+            if ended and ended[1][-1] + ended[2][0] not in self.beside:
+                found = self._cut(SPACE + ended[1]) + self._cut(ended[2])
+            else:
+                found = self._run(SPACE + word)
+            if len(word) <= LONGEST:
+                self.words.keep(word, found)
         return found
 
     def encode(self, text: str, end: bool = True) -> bytes:
@@ -163,52 +197,10 @@ class PieceModel:
         if "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
             out = self._run(SPACE + text.replace(" ", SPACE))
         else:
-            get, slow = self.whole.get, self._word
+            get, slow = self.words.new.get, self._word
             out = b"".join([get(w) or slow(w) for w in text.split(" ")])
         return out + self.end if end else out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Written pieces one after another, without the space that encoding puts first; stray bytes one by one as ``STRAY``."""
-        if not len(ids):
-            return ""
-        if ids.min() < 0:
-            raise IndexError("an id is negative")
-        try:
-            if self.is_control[ids[:-1]].any():  # these end a run of bytes
-                text = self._by_runs(ids)
-            else:
-                text = b"".join(map(self.written.__getitem__, ids.tolist())).decode()
-        except UnicodeDecodeError:
-            text = self._by_runs(ids)
-        return text[1:] if self._starts_spaced(ids) else text
-
-    def _starts_spaced(self, ids: np.ndarray) -> bool:
-        for i in ids.tolist():  # control pieces before the first other one write nothing
-            if self.written[i]:
-                return bool(self.spaced[i])
-        return False
-
-    def _by_runs(self, ids: np.ndarray) -> str:
-        out, held = [], b""
-        for i in [*ids.tolist(), None]:
-            if i is not None and self.is_byte[i]:
-                held += self.written[i]
-                continue
-            while held:
-                for n in (1, 2, 3, 4):
-                    try:
-                        out.append(held[:n].decode())
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                else:
-                    n = 1
-                    out.append(STRAY)
-                held = held[n:]
-            if i is not None:
-                out.append(self.written[i].decode())
-        return "".join(out)
-
 
 def _lists(values: list[bytes | None]) -> pa.Array:
     sizes = np.array([0, *(len(v) // 4 if v is not None else 0 for v in values)], np.int64)
@@ -236,30 +228,24 @@ def encode(docs: DataFrame, *, text: str = "text", into: str = "ids", model: str
                     raise ValueError(f"the library encodes otherwise: {t[:60]!r}")
         return _lists(out)
 
-    return _with(docs, into, F.arrow_udf(encoded, T.ArrayType(T.IntegerType()))(F.col(f"`{text}`")))
+    return _with(docs, into, F.arrow_udf(encoded, T.ArrayType(T.IntegerType())).asNondeterministic()(F.col(f"`{text}`")))
 
 
-def decode(docs: DataFrame, *, ids: str = "ids", into: str = "decoded", model: str | None = None, check: bool = True) -> DataFrame:
-    """``docs`` with ``into``: the text of each list of ids; null for null, empty for an empty list.
+def decode(docs: DataFrame, *, ids: str = "ids", into: str = "decoded", model: str | None = None) -> DataFrame:
+    """``docs`` with ``into``: the text of each list of ids, by the library; null for null, empty for an empty list.
 
-    Control pieces write nothing and bytes that make no character are replaced one
-    by one.  Null elements are an error, as is an id outside the vocabulary or a column named like
-    ``into``.  ``check`` has the library decode every batch too.
+    Null elements are an error, as is an id outside the vocabulary or a column
+    named like ``into``.  Decoding merges nothing, so the library's is taken as it is.
     """
     path = model or model_path()
 
     def decoded(lists: pa.Array) -> pa.Array:
-        own = PieceModel(path)
-        values, ends, valid = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_valid().to_pylist()
-        held = [values[a:b] if ok else None for a, b, ok in zip(ends, ends[1:], valid)]
-        out = [None if v is None else own.decode(v) for v in held]
-        if check:
-            some = [v.tolist() for v in held if v is not None]
-            if some and [t for t in out if t is not None] != own.library.decode(some):
-                raise ValueError("the library decodes otherwise")
-        return pa.array(out, pa.string())
+        flat, ends, valid = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_pylist(), lists.is_valid().to_pylist()
+        held = [flat[a:b] for a, b, ok in zip(ends, ends[1:], valid) if ok]
+        texts = iter(PieceModel(path).library.decode(held) if held else [])
+        return pa.array([next(texts) if ok else None for ok in valid], pa.string())
 
-    return _with(docs, into, F.arrow_udf(decoded, T.StringType())(F.col(f"`{ids}`")))
+    return _with(docs, into, F.arrow_udf(decoded, T.StringType()).asNondeterministic()(F.col(f"`{ids}`")))
 
 
 def _with(docs: DataFrame, into: str, column: Column) -> DataFrame:
