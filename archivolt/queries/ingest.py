@@ -47,6 +47,28 @@ def t1_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources, stated over the driver's tables
 
 
+@registry.add(
+    "with o as (select o_orderkey as k, o_orderdate as d, unnest([0, 1, 2]) as i from orders) select k::varchar as uid, case when i > 0 then strftime(d + to_days(i::int * 7), '%Y-%m-%d %H:%M') end as occurrence, case when i = 2 and k % 2 = 0 then 'moved' else 'series' end as summary, strftime(d + to_days(i::int * 7) + case when i = 2 and k % 2 = 0 then interval 3 hour else interval 0 hour end, '%Y-%m-%d %H:%M') as starts from o"
+)
+def s6_series_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series and two of its occurrences under one uid, the second moved by a later version for every other order."""
+    day = lambda k: F.date_format(F.col("o_orderdate") + F.make_dt_interval(days=F.lit(7 * k)), "yyyyMMdd")
+    event = lambda *parts: F.concat(F.lit("BEGIN:VEVENT\nUID:"), "o_orderkey", *parts, F.lit("\nEND:VEVENT\n"))
+    at = lambda name, k, hour: F.concat(F.lit(f"\n{name}:"), day(k), F.lit(f"T{hour}0000Z"))
+    plain = F.lit("\nSUMMARY:series")
+    moved = event(F.lit("\nSEQUENCE:1\nSUMMARY:moved"), at("RECURRENCE-ID", 2, "00"), at("DTSTART", 2, "03"))
+    text = F.concat(
+        F.lit("BEGIN:VCALENDAR\n"),
+        F.when(F.col("o_orderkey") % 2 == 0, moved).otherwise(""),
+        event(plain, at("DTSTART", 0, "00"), F.lit("\nRRULE:FREQ=WEEKLY")),
+        *[event(plain, at("RECURRENCE-ID", k, "00"), at("DTSTART", k, "00")) for k in (1, 2)],
+        F.lit("END:VCALENDAR\n"),
+    )
+    made = calendar.entries(spark.read.parquet(f"{sf_dir}/orders.parquet").select(text.alias("text")))
+    return made.select("uid", F.date_format("occurrence", "yyyy-MM-dd HH:mm").alias("occurrence"), "summary", F.date_format("starts_at", "yyyy-MM-dd HH:mm").alias("starts"))
+
+
+
 @registry.add(
     "select sha256(concat('From: Ann Lee <ANN', o_custkey, '@X.example>', chr(10), 'To: b@y.example, C <c@z.example>', chr(10), 'Subject: Order ', o_orderkey, chr(10), 'Message-ID: <', o_orderkey, '@x>', chr(10), case when o_orderkey % 3 = 0 then concat('References: <1@x> <2@x>', chr(10)) else '' end, chr(10), o_orderstatus, chr(10))) as sha256,"
     " concat('<', o_orderkey, '@x>') as message_id, concat('Order ', o_orderkey) as subject, 'Ann Lee' as from_name, concat('ann', o_custkey, '@x.example') as from_address, 'to:b@y.example,to:c@z.example' as recipients, case when o_orderkey % 3 = 0 then 2 else 0 end::int as refs, concat(o_orderstatus, chr(10)) as body from orders"

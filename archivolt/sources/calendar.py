@@ -25,8 +25,10 @@ def _time(value: Column, zone: Column) -> Column:
 
 
 def entries(texts: DataFrame, *, text: str = "text") -> DataFrame:
-    """(uid, summary, starts_at, ends_at, all_day, show_as): the events of calendar texts; of one uid the latest version stays.
+    """(uid, occurrence, summary, starts_at, ends_at, all_day, show_as): the events of calendar texts; the latest version of each stays.
 
+    An occurrence of a series shares the series' uid and names its own time
+    (RECURRENCE-ID); ``occurrence`` is that, null for the series and for single events.
     Folded lines are joined first.  An event without a uid or a start is left out;
     one without an end lasts a day if it is of whole days, else no time.
     """
@@ -35,6 +37,7 @@ def entries(texts: DataFrame, *, text: str = "text") -> DataFrame:
     zone = lambda name: F.regexp_extract("b", rf"(?m)^{name};[^:\r\n]*TZID=([A-Za-z_+/-]+)", 1)
     rows = block.select(
         _property(F.col("b"), "UID").alias("uid"),
+        _time(_property(F.col("b"), "RECURRENCE-ID"), zone("RECURRENCE-ID")).alias("occurrence"),
         _text(_property(F.col("b"), "SUMMARY")).alias("summary"),
         _time(_property(F.col("b"), "DTSTART"), zone("DTSTART")).alias("starts_at"),
         _time(_property(F.col("b"), "DTEND"), zone("DTEND")).alias("ends_at"),
@@ -45,8 +48,8 @@ def entries(texts: DataFrame, *, text: str = "text") -> DataFrame:
     ends = F.coalesce("ends_at", F.when(F.col("all_day"), F.col("starts_at") + F.make_dt_interval(days=F.lit(1))).otherwise(F.col("starts_at")))
     rows = rows.withColumn("ends_at", ends)
     names = ["summary", "starts_at", "ends_at", "all_day", "show_as"]
-    newest = rows.groupBy("uid").agg(F.max_by(F.struct(*names), F.struct("__sequence", "starts_at")).alias("e"))
-    return newest.select("uid", "e.*")
+    newest = rows.groupBy("uid", "occurrence").agg(F.max_by(F.struct(*names), F.struct("__sequence", "starts_at")).alias("e"))
+    return newest.select("uid", "occurrence", "e.*")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:

@@ -90,6 +90,13 @@ def test_remembered_tables(spark, tmp_path):
     assert len(asked) == 1
 
 
+def test_occurrences_of_a_series_stay_apart(spark):
+    event = lambda *lines: "BEGIN:VEVENT\r\nUID:s\r\n" + "\r\n".join(lines) + "\r\nEND:VEVENT\r\n"
+    text = event("DTSTART:20240701T100000Z", "SUMMARY:series") + event("RECURRENCE-ID:20240708T100000Z", "DTSTART:20240708T100000Z") + event("RECURRENCE-ID;TZID=Europe/Stockholm:20240715T120000", "DTSTART:20240715T150000Z", "SEQUENCE:2", "SUMMARY:moved") + event("RECURRENCE-ID:20240715T100000Z", "DTSTART:20240715T100000Z")
+    got = {(r["occurrence"] and r["occurrence"].isoformat(), r["summary"]) for r in calendar.entries(spark.createDataFrame([(text,), (text,)], "text string")).collect()}
+    assert got == {(None, "series"), ("2024-07-08T10:00:00", None), ("2024-07-15T10:00:00", "moved")}
+
+
 def test_quotas_give_a_shortfall_to_the_stratum_first():
     shares = {"m": {"big": 2.0, "tail": 1.0}, "p": {"new": 1.0}}
     assert cases.quotas({"big": 100, "tail": 100, "new": 100}, shares, 8) == {"big": 4, "tail": 2, "new": 2}
