@@ -194,7 +194,8 @@ LATIN = "aeopcyxijsdqwABEKMHOPCTXIJSoavptxkiABEZHIKMNOPTYX"
 _UNSEEN, _LOOKS = re.compile(HIDDEN), str.maketrans(LOOK_ALIKE, LATIN)
 
 
-def _normal(text: str) -> str:
+def normal(text: str) -> str:
+    """``normalized`` of one text."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _UNSEEN.sub("", text)).translate(_LOOKS)
     return " ".join(text.lower().split())
@@ -206,10 +207,10 @@ def normalized(text: Column) -> Column:
     Spark has no function for compatibility forms, so this runs in Arrow batches.
     """
 
-    def normal(texts: pd.Series) -> pd.Series:
-        return texts.map(_normal)
+    def all_normal(texts: pd.Series) -> pd.Series:
+        return texts.map(normal)
 
-    return F.pandas_udf(normal, "string").asNondeterministic()(F.coalesce(text, F.lit("")))
+    return F.pandas_udf(all_normal, "string").asNondeterministic()(F.coalesce(text, F.lit("")))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -17,8 +19,8 @@ from archivolt.operators.graph import connected, written
 # Words of a shingle, and the Jaccard similarity of near copies as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
 #: Texts that frequent shingles are counted in, how many of those are told apart, unjoined texts that make a shingle
-#: crowded, bits of a set's parities, remembered words; none of them changes a result.
-SAMPLED, FREQUENT, CROWDED, PARITIES, REMEMBERED = 10_000, 100_000, 64, 512, 400_000
+#: crowded, bits of a set's parities, remembered words, sets held while pairs are compared; none of them changes a result.
+SAMPLED, FREQUENT, CROWDED, PARITIES, REMEMBERED, HELD = 10_000, 100_000, 64, 512, 400_000, 64
 
 
 def exact_copies(samples: DataFrame) -> DataFrame:
@@ -59,6 +61,12 @@ def _shingles(text: str) -> np.ndarray:
     return np.unique(_mixed(made).view(np.int64))
 
 
+@lru_cache(maxsize=HELD)
+def _held(text: str) -> np.ndarray:
+    """The shingles of a text; one that many pairs share is read once."""
+    return _shingles(X.normal(text))
+
+
 def shingle_hashes(norm: Column) -> Column:
     """The set of shingle hashes of a normalised text."""
 
@@ -97,11 +105,11 @@ def _parities(h: np.ndarray) -> bytes:
 
 
 def _outline(shared) -> Column:
-    """Of a normalised text: its digest, the size of its set, the set's prefix, and its parities."""
+    """Of a text: the digest of its normalised form, the size of its set, the set's prefix, and its parities."""
 
     def outlined(texts: pd.Series) -> pd.DataFrame:
         rows = []
-        for t in texts:
+        for t in map(X.normal, texts):
             h = _shingles(t)
             rows.append((hashlib.sha256(t.encode()).digest(), len(h), _in_order(h, *shared.value)[: _prefix(len(h))], _parities(h)))
         return pd.DataFrame(rows, columns=["key", "n", "p", "bits"])
@@ -134,13 +142,24 @@ def _similar(pairs: DataFrame, outlines: DataFrame, texts: DataFrame) -> DataFra
 
     def reach(x: pd.Series, y: pd.Series) -> pd.Series:
         def one(s: str, t: str) -> bool:
-            s, t = _shingles(s), _shingles(t)
+            s, t = _held(s), _held(t)
             common = len(np.intersect1d(s, t, assume_unique=True))
             return common * SIMILAR[1] >= (len(s) + len(t) - common) * SIMILAR[0]
 
         return pd.Series([one(s, t) for s, t in zip(x, y)], index=x.index, dtype=bool)
 
-    return both.where(F.pandas_udf(reach, "boolean").asNondeterministic()(X.normalized(F.col("x")), X.normalized(F.col("y")))).select("a", "b")
+    return both.where(F.pandas_udf(reach, "boolean").asNondeterministic()(F.coalesce("x", F.lit("")), F.coalesce("y", F.lit("")))).select("a", "b")
+
+
+def _in_batches(spark: SparkSession, rows: int, work: Callable[[], DataFrame]) -> DataFrame:
+    """``work``, which writes what it computes, with Arrow batches of so many rows: texts can be long.  The setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        return work()
+    finally:
+        spark.conf.set(name, before)
 
 
 def near_copies(samples: DataFrame) -> DataFrame:
@@ -155,10 +174,13 @@ def near_copies(samples: DataFrame) -> DataFrame:
     share go to the end of the order, with all that are as frequent in the same texts,
     and only texts that have such in their prefixes get new ones, until none is left.
     """
-    texts = samples.select("id", "text")
+    return _in_batches(samples.sparkSession, 500, lambda: _near_copies(samples.select("id", "text")))
+
+
+def _near_copies(texts: DataFrame) -> DataFrame:
     keys, counts = _frequent(texts)
-    shared = samples.sparkSession.sparkContext.broadcast((keys, counts))  # at most FREQUENT pairs of 64-bit numbers
-    outline = texts.select("id", _outline(shared)(X.normalized(F.col("text"))).alias("o")).select("id", "o.*")
+    shared = texts.sparkSession.sparkContext.broadcast((keys, counts))  # at most FREQUENT pairs of 64-bit numbers
+    outline = texts.select("id", _outline(shared)(F.coalesce("text", F.lit(""))).alias("o")).select("id", "o.*")
     whole = written(outline, "outlines")
     classes = whole.groupBy("key").agg(F.min("id").alias("id"))
     outlines = whole.join(classes.select("id"), "id", "left_semi")
