@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from archivolt.functions import text as X
-from archivolt.operators.graph import connected, written
+from archivolt.operators.graph import connected, removed, written
 
 # Words of a shingle, and the Jaccard similarity of near copies as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
@@ -148,7 +148,10 @@ def _similar(pairs: DataFrame, outlines: DataFrame, texts: DataFrame) -> DataFra
 
         return pd.Series([one(s, t) for s, t in zip(x, y)], index=x.index, dtype=bool)
 
-    return both.where(F.pandas_udf(reach, "boolean").asNondeterministic()(F.coalesce("x", F.lit("")), F.coalesce("y", F.lit("")))).select("a", "b")
+    met = both.where(F.pandas_udf(reach, "boolean").asNondeterministic()(F.coalesce("x", F.lit("")), F.coalesce("y", F.lit("")))).select("a", "b")
+    kept = written(met, "links")
+    removed(left)
+    return kept
 
 
 def _in_batches(spark: SparkSession, rows: int, work: Callable[[], DataFrame]) -> DataFrame:
@@ -190,7 +193,7 @@ def _near_copies(texts: DataFrame) -> DataFrame:
 
     heads = prefixes.groupBy("h").agg(F.min(F.struct("id", "n", "i")).alias("head")).select("h", "head.*").toDF("h", "a", "m", "j")
     first = prefixes.join(heads, "h").where((F.col("a") < F.col("id")) & _may("n", "m", "i", "j")).select("a", F.col("id").alias("b")).distinct()
-    links = written(_similar(first, outlines, texts), "links")
+    links = _similar(first, outlines, texts)
     root = connected(links)
 
     late = None
@@ -207,16 +210,19 @@ def _near_copies(texts: DataFrame) -> DataFrame:
         met = prefixes.join(crowded, "h", "left_semi").select("id").distinct()
         hashes = texts.join(met, "id", "left_semi").select(F.explode(shingle_hashes(X.normalized(F.col("text")))).alias("h"))
         frequent = hashes.groupBy("h").count().where(F.col("count") > CROWDED).select("h")
-        late = written(frequent if late is None else frequent.unionByName(late).distinct(), "late")
+        earlier, late = late, written(frequent if late is None else frequent.unionByName(late).distinct(), "late")
         touched = written(every.join(late, "h", "left_semi").select("id").distinct(), "touched")
         again = written(_later(texts.join(touched, "id", "left_semi"), late, shared), "again")
         others = every.join(touched, "id", "left_anti")
         rest = others.join(prefixes.select("h").unionByName(again.select("h")).distinct(), "h", "left_semi")
-        prefixes = written(rest.unionByName(again), "prefixes")
+        before, prefixes = prefixes, written(rest.unionByName(again), "prefixes")
+        removed(before, again, touched, crowded, *([] if earlier is None else [earlier]))
     mine = written(rooted.join(meeting.select("h"), "h"), "meeting")
     other = mine.select("h", F.col("id").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("top"))
     pairs = mine.join(other, "h").where((F.col("a") < F.col("id")) & (F.col("root") != F.col("top")) & _may("n", "m", "i", "j")).select("a", F.col("id").alias("b")).distinct()
-    root = connected(links.unionByName(_similar(pairs, outlines, texts)))
+    found = _similar(pairs, outlines, texts)
+    root = connected(links.unionByName(found))
+    removed(mine, prefixes)
     named = classes.join(root, "id", "left").select("key", F.coalesce("root", "id").alias("dup_of"))
     return whole.select("id", "key").join(named, "key").where("dup_of < id").select("id", "dup_of")
 

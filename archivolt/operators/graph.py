@@ -18,7 +18,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.written_to = path
+    return made
+
+
+def removed(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def _too_deep(most_depth: int) -> RecursionError:
@@ -88,15 +98,17 @@ def connected(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """
     both = edges.where("a is not null and b is not null").select("a", "b")
     both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    root = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "roots")
+    held = root = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "roots")
     for _ in range(most_rounds):
         near = both.join(root.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         lower = root.join(near, "id").select("id", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         above = lower.select(F.col("id").alias("root"), F.col("root").alias("top"))
         new = written(lower.join(above, "root", "left").select("id", F.coalesce(F.least("root", "top"), "root").alias("root"), "was"), "roots")
         changed = not new.where("root <> was").isEmpty()
-        root = new.select("id", "root")
+        removed(held)
+        held, root = new, new.select("id", "root")
         if not changed:
+            removed(both)
             return root
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
