@@ -47,6 +47,30 @@ def backup(tables: dict[str, DataFrame], folder: str, stamp: str) -> None:
         rows.write.mode("errorifexists").option("compression", "gzip").json(f"{folder.rstrip('/')}/{stamp}/{name}")
 
 
+# Days that a backup is kept, and how many are kept whatever their age.
+KEPT_DAYS, KEPT_LEAST = 14, 3
+
+
+def retained(backups: DataFrame, key: str, day: str, *, now: str) -> DataFrame:
+    """``backups`` (key, day) with ``kept``: not older than ``KEPT_DAYS``, or one of the newest ``KEPT_LEAST`` of its key; a null day is as old as can be."""
+    newest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(day)))
+    young = F.coalesce(F.col(day) >= F.date_sub(F.lit(now).cast("date"), KEPT_DAYS), F.lit(False))
+    return backups.distinct().withColumn("__newest", newest).withColumn("kept", young | (F.col("__newest") <= KEPT_LEAST)).drop("__newest")
+
+
+def prune(spark: SparkSession, folder: str, *, now: str) -> list[str]:
+    """Remove the backups of a folder, named by their days (yyyymmdd), that ``retained`` doesn't keep; their names."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(place)]  # a name a day
+    rows = spark.createDataFrame([(0, n) for n in names], "folder int, name string").withColumn("day", F.to_date("name", "yyyyMMdd"))
+    gone = sorted(r["name"] for r in retained(rows, "folder", "day", now=now).where("not kept").collect())
+    for name in gone:
+        files.delete(jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}"), True)
+    return gone
+
+
 def fingerprint(rows: DataFrame) -> str:
     """A digest of a table's rows whatever their order: count, sum and xor of row hashes, in one pass."""
     h = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,16 +39,22 @@ def f19_condition_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(name, C.problem(rows, asked) is not None) for name, asked, _ in _ASKED], "name string, refused boolean")
 
 
-_TOLD = [
-    ({"field": "account", "in": ["acc0", "acc2"]}, "account in acc0, acc2"),
-    ({"all": [{"field": "list_id", "set": True}, {"any": [{"use": "old"}, {"field": "age", "lt": 30}]}]}, "(list_id set True and (as in old or age lt 30))"),
-    ({"field": "from_name", "prefix": ["User"], "else": {"field": "machine", "is": True}}, "from_name prefix User, or without it machine is True"),
-]
+#: A condition for every customer, as it is stored, and what it says in words.
+_STORED = (
+    "case c_custkey % 4 when 0 then concat('{\"field\": \"account\", \"in\": [\"acc', c_nationkey, '\", \"', c_mktsegment, '\"]}')"
+    " when 1 then concat('{\"all\": [{\"field\": \"list_id\", \"set\": true}, {\"any\": [{\"use\": \"old\"}, {\"field\": \"age\", \"lt\": ', c_custkey, '}]}]}')"
+    " when 2 then concat('{\"field\": \"from_name\", \"prefix\": [\"', c_mktsegment, '\"], \"else\": {\"field\": \"machine\", \"is\": true}}') else '{\"any\": []}' end"
+)
 
 
-@registry.add("select * from (values " + ", ".join(f"({i}, '{said}')" for i, (_, said) in enumerate(_TOLD)) + ") v(id, words)")
+@registry.add(
+    "select c_custkey as id, case c_custkey % 4 when 0 then concat('account in acc', c_nationkey, ', ', c_mktsegment) when 1 then concat('(list_id set True and (as in old or age lt ', c_custkey, '))')"
+    " when 2 then concat('from_name prefix ', c_mktsegment, ', or without it machine is True') else 'never' end as words from customer"
+)
 def f26_conditions_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(i, C.in_words(condition)) for i, (condition, _) in enumerate(_TOLD)], "id int, words string")
+    """The stored condition of every customer as a sentence."""
+    told = F.pandas_udf(lambda c: c.map(lambda text: C.in_words(json.loads(text))), "string")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), told(F.expr(_STORED)).alias("words"))
 
 
 @registry.add(f"select id from ({IMPORTANCE}) where level in ('high', 'medium')")

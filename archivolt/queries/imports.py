@@ -130,13 +130,15 @@ def m5_status_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", imports.next_status(F.col("status"), verdict, F.col("id") % 7 == 0).alias("status"))
 
 
-@registry.add("select 'nation' as name, count(*)::bigint as n from nation union all select 'orders', count(*) from orders where o_orderstatus = 'P'")
+_TABLES = ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
+
+
+@registry.add(" union all ".join(f"select '{t}' as name, count(*)::bigint as n from {t}" for t in _TABLES))
 def k1_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tables written under a folder of their own and read back."""
+    """Eight whole tables written under a folder of their own and read back."""
     folder = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
-    tables = {"nation": spark.read.parquet(f"{sf_dir}/nation.parquet"), "orders": _orders(spark, sf_dir).where("o_orderstatus = 'P'")}
-    export.snapshot(tables, folder, "20240101T000000")
-    counted = [spark.read.parquet(f"{folder}/20240101T000000/{n}").agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in sorted(tables)]
+    export.snapshot({name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in _TABLES}, folder, "20240101T000000")
+    counted = [spark.read.parquet(f"{folder}/20240101T000000/{n}").agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in _TABLES]
     return merge.union_all(counted)
 
 
@@ -149,6 +151,15 @@ def k4_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).json(f"{folder}/20240101/orders")
 
 
+@registry.add(
+    "with d as (select distinct o_custkey as account, o_orderdate::date as day from orders) select account, day, day >= date '2001-07-01' - 14 or row_number() over (partition by account order by day desc) <= 3 as kept from d"
+)
+def k4_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which daily backups of every customer stay: two weeks, and the newest three."""
+    days = _orders(spark, sf_dir).select(F.col("o_custkey").alias("account"), F.to_date("o_orderdate").alias("day"))
+    return export.retained(days, "account", "day", now="2001-07-01")
+
+
 @registry.add("select sha256(text) as sha256, count(*)::bigint as copies, length(text)::bigint as chars from documents where text is not null group by 1, 3")
 def k5_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Originals put into a vault twice, and read back by their digests."""
