@@ -37,8 +37,8 @@ RISK, ERROR = 0.02, 0.05
 LEAST_PRECISION = 0.9
 #: Steps of a stratum's sequence, at most (the grids have no more).
 MOST_STEPS = 40
-#: Strata with rules of their own: the languages with most labelled rows; all others share one.
-MOST_STRATA = 50
+#: Strata with labels enough for rules of their own; more are an error, none is left out.
+MOST_STRATA = 2000
 OTHER = "*"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -256,10 +256,12 @@ def cutoffs(measured: DataFrame, labels: DataFrame, *, risk: float = RISK, error
     levels = [f"r{i}" for i in range(len(found))]
     cells = rows.select(F.coalesce("stratum", F.lit("")).alias("stratum"), (F.col("quality") > 0).alias("good"), orders.alias("orders"), *exceeded)
     counts = cells.groupBy("stratum", "good", "orders", *levels).agg(F.count("*").alias("n"))
-    # so many good rows without a false rejection bound the risk of one stratum among all that may have rules
-    enough = ceil(log(error / (MOST_STRATA + 1)) / log1p(-risk))
-    sizes = counts.where("good and not orders").groupBy("stratum").agg(F.sum("n").alias("n")).where(F.col("n") >= enough).orderBy(F.desc("n"), "stratum").limit(MOST_STRATA).collect()
-    strata = [r["stratum"] for r in sizes]
+    # so many good rows without a false rejection bound the risk of one stratum among so many that may have rules
+    enough = lambda strata: ceil(log(error / strata) / log1p(-risk))
+    sizes = counts.where("good and not orders").groupBy("stratum").agg(F.sum("n").alias("n")).where(F.col("n") >= enough(1)).limit(MOST_STRATA + 1).collect()
+    if len(sizes) > MOST_STRATA:
+        raise ValueError(f"more than {MOST_STRATA} strata have labels enough for rules of their own")
+    strata = sorted(r["stratum"] for r in sizes if r["n"] >= enough(len(sizes) + 1))  # and all others, as one
     merged = counts.groupBy(_stratum(strata).alias("stratum"), "good", "orders", *levels).agg(F.sum("n").alias("n")).collect()  # cells of the grids for each stratum, at most
     table: dict[tuple[str, bool], list[tuple[tuple[int, ...], bool, int]]] = {}
     for r in merged:
