@@ -387,6 +387,7 @@ def extract(pages: DataFrame, *, html: str = "html", into: str = "text") -> Data
 
     Null, empty and textless pages give an empty text.  Every row is read whole
     and on its own; equal rows give equal texts.
+    An empty table stays empty; a column that is already named like ``into`` is replaced.
     """
     return small_batches(pages).withColumn(into, F.pandas_udf(_texts, "string").asNondeterministic()(F.col(f"`{html}`")))
 

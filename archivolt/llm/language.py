@@ -229,6 +229,7 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text", into:
     Texts that are null or have no letter are ``und``, score 0, rejected; so is
     every text where there was nothing to learn from.  Equal similarities go to
     the first language by name.  Only the text is read for a prediction.
+    An empty table stays empty; a column that is already named like ``into`` is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # centroids of MOST_LANGUAGES languages at most
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

@@ -266,6 +266,7 @@ def find_licenses(docs: DataFrame, *, text: str = "text", into: str = "licenses"
     Of equal scores the earliest line wins, then paragraphs, then the whole text,
     then the earliest run of words.
     Null and empty texts have none; lines count from 0.
+    An empty table stays empty; a column that is already named like ``into`` is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index(templates, threshold))
 

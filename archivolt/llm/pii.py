@@ -163,6 +163,7 @@ def find_pii(docs: DataFrame, *, text: str = "text", into: str = "pii") -> DataF
     Positions are code points, ends exclusive.  Null and empty texts have no
     spans; kinds are searched apart, so spans of different kinds may overlap; a
     base span is kept whatever its score, an added one needs ``LEAST_SCORE``.
+    An empty table stays empty; a column that is already named like ``into`` is replaced.
     """
     held = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     return docs.withColumn(into, let(held, lambda t: F.concat(*[_spans(t, k) for k in KINDS])))

@@ -104,6 +104,7 @@ def measure(docs: DataFrame, *, text: str = "text", into: str = "quality") -> Da
 
     Words are runs of anything but ASCII white space; lines are what \\n parts
     and have a word.  Null and empty texts measure zero throughout.
+    An empty table stays empty; a column that is already named like ``into`` is replaced.
     """
     held = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 

@@ -344,6 +344,7 @@ def find_secrets(docs: DataFrame, automata: list[Automaton] | None = None, *, te
     spans; kinds are searched apart and may overlap; equal rows are judged alike.
     A base span that holds no part of a learned format has score 0.  Without
     ``automata`` those of the published shapes are learned.
+    An empty table stays empty; a column that is already named like ``into`` is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Scanner(learn(labelled()) if automata is None else automata))
 

@@ -63,7 +63,10 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
-    """``docs`` and the fingerprint as a signed long; null and empty texts have zero."""
+    """``docs`` and the fingerprint as a signed long; null and empty texts have zero.
+
+    An empty table stays empty; a column that is already named like ``into`` is replaced.
+    """
     return small_batches(docs).withColumn(into, F.pandas_udf(_fingerprints, "long").asNondeterministic()(F.col(f"`{text}`")))
 
 
