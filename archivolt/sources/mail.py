@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from email import message_from_bytes, policy
+from email.utils import getaddresses, parseaddr, parsedate_to_datetime
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,10 @@ SCHEMA = (
     "sha256 string, path string, message_id string, in_reply_to string, refs array<string>, subject string, from_name string, from_address string, "
     "recipients array<struct<role:string,name:string,address:string,ordinal:int>>, sent_at timestamp, body string, html string, attachments array<struct<name:string,type:string,size:long>>, error string"
 )
+_RECIPIENT = pa.struct([("role", pa.string()), ("name", pa.string()), ("address", pa.string()), ("ordinal", pa.int32())])
+_ATTACHMENT = pa.struct([("name", pa.string()), ("type", pa.string()), ("size", pa.int64())])
+_KINDS = {"refs": pa.list_(pa.string()), "recipients": pa.list_(_RECIPIENT), "sent_at": pa.timestamp("us", tz="UTC"), "attachments": pa.list_(_ATTACHMENT)}
+_ARROW = pa.schema([(n, _KINDS.get(n, pa.string())) for n in "sha256 path message_id in_reply_to refs subject from_name from_address recipients sent_at body html attachments error".split()])
 #: Dates outside these years are taken as missing.
 YEARS = range(1990, 2101)
 
@@ -29,6 +37,44 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("sha256").agg(F.min_by(F.struct("path", "raw"), "path").alias("f")).select("sha256", "f.path", "f.raw")
 
 
+#: Headers without a grammar, and those of addresses.  Values of these shapes mean what they say, so the library's
+#: parser, which takes longer than all else, reads the others; possessive, so none is walked twice.
+UNSTRUCTURED, ADDRESSED = ("subject", "references", "in-reply-to", "date"), ("from", "to", "cc", "bcc")
+_ATOM = "[A-Za-z0-9_+-]++"
+_ADDRESS = rf"{_ATOM}(?:\.{_ATOM})*+@{_ATOM}(?:\.{_ATOM})*+"
+_PERSON = rf"(?:(?:({_ATOM}(?: {_ATOM})*+) )?<({_ADDRESS})>|({_ADDRESS}))"
+_PLAIN, _PERSON_OF, _ID = re.compile(r"(?:[!-<>-~]|=(?!\?)| (?! ))*+"), re.compile(_PERSON), re.compile(f"<{_ADDRESS}>")
+_PEOPLE = re.compile(f"{_PERSON}(?:, {_PERSON})*+")
+_BREAKS = re.compile(r"\r\n|\r|\n")
+
+
+@lru_cache(maxsize=2000)
+def _header(name: str, value: str):
+    """A header as the library parses it; a parse takes some 20 kB, and most values come again."""
+    return policy.default.header_factory(name, value)
+
+
+class _Remembering(policy.EmailPolicy):
+    """The default policy, but for headers that needn't be parsed or were."""
+
+    def header_fetch_parse(self, name, value):
+        if hasattr(value, "name"):
+            return value
+        value, kind = "".join(_BREAKS.split(value)), name.lower()
+        plain = _PLAIN if kind in UNSTRUCTURED else _PEOPLE if kind in ADDRESSED else _ID if kind == "message-id" else None
+        return value if plain and plain.fullmatch(value) else _header(name, value)
+
+
+_POLICY = _Remembering()
+
+
+def _people(values: list[str]) -> list[tuple[str, str]]:
+    """(name, address) of the values of one header."""
+    if all(map(_PEOPLE.fullmatch, values)):
+        return [(name, address or bare) for value in values for name, address, bare in _PERSON_OF.findall(value)]
+    return getaddresses(values)
+
+
 def _text(part) -> str:
     try:
         return part.get_content()
@@ -38,18 +84,16 @@ def _text(part) -> str:
 
 def parse(raw: bytes) -> dict:
     """One message as a dictionary of the schema's columns (but for its key)."""
-    from email import message_from_bytes, policy
-    from email.utils import getaddresses, parseaddr, parsedate_to_datetime
-
     out: dict = {"refs": [], "recipients": [], "attachments": [], "error": None}
     try:
-        m = message_from_bytes(raw, policy=policy.default)
+        m = message_from_bytes(raw, policy=_POLICY)
         text = lambda name: str(m.get(name, "") or "").strip() or None
         out |= {"message_id": text("Message-ID"), "in_reply_to": text("In-Reply-To"), "subject": text("Subject"), "refs": (text("References") or "").split()}
-        name, address = parseaddr(text("From") or "")
-        out |= {"from_name": name or None, "from_address": address.lower() or None}
+        sender = text("From") or ""
+        (name, address), *more = _people([sender]) if _PEOPLE.fullmatch(sender) else [parseaddr(sender)]
+        out |= {"from_name": name or None, "from_address": address.lower() or None} if not more else {"from_name": None, "from_address": None}
         for role in ("to", "cc", "bcc"):
-            found = getaddresses([str(v) for v in m.get_all(role, [])])
+            found = _people([str(v) for v in m.get_all(role, [])])
             out["recipients"] += [{"role": role, "name": n or None, "address": a.lower(), "ordinal": i} for i, (n, a) in enumerate(found) if a]
         try:
             at = parsedate_to_datetime(text("Date") or "")
@@ -74,16 +118,13 @@ def parse(raw: bytes) -> dict:
 
 def parsed(raws: DataFrame) -> DataFrame:
     """``scan``'s rows parsed; rows with ``error`` belong in quarantine, those without content among them."""
-    names = [c.split()[0] for c in "sha256 path message_id in_reply_to refs subject from_name from_address recipients sent_at body html attachments error".split()]
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"sha256": s, "path": p, **(parse(bytes(r)) if r is not None else {"error": "no content"})} for s, p, r in zip(batch["sha256"], batch["path"], batch["raw"], strict=True)]
-            frame = pd.DataFrame(rows, columns=names)
-            frame["sent_at"] = pd.to_datetime(frame["sent_at"], utc=True)
-            yield frame.astype({n: object for n in names if n != "sent_at"}).where(lambda f: f.notna(), None) if len(frame) else frame
+            rows = batch.to_pylist()
+            yield pa.RecordBatch.from_pylist([{"sha256": r["sha256"], "path": r["path"], **(parse(r["raw"]) if r["raw"] is not None else {"error": "no content"})} for r in rows], schema=_ARROW)
 
-    return raws.mapInPandas(work, SCHEMA)
+    return raws.select("sha256", "path", "raw").mapInArrow(work, SCHEMA)
 
 
 def split_quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
