@@ -8,9 +8,10 @@ stems in a row, the only thing that leaves the Arrow pass over the texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,11 @@ BASEL = 1.64493406685
 #: Hits of a stem that a rank reads; later ones add less than a thousandth.
 RANKED = 256
 HIT = "array<struct<lexeme:string,at:int,field:int>>"
+#: Rows whose hits are held at once by a worker, whatever the size of an Arrow batch.
+HELD = 200
 _WORD = re.compile(r"[^\W_]+")
+#: A word's stem where it is stated, or None, which leaves it to the language.
+Dictionary = Callable[[str], str | None]
 
 
 @dataclass(frozen=True)
@@ -40,19 +45,34 @@ class Phrase:
 Query = tuple[tuple[Phrase, ...], ...]
 
 
-def parse(text: str, language: str) -> Query:
+def _stemmer(language: str, dictionary: Dictionary | None) -> Callable[[str], str]:
+    """The language's stop words first, then the dictionary, then the language's stems; remembered by word."""
+    stem = STEMMERS[language]
+    if dictionary is None:
+        return stem
+
+    @lru_cache(maxsize=200_000)
+    def chained(word: str) -> str:
+        by_rule = stem(word)
+        stated = dictionary(word) if by_rule else None
+        return by_rule if stated is None else stated
+
+    return chained
+
+
+def parse(text: str, language: str, dictionary: Dictionary | None = None) -> Query:
     """Words and quoted phrases have to hold together; ``or`` parts alternatives, ``-`` excludes what follows it.
 
     Stop words ask for nothing, inside a phrase they keep their place; a word with
     signs in it is a phrase of its parts; other signs are passed over; an unclosed
     quote ends with the text.  A query without words finds nothing.
     """
-    alternatives: list[list[Phrase]] = [[]]
+    alternatives, stem = [[]], _stemmer(language, dictionary)
     for minus, quoted, plain in re.findall(r'(-?)(?:"([^"]*)"?|([^\s"]+))', text):
         if plain.lower() == "or" and not minus:
             alternatives.append([])
             continue
-        stems = [STEMMERS[language](w) for w in _WORD.findall((quoted or plain).lower())]
+        stems = [stem(w) for w in _WORD.findall((quoted or plain).lower())]
         places = [i for i, s in enumerate(stems) if s]
         if places:
             alternatives[-1].append(Phrase(tuple((stems[i], i - places[0]) for i in places), bool(minus)))
@@ -64,24 +84,32 @@ def lexemes(query: Query) -> list[str]:
     return sorted({word for alternative in query for phrase in alternative for word, _ in phrase.words})
 
 
-def hits(fields: list[tuple[Column, str]], wanted: list[str]) -> Column:
+def hits(fields: list[tuple[Column, str]], wanted: list[str], dictionary: Dictionary | None = None) -> Column:
     """Where the wanted stems stand: (lexeme, at, field), in order; ``at`` counts words over all fields.
 
     ``fields`` are (text, language).  A field starts behind the one before it, a
     word further, so no phrase crosses; null texts hold no words; texts are read whole.
+    Words whose stem is stated otherwise go by the dictionary, as they do in ``parse``.
     """
     languages, asked = [language for _, language in fields], frozenset(wanted)
 
-    def found(*texts: pd.Series) -> pd.Series:
-        out = []
-        for row in zip(*texts):
-            places, start = [], 0
-            for field, (text, language) in enumerate(zip(row, languages)):
-                stem, words = STEMMERS[language], _WORD.findall((text or "").lower())
-                places += [{"lexeme": s, "at": start + i, "field": field} for i, s in enumerate(map(stem, words)) if s in asked]
-                start += len(words) + 1
-            out.append(places)
-        return pd.Series(out, index=texts[0].index, dtype=object)
+    def found(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        stemmers = [_stemmer(language, dictionary) for language in languages]
+        for batch in batches:
+            texts = batch if isinstance(batch, tuple) else (batch,)  # one column comes by itself
+            rows = zip(*texts)
+            while held := list(islice(rows, HELD)):
+                out = []
+                for row in held:
+                    places, start = [], 0
+                    for field, (text, stem) in enumerate(zip(row, stemmers)):
+                        words = _WORD.findall((text or "").lower())
+                        places += [{"lexeme": s, "at": start + i, "field": field} for i, s in enumerate(map(stem, words)) if s in asked]
+                        start += len(words) + 1
+                    out.append(places)
+                yield pd.Series(out, dtype=object)
+            if not len(texts[0]):
+                yield pd.Series([], dtype=object)
 
     return F.pandas_udf(found, HIT).asNondeterministic()(*[text for text, _ in fields])
 
