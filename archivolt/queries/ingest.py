@@ -201,10 +201,12 @@ _PARTS = (
     f"{_PARTS} select event_id, user_id, first_value(event_id) over w::varchar as window, ((row_number() over w - 1) // 3)::bigint as part from n window w as (partition by user_id, k order by ts, event_id)"
 )
 def t3_windows_in_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of two hours in parts of at most three events, from a stream that is drained three times as ten days arrive."""
+    """Sessions of two hours in parts of at most three events, from a stream that is drained three times as thirds of the time arrive."""
     base = f"{shared_dir(spark)}/capped-{uuid.uuid4().hex}"
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    third = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
+    bounds = events.agg(F.unix_micros(F.min("ts")).alias("first"), F.unix_micros(F.max("ts")).alias("last")).first()
+    # by the whole time, not by days of a month: rows that come behind a later third would be late, and late rows are dropped
+    third = F.least(F.floor((F.unix_micros("ts") - F.lit(bounds["first"] or 0)) * 3 / F.lit((bounds["last"] or 0) - (bounds["first"] or 0) + 1)), F.lit(2))
     for arrived in range(3):
         events.where(third == arrived).write.mode("append").parquet(f"{base}/in")
         stream = jobs.event_stream(spark, f"{base}/in", events.schema, files=1_000_000)

@@ -22,8 +22,13 @@ def _stateful(rows: DataFrame, key: str, processor: StatefulProcessor, schema: s
     return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
+def _micros(at: pd.Series) -> list[int]:
+    """Microseconds, all that a timestamp holds: a float of seconds isn't exact, and rows of one millisecond have an order."""
+    return pd.to_datetime(at).astype("datetime64[us]").astype("int64").to_list()
+
+
 def _millis(at: pd.Series) -> list[int]:
-    return [int(x.timestamp() * 1000) for x in at]
+    return [x // 1000 for x in _micros(at)]
 
 
 class _Timed(StatefulProcessor):
@@ -51,11 +56,11 @@ class CappedWindows(_Timed):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         batch = pd.concat(list(rows))
-        batch = batch.assign(__at=_millis(batch[self.at])).sort_values(["__at", self.id])
+        batch = batch.assign(__at=_micros(batch[self.at])).sort_values(["__at", self.id])
         last, part, first, size = self.value.get() if self.value.exists() else (None, 0, "", 0)
         windows, parts = [], []
         for at, id_ in zip(batch["__at"], batch[self.id]):
-            if last is None or at - last > self.gap:
+            if last is None or at // 1000 - last // 1000 > self.gap:
                 part, first, size = 0, str(id_), 0
             elif size == self.cap:
                 part, size = part + 1, 0
@@ -63,7 +68,7 @@ class CappedWindows(_Timed):
             windows.append(first)
             parts.append(part)
         self.value.update((last, part, first, size))
-        self.alarm(last + self.gap + 1, timerValues.getCurrentWatermarkInMs())
+        self.alarm(last // 1000 + self.gap + 1, timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame({self.key: key[0], self.id: batch[self.id].to_list(), "window": windows, "part": parts})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802

@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from archivolt.operators import graph
+from archivolt.queries import ingest
 from archivolt.streaming import jobs
 
 MESSAGES = "id long, account string, message_id string, provider string, refs array<string>, received_at timestamp, arrived long"
@@ -93,3 +95,16 @@ def test_silent_services_over_three_files(spark, tmp_path):
     got = drained(spark, tmp_path, "silent", [rows[:3], rows[3:4], rows[4:]], make, "service string, ts timestamp")
     # a and b are down by the second file's mark at the latest, c is down when the last ends; d checks in again
     assert {(s, status) for s, _, status in got if status == "down"} == {("a", "down"), ("b", "down"), ("c", "down")}
+
+
+@pytest.mark.parametrize("shift", ["interval 31 day", "interval '-3 microsecond'", "interval 0 second"])
+def test_windows_in_state_over_months_and_microseconds(spark, tmp_path, shift):
+    """Rows of a second month came late and were dropped; rows of one millisecond went by id, not by time."""
+    con = duckdb.connect()
+    source = "(select * from '/root/testdata/sf0.001/events.parquet'), range(3) r(i)"
+    con.execute(f"copy (select event_id + i * 1000000 as event_id, (ts + i * {shift})::timestamp as ts, user_id, event_type, value, props from {source}) to '{tmp_path}/events.parquet'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = con.execute(ingest.registry.oracles["t3_windows_in_state"])
+    columns = [d[0] for d in want.description]
+    got = ingest.registry.queries["t3_windows_in_state"](spark, str(tmp_path)).select(*columns)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
