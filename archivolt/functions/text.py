@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column
@@ -255,13 +256,15 @@ def strip_quotes(text: Column) -> Column:
 
 def masked_urls(text: Column) -> Column:
     """Addresses keep their scheme and host, not their path, query or fragment."""
-    return F.regexp_replace(text, r"""(?i)\b((?:https?|ftp)://|www\.)([a-z0-9.-]+(?::[0-9]+)?)(?:/[^\s<>"')\]]+|[?#][^\s<>"')\]]*)""", "$1$2/…")
+    # a look ahead at the first character costs less at every place than a boundary or a look behind, so it goes first, here and in ``masked``
+    return F.regexp_replace(text, r"""(?i)(?=[hfw])\b((?:https?|ftp)://|www\.)([a-z0-9.-]+(?::[0-9]+)?)(?:/[^\s<>"')\]]+|[?#][^\s<>"')\]]*)""", "$1$2/…")
 
 
 def replaced(text: Column, pattern: str, instead: Callable[[Column], Column]) -> Column:
-    """The text with each match of the pattern as ``instead`` gives it, by one walk over the text."""
+    """The text with each match of the pattern as ``instead`` gives it; a text without matches is only searched."""
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    return F.array_join(F.transform(parts, lambda x: F.when(x["hit"].isNull(), x["gap"]).otherwise(F.concat(x["gap"], instead(x["hit"])))), "")
+    made = F.array_join(F.transform(parts, lambda x: F.when(x["hit"].isNull(), x["gap"]).otherwise(F.concat(x["gap"], instead(x["hit"])))), "")
+    return F.when(F.rlike(text, F.lit(pattern)), made).otherwise(text)
 
 
 def _bare(found: Column) -> Column:
@@ -292,21 +295,26 @@ def masked(text: Column) -> Column:
     digits); what fails its check stays.
     """
     kinds = (
-        (r"(?U)\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", _iban, "[iban]"),
-        (r"(?<![0-9-])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9-])", lambda m: F.call_function("luhn_check", _bare(m)), "[card]"),
-        (r"(?<![0-9-])(?:19|20)?[0-9]{6}[-+]?[0-9]{4}(?![0-9-])", _personal_id, "[personnummer]"),
+        (r"(?U)(?=[A-Z][A-Z][0-9])\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", _iban, "[iban]"),
+        (r"(?=[0-9])(?<![0-9-])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9-])", lambda m: F.call_function("luhn_check", _bare(m)), "[card]"),
+        (r"(?=[0-9])(?<![0-9-])(?:19|20)?[0-9]{6}[-+]?[0-9]{4}(?![0-9-])", _personal_id, "[personnummer]"),
         (
-            r"(?U)(?<![\w./:+-])(?:(?:\+|00)[0-9]{1,3}[\x20-]?(?:\(0\)[\x20-]?)?[0-9]{1,4}(?:[\x20-]?[0-9]{2,4}){1,4}|0[0-9]{1,3}[\x20/-]?[0-9]{2,4}(?:[\x20-]?[0-9]{2,4}){0,3})(?![\w./:+-])",
+            r"(?U)(?=[+0])(?<![\w./:+-])(?:(?:\+|00)[0-9]{1,3}[\x20-]?(?:\(0\)[\x20-]?)?[0-9]{1,4}(?:[\x20-]?[0-9]{2,4}){1,4}|0[0-9]{1,3}[\x20/-]?[0-9]{2,4}(?:[\x20-]?[0-9]{2,4}){0,3})(?![\w./:+-])",
             lambda m: F.length(_bare(m)).between(7, 15),
             "[phone]",
         ),
     )
     out = masked_urls(F.coalesce(text, F.lit("")))
     for pattern, holds, name in kinds:
-        out = replaced(out, pattern, _kept_unless(holds, name))
+        step = partial(_step, pattern, _kept_unless(holds, name))
+        out = let(out, lambda text: step(text))  # noqa: B023, PLW0108  # read at once; each step's text is made once
     return out
 
 
+def _step(pattern: str, instead: Callable[[Column], Column], text: Column) -> Column:
+    return replaced(text, pattern, instead)
+
+
 def _kept_unless(holds: Callable[[Column], Column], name: str) -> Callable[[Column], Column]:
     return lambda m: F.when(holds(m), F.lit(name)).otherwise(m)
 

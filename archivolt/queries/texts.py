@@ -84,16 +84,15 @@ def x19_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def x20_line_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word n-grams of two to four within lines, those seen twenty times or more."""
-    lines = _docs(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("line")).select(X.tokens(F.col("line")).alias("w"))
-    grams = None
-    for n in (2, 3, 4):
-        part = lines.where(F.size("w") >= n).select(F.explode(_grams(n)).alias("gram"))
-        grams = part if grams is None else grams.unionByName(part)
+    lines = _docs(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("line"))
+    grams = lines.select(F.explode(X.let(X.tokens(F.col("line")), lambda w: F.concat(*[_grams(w, n) for n in (2, 3, 4)]))).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 20")
 
 
-def _grams(n: int):
-    return F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
+def _grams(w, n: int):
+    """The n-grams of a line's words; a shorter line has none."""
+    at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))
 
 
 @registry.add(
