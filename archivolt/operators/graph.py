@@ -89,27 +89,42 @@ def members(ways: dict[str, DataFrame], excluded: DataFrame) -> DataFrame:
     return rows.join(excluded.select("id"), "id", "left_anti").groupBy("id").agg(F.min("via").alias("via"))
 
 
+def _to_the_top(near: DataFrame) -> DataFrame:
+    """(id, root) of a forest (id, root): ways up are doubled until every root is its own."""
+    while True:
+        above = near.select(F.col("id").alias("root"), F.col("root").alias("top"))
+        made = written(near.join(above, "root").select("id", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "roots")
+        removed(near)
+        if made.where("moved").isEmpty():
+            return made.select("id", "root")
+        near = made.select("id", "root")
+        near.written_to = made.written_to
+
+
 def connected(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """(id, root): each node with the smallest node it is connected to.
 
-    Rounds alternate between hanging neighbours on the smallest neighbour and
-    shortening the way to the root; they are joins over edges, never a collected
-    component.
+    Every round hangs nodes on their smallest neighbour, follows these ways to
+    their tops, and goes on with the edges between tops alone, at most half as many
+    nodes; rounds are joins over edges, never a collected component.
     """
-    both = edges.where("a is not null and b is not null").select("a", "b")
-    both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    held = root = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "roots")
+    low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
+    links = written(edges.where("a is not null and b is not null").select(low, high).distinct(), "links")
+    rounds = []
     for _ in range(most_rounds):
-        near = both.join(root.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        lower = root.join(near, "id").select("id", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        above = lower.select(F.col("id").alias("root"), F.col("root").alias("top"))
-        new = written(lower.join(above, "root", "left").select("id", F.coalesce(F.least("root", "top"), "root").alias("root"), "was"), "roots")
-        changed = not new.where("root <> was").isEmpty()
-        removed(held)
-        held, root = new, new.select("id", "root")
-        if not changed:
-            removed(both)
-            return root
+        sides = links.select(F.explode(F.array("low", "high")).alias("id"), F.col("low").alias("root"))
+        root = _to_the_top(written(sides.groupBy("id").agg(F.min("root").alias("root")), "roots"))
+        rounds.append(root)
+        of = lambda c: root.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
+        ends = links.where("low <> high").join(of("low"), "low").join(of("high"), "high").where("low_root <> high_root")
+        left = written(ends.select(F.least("low_root", "high_root").alias("low"), F.greatest("low_root", "high_root").alias("high")).distinct(), "links")
+        removed(links)
+        links = left
+        if links.isEmpty():
+            found = rounds.pop()
+            while rounds:
+                found = rounds.pop().join(found.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+            return found
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
