@@ -56,7 +56,10 @@ def importance(messages: DataFrame, participants: DataFrame, effective: DataFram
     )
     filed = F.when(F.col("dimension").isin("type", "topic") & F.lower("value").isin(*NOISE_VALUES), F.col("value"))
     marks = effective.groupBy(F.col("message_id").alias("id")).agg(F.max(filed).alias("noise_value"), F.max(F.when(F.col("dimension") == "importance", F.col("value"))).alias("marked"))
-    rows = messages.withColumn("sender", F.lower("from_address")).join(recipients, "id", "left").join(contact, "sender", "left").join(thread_out, "thread_id", "left").join(marks, "id", "left")
+    # what texts say is read before the joins, so none is dealt out; both joins by id come together, so rows are dealt out by it once
+    said = {"__asks": X.asks(F.col(text)), "__due": X.names_deadline(F.col(text), F.col("received_at")), "__meeting": X.meeting_reply(F.col("subject"))}
+    said = {name: F.when(F.col("direction") == "in", c) for name, c in said.items()}  # no other message's are asked for
+    rows = messages.withColumns({"sender": F.lower("from_address"), **said}).join(recipients, "id", "left").join(marks, "id", "left").join(contact, "sender", "left").join(thread_out, "thread_id", "left")
 
     yes = lambda c: F.coalesce(c, F.lit(False))
     listed = F.col("list_id").isNotNull() | (F.coalesce("list_unsubscribe", F.lit("")) != "")
@@ -65,8 +68,7 @@ def importance(messages: DataFrame, participants: DataFrame, effective: DataFram
     email, to_me = F.col("medium") == "email", yes(F.col("to_me"))
     direct = F.when(F.col("medium") == "teams_chat", to_me & (F.coalesce("n_to", F.lit(0)) <= SMALL_CHAT)).otherwise(email & to_me & ~listed & (F.coalesce("n_rcpt", F.lit(0)) <= BROADCAST))
     contacts = F.coalesce("contact_n", F.lit(0))
-    meeting = X.meeting_reply(F.col("subject"))
-    asks = person & direct & ~meeting & X.asks(F.col(text))
+    asks = person & direct & ~F.col("__meeting") & F.col("__asks")
     answered = yes(F.col("last_out") > F.col("received_at"))
     fires = {
         "person": person,
@@ -77,12 +79,12 @@ def importance(messages: DataFrame, participants: DataFrame, effective: DataFram
         "in_thread": F.col("last_out").isNotNull() & (F.col("medium") != "teams_chat"),
         "question": asks & ~answered,
         "answered": asks & answered,
-        "deadline": X.names_deadline(F.col(text), F.col("received_at")),
+        "deadline": F.col("__due"),
         "vip": yes(F.col("sender").isin(vips) | _domain().isin(vips)),
         "filed_noise": F.col("noise_value").isNotNull(),
         "list": listed,
         "automated": F.col("is_automated"),
-        "meeting_reply": meeting,
+        "meeting_reply": F.col("__meeting"),
     }
     fired = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("signal"), F.lit(POINTS[k]).alias("points"))) for k, c in fires.items()]))
     incoming = F.col("direction") == "in"
