@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Query vectors broadcast at a time, and rows that meet them in one matrix product.
-BLOCK, SLICE = 16_384, 1024
+#: Query vectors broadcast at a time, and queries and rows that meet in one matrix product.
+BLOCK, SIDE, SLICE = 16_384, 1024, 1024
 
 
 def nearest(queries: DataFrame, rows: DataFrame, *, k: int, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -36,18 +36,20 @@ def nearest(queries: DataFrame, rows: DataFrame, *, k: int, id_: str = "vec_id",
                 own = batch[id_].to_numpy(np.int64)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 for at in range(0, len(x), SLICE):
-                    mine = own[at : at + SLICE]
-                    like = np.round(q @ x[at : at + SLICE].T, 9)
-                    like[ids[:, None] == mine[None, :]] = -np.inf
-                    # the k-th best value of each query and all that reach it, so that ties are cut by id
-                    least = np.partition(like, -k, axis=1)[:, -k] if like.shape[1] > k else np.full(len(like), -np.inf)
-                    who, where = np.nonzero((like >= least[:, None]) & np.isfinite(like))
-                    value = like[who, where]
-                    order = np.lexsort((mine[where], -value, who))
-                    who, where, value = who[order], where[order], value[order]
-                    starts = np.searchsorted(who, who)
-                    kept = np.arange(len(who)) - starts < k
-                    yield pd.DataFrame({"query": ids[who[kept]], id_: mine[where[kept]], "like": value[kept]})
+                    mine, those = own[at : at + SLICE], x[at : at + SLICE].T
+                    for first in range(0, len(q), SIDE):
+                        asked = ids[first : first + SIDE]
+                        like = np.round(q[first : first + SIDE] @ those, 9)
+                        like[asked[:, None] == mine[None, :]] = -np.inf
+                        # the k-th best value of each query and all that reach it, so that ties are cut by id
+                        least = np.partition(like, -k, axis=1)[:, -k] if like.shape[1] > k else np.full(len(like), -np.inf)
+                        who, where = np.nonzero((like >= least[:, None]) & np.isfinite(like))
+                        value = like[who, where]
+                        order = np.lexsort((mine[where], -value, who))
+                        who, where, value = who[order], where[order], value[order]
+                        starts = np.searchsorted(who, who)
+                        kept = np.arange(len(who)) - starts < k
+                        yield pd.DataFrame({"query": asked[who[kept]], id_: mine[where[kept]], "like": value[kept]})
 
         return rows.select(id_, vector).where(F.col(vector).isNotNull()).mapInPandas(best, f"query long, {id_} long, like double")
 
