@@ -46,20 +46,24 @@ Query = tuple[tuple[Phrase, ...], ...]
 
 
 def _stemmer(language: str, dictionary: Dictionary | None) -> Callable[[str], str]:
-    """The language's stop words first, then the dictionary, then the language's stems; remembered by word."""
-    stem = STEMMERS[language]
-    if dictionary is None:
-        return stem
+    """The language's stop words first, then the dictionary, then the language's stems."""
+    stem = getattr(STEMMERS[language], "__wrapped__", STEMMERS[language])
 
-    @lru_cache(maxsize=200_000)
     def chained(word: str) -> str:
         by_rule = stem(word)
-        stated = dictionary(word) if by_rule else None
+        stated = dictionary(word) if by_rule and dictionary else None
         return by_rule if stated is None else stated
 
     return chained
 
 
+@lru_cache(maxsize=4)
+def _asked_stemmer(language: str, dictionary: Dictionary | None, asked: frozenset[str]) -> Callable[[str], str]:
+    """A word's stem if it is asked, else nothing; remembered by the worker, in one place for all fields and tasks."""
+    stem = _stemmer(language, dictionary)
+    return lru_cache(maxsize=100_000)(lambda word: s if (s := stem(word)) in asked else "")
+
+
 def parse(text: str, language: str, dictionary: Dictionary | None = None) -> Query:
     """Words and quoted phrases have to hold together; ``or`` parts alternatives, ``-`` excludes what follows it.
 
@@ -94,7 +98,7 @@ def hits(fields: list[tuple[Column, str]], wanted: list[str], dictionary: Dictio
     languages, asked = [language for _, language in fields], frozenset(wanted)
 
     def found(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        stemmers = [_stemmer(language, dictionary) for language in languages]
+        stemmers = [_asked_stemmer(language, dictionary, asked) for language in languages]
         for batch in batches:
             texts = batch if isinstance(batch, tuple) else (batch,)  # one column comes by itself
             rows = zip(*texts)
@@ -104,7 +108,7 @@ def hits(fields: list[tuple[Column, str]], wanted: list[str], dictionary: Dictio
                     places, start = [], 0
                     for field, (text, stem) in enumerate(zip(row, stemmers)):
                         words = _WORD.findall((text or "").lower())
-                        places += [{"lexeme": s, "at": start + i, "field": field} for i, s in enumerate(map(stem, words)) if s in asked]
+                        places += [{"lexeme": s, "at": start + i, "field": field} for i, s in enumerate(map(stem, words)) if s]
                         start += len(words) + 1
                     out.append(places)
                 yield pd.Series(out, dtype=object)
