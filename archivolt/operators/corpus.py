@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,9 +19,9 @@ from archivolt.operators.graph import connected, removed, written
 
 # Words of a shingle, and the Jaccard similarity of near copies as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
-#: Texts that frequent shingles are counted in, how many of those are told apart, unjoined texts that make a shingle
+#: Texts that shingles are counted in, counters of them and how many go together, unjoined texts that make a shingle
 #: crowded, bits of a set's parities, remembered words, sets held while pairs are compared; none of them changes a result.
-SAMPLED, FREQUENT, CROWDED, PARITIES, REMEMBERED, HELD = 10_000, 100_000, 64, 512, 400_000, 64
+SAMPLED, COUNTERS, BLOCK, CROWDED, PARITIES, REMEMBERED, HELD = 1 << 20, 1 << 23, 1 << 13, 64, 512, 400_000, 64
 
 
 def exact_copies(samples: DataFrame) -> DataFrame:
@@ -76,13 +77,36 @@ def shingle_hashes(norm: Column) -> Column:
     return F.pandas_udf(hashed, "array<long>").asNondeterministic()(norm)
 
 
-def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of about SAMPLED texts share, and in how many: at most FREQUENT, ordered by hash."""
+def _counter(h: np.ndarray) -> np.ndarray:
+    """The counter of each hash."""
+    return (h.view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _counted(texts: DataFrame) -> np.ndarray:
+    """COUNTERS 16-bit counts of the shingles of about SAMPLED texts, those of one counter together.
+
+    A task counts its texts and hands on packed blocks, so no shingle is shuffled.
+    """
     share = min(1.0, SAMPLED / max(1, texts.count()))
     drawn = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    counts = drawn.select(F.explode(shingle_hashes(X.normalized(F.col("text")))).alias("h")).groupBy("h").count().where("count > 2")
-    found = counts.orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas().sort_values("h")
-    return found["h"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            for t in batch["text"]:
+                np.add.at(found, _counter(_shingles(X.normal(t))), 1)
+        blocks = [(i // BLOCK, zlib.compress(found[i : i + BLOCK].tobytes(), 1)) for i in range(0, COUNTERS, BLOCK) if found[i : i + BLOCK].any()]
+        yield pd.DataFrame(blocks, columns=["block", "n"])
+
+    def added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(n), np.uint32).astype(np.int64) for n in rows["n"])
+        return pd.DataFrame({"block": [key[0]], "n": [np.minimum(total, 65_535).astype(np.uint16).tobytes()]})
+
+    parts = drawn.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(counted, "block int, n binary")
+    made = np.zeros((COUNTERS // BLOCK, BLOCK), np.uint16)
+    for row in parts.groupBy("block").applyInPandas(added, "block int, n binary").collect():  # at most 16 MB, whatever the texts
+        made[row["block"]] = np.frombuffer(row["n"], np.uint16)
+    return made.reshape(-1)
 
 
 def _in_order(h: np.ndarray, keys: np.ndarray, counts: np.ndarray, late: np.ndarray | None = None) -> np.ndarray:
@@ -111,7 +135,7 @@ def _outline(shared) -> Column:
         rows = []
         for t in map(X.normal, texts):
             h = _shingles(t)
-            rows.append((hashlib.sha256(t.encode()).digest(), len(h), _in_order(h, *shared.value)[: _prefix(len(h))], _parities(h)))
+            rows.append((hashlib.sha256(t.encode()).digest(), len(h), _in_order(h, h, shared.value[_counter(h)])[: _prefix(len(h))], _parities(h)))
         return pd.DataFrame(rows, columns=["key", "n", "p", "bits"])
 
     return F.pandas_udf(outlined, "struct<key:binary,n:int,p:array<long>,bits:binary>").asNondeterministic()
@@ -175,14 +199,14 @@ def near_copies(samples: DataFrame) -> DataFrame:
     meet whose ends aren't joined yet.  A passage of many texts would
     bring all of these together: hashes that more than CROWDED unjoined classes
     share go to the end of the order, with all that are as frequent in the same texts,
-    and only texts that have such in their prefixes get new ones, until none is left.
+    and only texts that have such in their prefixes get new ones, until those left
+    bring at most as many pairs a row as hashes that aren't crowded may.
     """
     return _in_batches(samples.sparkSession, 500, lambda: _near_copies(samples.select("id", "text")))
 
 
 def _near_copies(texts: DataFrame) -> DataFrame:
-    keys, counts = _frequent(texts)
-    shared = texts.sparkSession.sparkContext.broadcast((keys, counts))  # at most FREQUENT pairs of 64-bit numbers
+    shared = texts.sparkSession.sparkContext.broadcast(_counted(texts))  # COUNTERS numbers of 16 bits
     outline = texts.select("id", _outline(shared)(F.coalesce("text", F.lit(""))).alias("o")).select("id", "o.*")
     whole = written(outline, "outlines")
     classes = whole.groupBy("key").agg(F.min("id").alias("id"))
@@ -200,14 +224,15 @@ def _near_copies(texts: DataFrame) -> DataFrame:
     while True:
         rooted = prefixes.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
         meeting = rooted.groupBy("h", "root").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("roots")).where("roots > 1")
-        crowded = meeting.where(F.col("roots") > CROWDED).select("h")
+        crowded = meeting.where(F.col("roots") > CROWDED)
         if late is not None:
             crowded = crowded.join(late, "h", "left_anti")
         crowded = written(crowded, "crowded")
-        if crowded.isEmpty():
+        most, squares = crowded.agg(F.coalesce(F.max("roots"), F.lit(0)), F.coalesce(F.sum(F.col("roots") * F.col("roots")), F.lit(0))).first()
+        if most <= CROWDED * CROWDED // 4 and squares <= CROWDED * prefixes.count():
             break
         # a passage is many hashes: all that are as frequent in the texts that meet move at once, and with them every text that has one in its prefix
-        met = prefixes.join(crowded, "h", "left_semi").select("id").distinct()
+        met = written(prefixes.join(crowded, "h", "left_semi").select("id").distinct(), "met")
         hashes = texts.join(met, "id", "left_semi").select(F.explode(shingle_hashes(X.normalized(F.col("text")))).alias("h"))
         frequent = hashes.groupBy("h").count().where(F.col("count") > CROWDED).select("h")
         earlier, late = late, written(frequent if late is None else frequent.unionByName(late).distinct(), "late")
@@ -216,7 +241,7 @@ def _near_copies(texts: DataFrame) -> DataFrame:
         others = every.join(touched, "id", "left_anti")
         rest = others.join(prefixes.select("h").unionByName(again.select("h")).distinct(), "h", "left_semi")
         before, prefixes = prefixes, written(rest.unionByName(again), "prefixes")
-        removed(before, again, touched, crowded, *([] if earlier is None else [earlier]))
+        removed(before, again, touched, met, crowded, *([] if earlier is None else [earlier]))
     mine = written(rooted.join(meeting.select("h"), "h"), "meeting")
     other = mine.select("h", F.col("id").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("top"))
     pairs = mine.join(other, "h").where((F.col("a") < F.col("id")) & (F.col("root") != F.col("top")) & _may("n", "m", "i", "j")).select("a", F.col("id").alias("b")).distinct()
@@ -233,7 +258,7 @@ def _later(texts: DataFrame, late: DataFrame, shared) -> DataFrame:
     among = sets.select("id", F.explode("sh").alias("h")).join(late, "h", "left_semi").groupBy("id").agg(F.collect_list("h").alias("late"))
 
     def first(found: pd.Series, behind: pd.Series) -> pd.Series:
-        out = [_in_order(h, *shared.value, b)[: _prefix(len(h))] for h, b in zip((np.asarray(x, np.int64) for x in found), (np.asarray(x if x is not None else [], np.int64) for x in behind))]
+        out = [_in_order(h, h, shared.value[_counter(h)], b)[: _prefix(len(h))] for h, b in zip((np.asarray(x, np.int64) for x in found), (np.asarray(x if x is not None else [], np.int64) for x in behind))]
         return pd.Series(out, index=found.index, dtype=object)
 
     known = sets.join(among, "id", "left").select("id", F.size("sh").alias("n"), F.pandas_udf(first, "array<long>").asNondeterministic()("sh", "late").alias("p"))

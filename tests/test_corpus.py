@@ -87,3 +87,18 @@ def test_a_passage_of_five_thousand_texts(spark, monkeypatch):
         got = {r["id"]: r["dup_of"] for r in corpus.near_copies(spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(4)).collect()}
         assert got == {5000 + i: i for i in range(20)}
     assert max(pairs) < 20_000  # all pairs would be twelve million
+
+
+def test_a_passage_that_a_sample_hardly_tells_moves_no_text(spark, monkeypatch):
+    """Counted with all other shingles it stands last from the start; no text has to be read again for it."""
+    draw = random.Random(5)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [" ".join([*(word() for _ in range(40)), passage if i % 10 == 0 else "", *(word() for _ in range(40))]) for i in range(400)]
+    texts += [t + " more" for t in texts[:6]]
+    read, later = [], corpus._later
+    monkeypatch.setattr(corpus, "SAMPLED", 20)
+    monkeypatch.setattr(corpus, "CROWDED", 8)
+    monkeypatch.setattr(corpus, "_later", lambda t, *rest: (read.append(t.count()), later(t, *rest))[1])
+    got = {r["id"]: r["dup_of"] for r in corpus.near_copies(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert got == {400 + i: i for i in range(6)} and not read
