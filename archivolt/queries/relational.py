@@ -11,6 +11,8 @@ from archivolt.operators import graph, merge, sampling
 from archivolt.registry import Registry
 
 registry = Registry()
+#: Rows whose pairs are counted in one task.
+COUNTED_ROWS = 200_000
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,9 +76,12 @@ def j11_regex_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j13_shared_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of suppliers that meet in at least four orders."""
-    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    pairs = rows.select("l_orderkey", F.col("l_suppkey").alias("low")).join(rows.select("l_orderkey", F.col("l_suppkey").alias("high")), "l_orderkey").where("low < high")
-    return pairs.groupBy("low", "high").agg(F.count("*").alias("shared")).where("shared >= 4")
+    lines = _t(spark, sf_dir, "lineitem").where("l_orderkey is not null and l_suppkey is not null").select("l_orderkey", "l_suppkey")
+    # a task counts the pairs of so many rows, however few partitions a shuffle has; nearly every pair is another one
+    parts = max(1, -(-lines.count() // COUNTED_ROWS))
+    each = lines.repartition(parts, "l_orderkey").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("met"))
+    pairs = each.select("met", F.explode("met").alias("low")).select("low", F.explode(F.filter("met", lambda x: x > F.col("low"))).alias("high"))
+    return pairs.repartition(parts, "low", "high").groupBy("low", "high").agg(F.count("*").alias("shared")).where("shared >= 4")
 
 
 @registry.add("select user_id, event_type, arg_max(value, (ts, event_id)) as value from events group by 1, 2")
