@@ -172,12 +172,19 @@ def threads_on_arrival(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
     linked = by_provider.unionByName(by_reference)
     alone = new.join(linked.select("id"), "id", "left_anti").select("id", F.col("id").alias("parent"), F.lit(None).cast(stored.schema["thread"].dataType).alias("thread"))
-    # a message whose thread is stored is done; others point at one of this batch, and at last at one that begins its thread
-    walk = written(linked.unionByName(alone), "walk")
-    while True:
-        above = walk.select(F.col("id").alias("parent"), F.col("parent").alias("further"), F.col("thread").alias("found"))
-        step = walk.join(above, "parent", "left").select("id", F.coalesce("further", "parent").alias("parent"), F.coalesce("thread", "found").alias("thread"), (F.col("thread").isNull() & (F.col("found").isNotNull() | (F.col("further") != F.col("parent")))).alias("moved"))
-        walk = written(step, "walk")
-        if walk.where("moved").isEmpty():
-            return walk.select("id", F.coalesce("thread", "parent").alias("thread"))
-        walk = walk.drop("moved")
+    # a message that begins a thread, or whose thread is stored, is done; others point at one of this batch
+    begins = F.when(F.col("parent") == F.col("id"), F.col("id"))
+    walk = written(linked.unionByName(alone).select("id", "parent", F.coalesce("thread", begins).alias("thread")), "walk")
+    found = done = walk.where("thread is not null").select("id", "thread")
+    still = walk.where("thread is null").select("id", "parent")
+    # those that wait point at one that waits as well or was done last, so a round reads these alone
+    while not still.isEmpty():
+        step = written(still.join(done.withColumnRenamed("id", "parent"), "parent", "left").select("id", "parent", "thread"), "step")
+        done = step.where("thread is not null").select("id", "thread")
+        found = found.unionByName(done)
+        left = step.where("thread is null").select("id", "parent")
+        above = left.select(F.col("id").alias("parent"), F.col("parent").alias("further"))
+        before, still = still, written(left.join(above, "parent", "left").select("id", F.coalesce("further", "parent").alias("parent")), "waiting")
+        if hasattr(before, "written_to"):
+            removed(before)
+    return found

@@ -27,7 +27,6 @@ def g5_threads_on_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The threads of all orders, taken in by three batches; the statement walks them one by one."""
     orders, lines = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     name = lambda n: F.concat(F.lit("<"), F.expr(f"({n}) div 2"), F.lit("@x>"))
-    refs = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(name("l_orderkey div 16 * 16 + l_suppkey % 16")).alias("refs"))
     batch = F.expr(_BATCH)
     rows = orders.select(
         F.col("o_orderkey").alias("id"),
@@ -37,12 +36,14 @@ def g5_threads_on_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 101 != 0, F.col("o_orderdate")).alias("received_at"),
         (batch * F.lit(100_000_000_000) + F.col("o_orderkey")).alias("arrived"),
         batch.alias("batch"),
-    ).join(refs, "id", "left")
-    stored = rows.drop("refs", "batch").withColumn("thread", F.col("id")).limit(0)
+    )
+    stored = rows.drop("batch").withColumn("thread", F.col("id")).limit(0)
     for k in range(3):
         came = rows.where(F.col("batch") == k).drop("batch")
-        threads = graph.threads_on_arrival(came, stored)
-        stored = graph.written(stored.unionByName(came.drop("refs").join(threads, "id")), "stored")
+        theirs = lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey").where(batch == k)
+        refs = theirs.groupBy(F.col("o_orderkey").alias("id")).agg(F.collect_set(name("o_orderkey div 16 * 16 + l_suppkey % 16")).alias("refs"))
+        threads = graph.threads_on_arrival(came.join(refs, "id", "left"), stored)
+        stored = stored.unionByName(graph.written(came.join(threads, "id"), "stored"))
     return stored.select("id", "thread")
 
 

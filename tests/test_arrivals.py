@@ -108,3 +108,17 @@ def test_windows_in_state_over_months_and_microseconds(spark, tmp_path, shift):
     columns = [d[0] for d in want.description]
     got = ingest.registry.queries["t3_windows_in_state"](spark, str(tmp_path)).select(*columns)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
+
+
+def test_threads_that_are_told_leave_the_walk(spark, monkeypatch):
+    """Rounds write what still waits, not every message again."""
+    at = datetime(2024, 1, 1)
+    rows = [(i, "a", f"<a{i}>", None, [], at, i) for i in range(200)]
+    rows += [(1000 + i, "c", f"<c{i}>", None, [f"<c{i - 1}>"], at, 1000 + i) for i in range(40)]
+    counts, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: (made := write(df, name), counts.append((name, made.count())))[0])
+    batch = spark.createDataFrame(rows, MESSAGES)
+    got = graph.threads_on_arrival(batch, batch.drop("refs").withColumn("thread", F.col("id")).limit(0))
+    assert {r["id"]: r["thread"] for r in got.collect()} == one_by_one(rows)
+    sizes = [n for _, n in counts]
+    assert sizes[:2] == [240, 240] and max(sizes[2:]) < 40
