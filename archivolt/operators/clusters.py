@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from archivolt.functions import text as X
+from archivolt.operators.graph import written
 from archivolt.operators.grouping import group_status
 from archivolt.operators.structure import NOT_OLD
 
@@ -54,7 +55,9 @@ def clusters(messages: DataFrame, *, now: str, least: int = LEAST) -> DataFrame:
     moment = F.lit(now).cast("timestamp")
     ago = lambda days: F.col("received_at").cast("timestamp") >= moment - F.make_dt_interval(days=F.lit(days))
     # the group's key as one column without nulls, for joins
-    rows = with_system(messages.where("sender is not null")).withColumn("key", F.to_json(F.struct(*KEYS)))
+    # written, as each of the counts below would work out the messages' places and targets again
+    known = written(messages.where("sender is not null"), "machine")
+    rows = with_system(known).withColumn("key", F.to_json(F.struct(*KEYS)))
     base = rows.groupBy("key", *KEYS).agg(
         F.count("*").alias("n"),
         F.min("received_at").alias("first"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from archivolt.operators import clusters as C
 
 SCHEMA = "id long, account string, sender string, name string, subject string, received_at timestamp, kind string, type string, target string, olds array<string>, in_inbox boolean"
@@ -40,3 +42,12 @@ def test_empty_and_small(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert C.clusters(none, now="2024-06-01").count() == 0
     assert C.clusters(spark.createDataFrame([mail(1, "s", "x")], SCHEMA), now="2024-06-01").count() == 0
+
+
+def test_messages_are_worked_out_once(spark):
+    """However many counts are made of them."""
+    seen = spark.sparkContext.accumulator(0)
+    told = F.udf(lambda s: (seen.add(1), s)[1], "string").asNondeterministic()
+    rows = spark.createDataFrame([mail(i, "s", "x") for i in range(30)], SCHEMA).withColumn("sender", told("sender"))
+    assert [r["n"] for r in C.clusters(rows, now="2024-06-01", least=1).collect()] == [30]
+    assert seen.value == 30
