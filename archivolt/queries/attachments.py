@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import io
 import struct
-import zipfile
+import zlib
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,20 +20,38 @@ def _sheet(rows: list[str]) -> str:
     return f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{"".join(rows)}</sheetData></worksheet>'
 
 
-def _workbook(key: int, status: str, price: float) -> bytes:
-    """Two sheets: shared and inline strings, numbers, a truth value, empty cells and rows."""
+def _entry(name: str, text: str, at: int) -> tuple[bytes, bytes]:
+    """A deflated entry of an archive that stands at a place, and its line of the directory."""
+    said, data = name.encode(), text.encode()
+    packed = zlib.compress(data, wbits=-zlib.MAX_WBITS)
+    facts = struct.pack("<4H3I2H", 0, 8, 0, 0x21, zlib.crc32(data), len(packed), len(data), len(said), 0)
+    return b"PK\3\4" + struct.pack("<H", 20) + facts + said + packed, b"PK\1\2" + struct.pack("<2H", 20, 20) + facts + struct.pack("<3H2I", 0, 0, 0, 0, at) + said
+
+
+@lru_cache
+def _same(made: bool) -> tuple[bytes, bytes]:
+    """The entries that all workbooks with the same second sheet have, and their lines of the directory."""
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="One" sheetId="1" r:id="r1"/><sheet name="Två" sheetId="2" r:id="r2"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r2" Target="worksheets/b.xml"/><Relationship Id="r1" Target="/xl/worksheets/a.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{main}"><si><t>Order &amp; key</t></si><si><r><t>sta</t></r><r><t>tus</t></r><rPh><t>x</t></rPh></si></sst>',
+        "xl/worksheets/b.xml": _sheet(['<row><c t="s"><v>1</v></c><c t="str"><v>made</v></c></row>'] if made else []),
+    }
+    entries, lines = b"", b""
+    for name, text in parts.items():
+        entry, line = _entry(name, text, len(entries))
+        entries, lines = entries + entry, lines + line
+    return entries, lines
+
+
+def _workbook(key: int, status: str, price: float) -> bytes:
+    """Two sheets: shared and inline strings, numbers, a truth value, empty cells and rows."""
     first = _sheet([f'<row><c t="s"><v>0</v></c><c><v>{key}</v></c><c/></row>', "<row/>", f'<row><c t="inlineStr"><is><r><t>in</t></r><r><t>line</t></r></is></c><c><v>{price!r}</v></c><c t="b"><v>1</v></c></row>'])
-    second = _sheet(['<row><c t="s"><v>1</v></c><c t="str"><v>made</v></c></row>'] if status == "F" else [])
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
-        book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="One" sheetId="1" r:id="r1"/><sheet name="Två" sheetId="2" r:id="r2"/></sheets></workbook>')
-        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r2" Target="worksheets/b.xml"/><Relationship Id="r1" Target="/xl/worksheets/a.xml"/></Relationships>')
-        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>Order &amp; key</t></si><si><r><t>sta</t></r><r><t>tus</t></r><rPh><t>x</t></rPh></si></sst>')
-        book.writestr("xl/worksheets/a.xml", first)
-        book.writestr("xl/worksheets/b.xml", second)
-    return out.getvalue()
+    entries, lines = _same(status == "F")
+    entry, line = _entry("xl/worksheets/a.xml", first, len(entries))
+    return entries + entry + lines + line + struct.pack("<4s4H2IH", b"PK\5\6", 0, 0, 5, 5, len(lines) + len(line), len(entries) + len(entry), 0)
 
 
 def _exif(order: str, maker: str, taken: str) -> bytes:
@@ -67,7 +85,8 @@ def _content(key: pd.Series, status: pd.Series, price: pd.Series, day: pd.Series
 )
 def s13_attachment_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain text, workbooks, photographs, broken and unknown files: their status, text and facts."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey")  # a small file of orders has one part or two, the work is in the attached files
     key = F.col("o_orderkey") % 4
     kind = F.when(key == 0, "text/plain; charset=utf-8").when(key == 2, "IMAGE/JPEG")
     name = F.when((key == 1) | (F.col("o_orderkey") % 8 == 3), "Report.XLSX").otherwise("file")

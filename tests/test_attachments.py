@@ -6,6 +6,8 @@ import io
 import struct
 import zipfile
 
+import pytest
+
 from archivolt.queries import attachments as made
 from archivolt.sources import attachments as A
 
@@ -58,3 +60,75 @@ def test_every_status(spark):
     assert [(k, s) for k, s, _, _ in found] == [("text", "empty"), ("text", "ok"), (None, "unsupported"), (None, "unsupported"), ("image", "error"), ("workbook", "error"), ("text", "missing"), ("text", "truncated")]
     assert found[1][2] == "å\n�" and found[4][3]["error"].startswith("ValueError") and len(found[7][2]) == 200_000
     assert read(spark, []) == []
+
+
+def book(parts, method=zipfile.ZIP_DEFLATED):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", method) as made_of:
+        for name, text in parts.items():
+            made_of.writestr(name, text)
+    return out.getvalue()
+
+
+def parts_of(data):
+    with zipfile.ZipFile(io.BytesIO(data)) as whole:
+        return {name: whole.read(name).decode() for name in whole.namelist()}
+
+
+def told(data):
+    try:
+        return A.workbook(data)
+    except Exception as e:
+        return type(e).__name__, str(e)
+
+
+def test_made_workbooks_are_whole_archives():
+    with zipfile.ZipFile(io.BytesIO(made._workbook(7, "F", 2.5))) as whole:
+        assert whole.testzip() is None and {e.compress_type for e in whole.infolist()} == {zipfile.ZIP_DEFLATED}
+        assert sorted(whole.namelist()) == ["xl/_rels/workbook.xml.rels", "xl/sharedStrings.xml", "xl/workbook.xml", "xl/worksheets/a.xml", "xl/worksheets/b.xml"]
+
+
+def test_small_parts_need_no_file_objects(monkeypatch):
+    data = made._workbook(7, "F", 2.5)
+    files, want = [data, book(parts_of(data))], A.workbook(data)
+
+    def no(*_, **__):
+        raise AssertionError("a small part was opened as a file or parsed as one")
+
+    monkeypatch.setattr(zipfile.ZipFile, "open", no)
+    monkeypatch.setattr(A.ElementTree, "iterparse", no)
+    assert [A.workbook(x) for x in files] == [want, want]
+
+
+def test_parts_that_lie_are_told_by_zipfile(monkeypatch):
+    plain, stored = made._workbook(7, "F", 2.5), book(parts_of(made._workbook(7, "F", 2.5)), zipfile.ZIP_STORED)
+    second = plain.index(b"PK\1\2", plain.index(b"PK\1\2") + 4)
+    overlapped = plain[: second + 42] + struct.pack("<I", 0) + plain[second + 46 :]
+    damaged = [plain[:i] + bytes([plain[i] ^ bit]) + plain[i + 1 :] for i in range(len(plain)) for bit in (1, 0x40)]
+    files = [plain, stored, b"before" + plain, plain[:-1], overlapped, *damaged]
+    found = [told(x) for x in files]
+    assert found[0] == found[1] == found[2] and found[0][0] == "ok" and found[4][0] == "BadZipFile"
+    monkeypatch.setattr(A, "_small_part", lambda *_: None)
+    assert found == [told(x) for x in files]
+
+
+def test_parts_beyond_the_small_ones():
+    parts = parts_of(made._workbook(7, "F", 2.5))
+    rows = [f"<row><c><v>{i}</v></c></row>" for i in range(3000)]
+    large = book(parts | {"xl/worksheets/a.xml": made._sheet(rows)})
+    assert A.workbook(large)[1].split("\n") == ["# One", *map(str, range(3000)), "# Två", "status\tmade"]
+    with pytest.raises(A.ElementTree.ParseError):
+        A.workbook(book(parts | {"xl/worksheets/a.xml": made._sheet(rows)[:-9]}))
+
+
+def test_remembered_parts_belong_to_their_bytes():
+    parts = parts_of(made._workbook(7, "F", 2.5))
+    other = book(parts | {"xl/sharedStrings.xml": parts["xl/sharedStrings.xml"].replace("key", "lock")})
+    turned = book(parts | {"xl/_rels/workbook.xml.rels": parts["xl/_rels/workbook.xml.rels"].replace("/b.xml", "/x.xml").replace("/a.xml", "/b.xml").replace("/x.xml", "/a.xml")})
+    for _ in range(2):
+        assert "Order & lock\t7" in A.workbook(other)[1] and "Order & key\t7" in A.workbook(made._workbook(7, "F", 2.5))[1]
+        assert A.workbook(turned)[1].startswith("# One\nstatus\tmade\n# Två\nOrder")
+
+
+def test_orders_of_one_small_file_go_to_all_cores(spark):
+    assert made.s13_attachment_formats(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
